@@ -99,6 +99,14 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def zoned(events: DataFrame) -> DataFrame:
+    """Events with ``ts`` as an instant; a zone-free time counts as UTC."""
+    if dict(events.dtypes)["ts"] != "timestamp_ntz":
+        return events
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
+    return events.withColumn("ts", local.cast("timestamp"))
+
+
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """One recognised region per event; the user is the stream."""
     return frames_of(table(spark, folder, "events"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxline.functions.binding import bind
+
 
 def best_steps(matrix: Column) -> Column:
     """Per step struct(idx, prob): the first largest class and its value."""
@@ -19,12 +21,12 @@ def best_steps(matrix: Column) -> Column:
 
 def kept_steps(steps: Column, dictionary_size: int) -> Column:
     """Steps that give a character: no blank, no repeat of the step before, index in range."""
-    return F.filter(
-        steps,
+    return bind(steps, lambda line: F.filter(
+        line,
         lambda s, i: (s["idx"] != 0)
         & (s["idx"] < dictionary_size)
-        & ((i == 0) | (s["idx"] != F.get(steps, i - 1)["idx"])),
-    )
+        & ((i == 0) | (s["idx"] != F.get(line, i - 1)["idx"])),
+    ))
 
 
 def steps_text(kept: Column, dictionary: list[str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxline.functions.binding import bind
+
 
 def mean_of(values: Column) -> Column:
     """Mean of an array of numbers."""
@@ -12,24 +14,26 @@ def mean_of(values: Column) -> Column:
     return total / F.size(values)
 
 
+def _over_mean(thumbnail: Column, body) -> Column:
+    return bind(thumbnail, lambda t: bind(mean_of(t), lambda m: body(t, m)))
+
+
 def average_hash(thumbnail: Column) -> Column:
     """Bits of an 8 x 8 gray thumbnail: '1' where a pixel lies above the mean."""
-    mean = mean_of(thumbnail)
-    return F.array_join(
-        F.transform(thumbnail, lambda x: F.when(x.cast("double") > mean, "1").otherwise("0")), ""
-    )
+    return _over_mean(thumbnail, lambda pixels, mean: F.array_join(
+        F.transform(pixels, lambda x: F.when(x.cast("double") > mean, "1").otherwise("0")), ""
+    ))
 
 
 def packed_hash(thumbnail: Column) -> Column:
     """The same 64 bits as one long, first pixel in the highest bit."""
-    mean = mean_of(thumbnail)
-    return F.aggregate(
-        thumbnail,
+    return _over_mean(thumbnail, lambda pixels, mean: F.aggregate(
+        pixels,
         F.lit(0).cast("long"),
         lambda a, x: F.shiftleft(a, 1).bitwiseOR(
             F.when(x.cast("double") > mean, F.lit(1)).otherwise(F.lit(0)).cast("long")
         ),
-    )
+    ))
 
 
 def hamming(left: Column, right: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxline.functions.binding import bind
+
 # Full-width characters and CJK punctuation with their replacements.
 WIDE_CHARS = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪａｂｃｄｅ，。？！：；"
 NARROW_CHARS = "0123456789ABCDEFGHIJabcde,.?!:;"
@@ -47,11 +49,14 @@ def _padded(parts: Column, n: Column) -> Column:
 
 
 def _equal_cut(text: Column, n: Column) -> Column:
-    step = F.floor(F.length(text) / n).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.substring(text, i * step + 1, F.when(i < n - 1, step).otherwise(F.length(text))),
-    )
+    size = F.length(text)
+    return bind(F.struct(size.alias("all"), F.floor(size / n).cast("int").alias("step")), lambda s:
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.substring(
+                text, i * s["step"] + 1, F.when(i < n - 1, s["step"]).otherwise(s["all"])
+            ),
+        ))
 
 
 def _stripped(parts: Column) -> Column:

@@ -55,13 +55,13 @@ def latency_summary(
     Times of failed calls do not enter the statistics. Quantiles are exact; ``approximate`` takes
     Spark's sketch instead and needs no ordering.
     """
-    timed = timings.withColumn("_t", F.when("ok", F.col("elapsed_ms")))
+    timed = timings.withColumn("_t", F.when(F.col("ok"), F.col("elapsed_ms")))
     wanted = {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
     sketch = [
         F.percentile_approx("_t", q, 10_000).alias(n) for n, q in wanted.items()
     ] if approximate else []
     base = timed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_calls"), F.count_if("ok").alias("successful_calls"),
+        F.count(F.lit(1)).alias("total_calls"), F.count_if(F.col("ok")).alias("successful_calls"),
         *_spread("_t"), *sketch,
     )
     if not approximate:

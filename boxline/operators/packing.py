@@ -226,7 +226,7 @@ def pack_lines(
     )
     arrays = sliced.groupBy(*keys, "_slice").agg(
         F.array_sort(F.collect_list(item)).alias("_lines"),
-        F.count_if("_own").alias("_n"),
+        F.count_if(F.col("_own")).alias("_n"),
         F.first(limit).alias("pack_limit"),
         F.first("_last_slice").alias("_last_slice"),
     ).withColumn("_reach", _reaches(F.col("_lines"), F.col("_n"), F.col("pack_limit")))

@@ -181,7 +181,7 @@ def batch_summary(reviewed: DataFrame, failed: DataFrame | None = None) -> DataF
     """Totals over reviewed images and images that could not be read."""
     good = reviewed.agg(
         F.count(F.lit(1)).alias("successful"),
-        F.count_if("needs_review").alias("needs_review"),
+        F.count_if(F.col("needs_review")).alias("needs_review"),
     )
     bad = F.lit(0).cast("long")
     if failed is not None:
@@ -231,7 +231,7 @@ def session_statistics(diff: DataFrame) -> DataFrame:
     """Totals and percentages over all validated images."""
     return corrections(diff).agg(
         F.count(F.lit(1)).alias("total_validated"),
-        F.count_if("corrected").alias("total_corrected"),
+        F.count_if(F.col("corrected")).alias("total_corrected"),
     ).select(
         "total_validated",
         "total_corrected",

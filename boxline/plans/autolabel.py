@@ -29,8 +29,9 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def response_boxes(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per parsed object with a four-number box; other objects are skipped."""
+    # The outer form keeps Spark from parsing once more to test for empty arrays.
     rows = parsed.select(
-        *keys, "width", "height", F.posexplode("objects").alias("seq", "o")
+        *keys, "width", "height", F.posexplode_outer("objects").alias("seq", "o")
     ).where(F.size("o.bbox") == 4)
     return rows.select(
         *keys, "seq", "width", "height", F.col("o.class").alias("class"),

@@ -1,2 +1,150 @@
-QUERIES = {}
-SQL = {}
+"""Queries over timings and recognition logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from boxline import fixtures as X
+from boxline.operators import metrics as M
+from boxline.plans.catalog import views as V
+
+
+def _rounded(frame, digits: int = 4):
+    doubles = [f.name for f in frame.schema.fields if f.dataType.typeName() == "double"]
+    return frame.withColumns({c: F.round(c, digits) for c in doubles})
+
+
+def latency_summary(spark, folder):
+    return _rounded(M.latency_summary(X.timings(spark, folder), ["config"]))
+
+
+def latency_by_worker(spark, folder):
+    return _rounded(M.latency_summary(X.timings(spark, folder), ["config", "item_id"]))
+
+
+def mode_comparison(spark, folder):
+    rows = X.timings(spark, folder).withColumn(
+        "mode", F.when(F.col("config") == "error", "uncached").otherwise("cached")
+    )
+    return _rounded(M.compare_modes(rows, ["engine"], "uncached", "cached"))
+
+
+def _worker_results(spark, folder):
+    rows = X.timings(spark, folder).withColumnRenamed("elapsed_ms", "time_ms")
+    return M.assign_workers(rows, ["config"], ["ts", "call_id"], 4)
+
+
+def worker_stats(spark, folder):
+    return _rounded(M.worker_stats(_worker_results(spark, folder), ["config"]))
+
+
+def worker_efficiency(spark, folder):
+    return _rounded(M.worker_efficiency(_worker_results(spark, folder), ["config"]))
+
+
+def extraction_report(spark, folder):
+    rows = X.timings(spark, folder).select(
+        F.col("config").alias("scenario"), (F.col("item_id") % 7).alias("lines_detected"),
+        F.col("elapsed_ms").alias("time_ms"),
+    )
+    return _rounded(M.extraction_report(rows))
+
+
+def call_log_stats(spark, folder):
+    calls = X.timings(spark, folder).select(
+        "config", F.col("elapsed_ms").alias("time_ms"), (F.col("item_id") * 48).alias("pixels"),
+        F.when(F.col("ok"), F.col("config")).otherwise(F.lit("  ")).alias("text"),
+    )
+    return _rounded(M.call_log_stats(calls, ["config"]))
+
+
+def stage_shares(spark, folder):
+    """Views are concatenation, clicks recognition; a purchase closes with the whole time."""
+    stage = (
+        F.when(F.col("config") == "view", "concat").when(F.col("config") == "click", "ocr")
+        .when(F.col("config") == "purchase", "total").otherwise("split")
+    )
+    rows = X.timings(spark, folder).select(
+        "engine", stage.alias("stage"), F.col("elapsed_ms").alias("time_ms"),
+        F.lit(1).alias("n_regions"),
+    )
+    return _rounded(M.stage_shares(rows, ["engine"], ["concat", "ocr", "split"]))
+
+
+def scaling_sweep(spark, folder):
+    return _rounded(M.scaling_sweep(X.timings(spark, folder), "view"))
+
+
+QUERIES = {f.__name__: f for f in (
+    latency_summary, latency_by_worker, mode_comparison, worker_stats, worker_efficiency,
+    extraction_report, call_log_stats, stage_shares, scaling_sweep,
+)}
+
+
+def _latency(keys: str) -> str:
+    return V.using(V.TIMINGS, "t AS (SELECT *, CASE WHEN ok THEN elapsed_ms END AS v FROM timings)") + f"""
+SELECT {keys}, count(*) AS total_calls, count(*) FILTER (ok) AS successful_calls,
+  round(avg(v), 4) AS avg_ms, round(min(v), 4) AS min_ms, round(max(v), 4) AS max_ms,
+  round(stddev_pop(v), 4) AS std_ms, round(sum(v), 4) AS total_ms,
+  round(quantile_cont(v, 0.5), 4) AS median_ms, round(quantile_cont(v, 0.95), 4) AS p95_ms,
+  round(quantile_cont(v, 0.99), 4) AS p99_ms,
+  round(count(*) FILTER (ok) / count(*), 4) AS success_rate, round(1000 / avg(v), 4) AS fps,
+  round(count(*) FILTER (ok) / (sum(v) / 1000), 4) AS throughput_per_second
+FROM t GROUP BY {keys}"""
+
+
+_WORKERS = """w AS (SELECT config, elapsed_ms AS time_ms, CAST((row_number() OVER (
+    PARTITION BY config ORDER BY ts, call_id) - 1) % 4 AS INT) AS worker_id FROM timings),
+stats AS (SELECT config, worker_id, count(*) AS n_regions, avg(time_ms) AS avg_ms,
+    min(time_ms) AS min_ms, max(time_ms) AS max_ms, sum(time_ms) AS total_ms
+  FROM w GROUP BY config, worker_id)"""
+
+SQL = {
+    "latency_summary": _latency("config"),
+    "latency_by_worker": _latency("config, item_id"),
+    "mode_comparison": V.using(V.TIMINGS, """m AS (SELECT engine,
+    CASE WHEN config = 'error' THEN elapsed_ms END AS u,
+    CASE WHEN config <> 'error' THEN elapsed_ms END AS c FROM timings)""") + """
+SELECT engine, round(avg(u), 4) AS uncached_avg_ms, round(min(u), 4) AS uncached_min_ms,
+  round(max(u), 4) AS uncached_max_ms, round(avg(c), 4) AS cached_avg_ms,
+  round(min(c), 4) AS cached_min_ms, round(max(c), 4) AS cached_max_ms,
+  round(1000 / avg(u), 4) AS uncached_fps, round(1000 / avg(c), 4) AS cached_fps,
+  round(avg(u) / avg(c), 4) AS speedup
+FROM m GROUP BY engine""",
+    "worker_stats": V.using(V.TIMINGS, _WORKERS) + """
+SELECT config, worker_id, n_regions, round(avg_ms, 4) AS avg_ms, round(min_ms, 4) AS min_ms,
+  round(max_ms, 4) AS max_ms, round(total_ms, 4) AS total_ms FROM stats""",
+    "worker_efficiency": V.using(V.TIMINGS, _WORKERS) + """
+SELECT config, count(*) AS workers, CAST(sum(n_regions) AS BIGINT) AS n_regions,
+  round(sum(total_ms), 4) AS serial_ms, round(max(total_ms), 4) AS parallel_ms,
+  round(sum(total_ms) / max(total_ms), 4) AS speedup,
+  round(sum(total_ms) / max(total_ms) / count(*), 4) AS efficiency
+FROM stats GROUP BY config""",
+    "extraction_report": V.using(V.TIMINGS, """r AS (SELECT CASE WHEN grouping(config) = 1
+      THEN 'total' ELSE config END AS scenario, CAST(grouping(config) AS TINYINT) AS is_total,
+    count(*) AS regions, CAST(sum(item_id % 7) AS BIGINT) AS lines, sum(elapsed_ms) AS t
+  FROM timings GROUP BY ROLLUP (config))""") + """
+SELECT scenario, is_total, regions, lines, round(t, 4) AS total_ms,
+  round(t / regions, 4) AS ms_per_region, round(t / lines, 4) AS ms_per_line,
+  round(lines * 1000 / t, 4) AS lines_per_second FROM r""",
+    "call_log_stats": V.using(V.TIMINGS) + """
+SELECT config, count(*) AS total_calls, round(sum(elapsed_ms), 4) AS total_ms,
+  round(avg(elapsed_ms), 4) AS avg_ms, round(min(elapsed_ms), 4) AS min_ms,
+  round(max(elapsed_ms), 4) AS max_ms, round(avg(item_id * 48), 4) AS avg_pixels,
+  CAST(sum(item_id * 48) AS BIGINT) AS total_pixels, count(*) FILTER (NOT ok) AS empty_results,
+  round(count(*) FILTER (ok) / count(*), 4) AS success_rate
+FROM timings GROUP BY config""",
+    "stage_shares": V.using(V.TIMINGS, """s AS (SELECT engine,
+    sum(elapsed_ms) FILTER (config = 'purchase') AS t,
+    count(*) FILTER (config = 'purchase') AS n,
+    sum(elapsed_ms) FILTER (config = 'view') AS c, sum(elapsed_ms) FILTER (config = 'click') AS o,
+    sum(elapsed_ms) FILTER (config IN ('signup', 'error')) AS p FROM timings GROUP BY engine)""") + """
+SELECT engine, round(t, 4) AS total_ms, n AS n_regions, round(c, 4) AS concat_ms,
+  round(o, 4) AS ocr_ms, round(p, 4) AS split_ms, round(t - (c + o + p), 4) AS other_ms,
+  round(c / t, 4) AS concat_share, round(o / t, 4) AS ocr_share, round(p / t, 4) AS split_share,
+  round(t / n, 4) AS ms_per_region, round(n / (t / 1000), 4) AS regions_per_second FROM s""",
+    "scaling_sweep": V.using(V.TIMINGS, """per AS (SELECT config, count(*) AS runs,
+    avg(elapsed_ms) AS a FROM timings GROUP BY config)""") + """
+SELECT config, runs, round(a, 4) AS avg_ms, round(1000 / a, 4) AS per_second,
+  round((SELECT a FROM per WHERE config = 'view') / a, 4) AS speedup FROM per""",
+}

@@ -187,6 +187,9 @@ def late_rows(query) -> int:
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """A Parquet table, file or folder, as a stream."""
     schema = spark.read.parquet(path).schema
+    # As a pattern, the path may name one file as well as a folder of files.
+    pattern = f"{path[:-1]}[{path[-1]}]"
     return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        .parquet(pattern)
     )
