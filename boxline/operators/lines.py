@@ -196,7 +196,9 @@ def text_structure(components: DataFrame, images: DataFrame | None = None) -> Da
         F.coalesce(char, F.lit(20)).alias("char_height"),
         F.col("_std").cast("int").alias("char_height_std"),
         F.coalesce((char * 1.2).cast("int"), F.lit(30)).alias("line_height"),
-        F.coalesce(F.greatest(F.lit(5), (char * 0.3).cast("int")), F.lit(10)).alias("line_spacing"),
+        F.when(char.isNull(), 10).otherwise(
+            F.greatest(F.lit(5), (char * 0.3).cast("int"))
+        ).alias("line_spacing"),
         F.coalesce(F.col("num_chars"), F.lit(0)).alias("num_chars"),
         "height_distribution",
     )

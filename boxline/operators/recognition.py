@@ -171,7 +171,14 @@ def _gray(pixels: np.ndarray) -> np.ndarray:
     return pixels[:, :, :3].astype(np.float32) @ np.array([0.114, 0.587, 0.299], np.float32)
 
 
-@F.pandas_udf("rows array<int>, cols array<int>, thumbnail array<double>")
+_PROFILE = T.StructType([
+    T.StructField("rows", T.ArrayType(T.IntegerType())),
+    T.StructField("cols", T.ArrayType(T.IntegerType())),
+    T.StructField("thumbnail", T.ArrayType(T.DoubleType())),
+])
+
+
+@F.pandas_udf(_PROFILE)
 def ink_profiles(
     data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, dark: pd.Series
 ) -> pd.DataFrame:

@@ -16,7 +16,9 @@ from boxline.plans.extract import extract_fields as fields
 from boxline.schemas import class_table
 from boxline.functions.text import rounded
 
-W, H = F.lit(X.WIDTH), F.lit(X.HEIGHT)
+
+def _size():
+    return F.lit(X.WIDTH), F.lit(X.HEIGHT)
 
 
 def _boxes(column: str):
@@ -96,7 +98,7 @@ def box_geometry(spark, folder):
 
 def clamp_boxes(spark, folder):
     rows = X.detections(spark, folder)
-    forms = {"o": G.clamp_ordered(W, H), "p": G.clamp_plain(W, H), "l": G.clamp_pixels(W, H)}
+    forms = {"o": G.clamp_ordered(*_size()), "p": G.clamp_plain(*_size()), "l": G.clamp_pixels(*_size())}
     return rows.select("det_id", *[
         value.alias(f"{form}_{name}") for form, box in forms.items() for name, value in box.items()
     ])
@@ -122,7 +124,7 @@ def drawn_boxes(spark, folder):
     return rows.select(
         "det_id",
         *[v.alias(f"d_{n}") for n, v in dragged.items()],
-        *[v.alias(f"q_{n}") for n, v in G.padded_quad(quad, W, H).items()],
+        *[v.alias(f"q_{n}") for n, v in G.padded_quad(quad, *_size()).items()],
     )
 
 

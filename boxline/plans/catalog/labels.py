@@ -13,11 +13,13 @@ from boxline.plans.catalog import views as V
 from boxline.sources.images import plain_base64
 from boxline.sources.labels import label_file_validity as validity
 
-W, H = F.lit(X.WIDTH), F.lit(X.HEIGHT)
+
+def _size():
+    return F.lit(X.WIDTH), F.lit(X.HEIGHT)
 
 
 def box_issues(spark, folder):
-    found = Q.box_issues(X.detections(spark, folder), W, H)
+    found = Q.box_issues(X.detections(spark, folder), *_size())
     return found.where(F.size("issues") > 0).select(
         "image_id", "det_id", F.array_join("issues", ",").alias("issues")
     )
@@ -50,7 +52,7 @@ def recommendations(spark, folder):
 
 
 def validation_report(spark, folder):
-    report = Q.validation_report(X.images(spark, folder), X.detections(spark, folder), W, H)
+    report = Q.validation_report(X.images(spark, folder), X.detections(spark, folder), *_size())
     entries = F.array_sort(F.map_entries("class_distribution"))
     return report.select(
         F.col("image_info.image_id").alias("image_id"),
@@ -100,7 +102,7 @@ def class_accuracy(spark, folder):
 
 def spec_violations(spark, folder):
     labels = X.detections(spark, folder).withColumn("seq", F.col("det_id"))
-    return Q.spec_violations(labels, W, H).select(
+    return Q.spec_violations(labels, *_size()).select(
         "image_id", "det_id", "outside", "out_of_order", "unknown_class"
     )
 
@@ -112,7 +114,7 @@ def new_classes(spark, folder):
 
 
 def yolo_encode(spark, folder):
-    return encode_yolo(X.detections(spark, folder), W, H).select("image_id", "det_id", "line")
+    return encode_yolo(X.detections(spark, folder), *_size()).select("image_id", "det_id", "line")
 
 
 _YOLO = """clamped AS (SELECT {keys}, class_id, greatest(0, least(800, x1)) AS x1,
@@ -160,8 +162,9 @@ def response_outcomes(spark, folder):
 def _label_file_lines(spark, folder):
     """Label lines written without clamping, so that boxes outside the image spoil their file."""
     rows = X.detections(spark, folder)
-    share = [(F.col("x1") + F.col("x2")) / 2 / W, (F.col("y1") + F.col("y2")) / 2 / H,
-             (F.col("x2") - F.col("x1")) / W, (F.col("y2") - F.col("y1")) / H]
+    wide, high = _size()
+    share = [(F.col("x1") + F.col("x2")) / 2 / wide, (F.col("y1") + F.col("y2")) / 2 / high,
+             (F.col("x2") - F.col("x1")) / wide, (F.col("y2") - F.col("y1")) / high]
     return rows.select(
         F.col("image_id").cast("string").alias("image_stem"),
         F.format_string("%d %.6f %.6f %.6f %.6f", F.col("class_id"), *share).alias("line"),

@@ -184,7 +184,8 @@ bins AS (SELECT image_id, concat_ws(',', """ + ", ".join(
     ) + """) AS height_distribution FROM binned GROUP BY image_id)""") + """
 SELECT image_id, coalesce(ch, 20) AS char_height, sd AS char_height_std,
   coalesce(CAST(trunc(ch * 1.2::DOUBLE) AS INT), 30) AS line_height,
-  coalesce(greatest(5, CAST(trunc(ch * 0.3::DOUBLE) AS INT)), 10) AS line_spacing,
+  CASE WHEN ch IS NULL THEN 10 ELSE greatest(5, CAST(trunc(ch * 0.3::DOUBLE) AS INT)) END
+    AS line_spacing,
   coalesce(n, 0) AS num_chars, height_distribution
 FROM images LEFT JOIN stats USING (image_id) LEFT JOIN bins USING (image_id)""",
     "profile_widths": V.using(V.PROFILES, """ends AS (SELECT image_id,

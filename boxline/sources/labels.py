@@ -10,12 +10,15 @@ from boxline.functions.annotations import is_label_line
 from boxline.functions.text import stem
 from boxline.schemas import LABEL_JSON
 
-# Files read whole: label files are a few lines each.
 _PARTS = "(?U)\\s+"
 
 
 def read_label_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, image_stem, line_no, line) of YOLO label files; an empty file gives one null line."""
+    """(path, image_stem, line_no, line) of YOLO label files; a blank file gives one null line.
+
+    Spark lists no zero-byte files. Our own writer ends each file with a line break; for files
+    from elsewhere pass their names to ``label_file_validity``.
+    """
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(
         F.col("_metadata.file_path").alias("path"), "value"
     )
@@ -40,18 +43,27 @@ def parse_label_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def label_file_validity(lines: DataFrame, require_nonempty: bool = True) -> DataFrame:
+def label_file_validity(
+    lines: DataFrame, require_nonempty: bool = True, files: DataFrame | None = None
+) -> DataFrame:
     """(image_stem, n_lines, is_valid): one bad line spoils its file.
 
     Empty files are invalid for training; pass ``require_nonempty=False`` for the labeller's rule.
+    ``files`` (image_stem) lists files that must appear even when they hold nothing.
     """
     good = is_label_line(F.col("line"))
     per_file = lines.groupBy("image_stem").agg(
         F.count("line").alias("n_lines"),
-        F.coalesce(F.bool_and(F.when(F.col("line").isNotNull(), good)), F.lit(True)).alias("_good"),
+        F.bool_and(F.when(F.col("line").isNotNull(), good)).alias("_good"),
+    )
+    if files is not None:
+        per_file = files.select("image_stem").distinct().join(per_file, "image_stem", "full")
+    count = F.coalesce("n_lines", F.lit(0))
+    filled = (count > 0) if require_nonempty else F.lit(True)
+    return per_file.select(
+        "image_stem", count.alias("n_lines"),
+        (F.coalesce("_good", F.lit(True)) & filled).alias("is_valid"),
     )
-    filled = (F.col("n_lines") > 0) if require_nonempty else F.lit(True)
-    return per_file.select("image_stem", "n_lines", (F.col("_good") & filled).alias("is_valid"))
 
 
 def read_label_json(spark: SparkSession, folder: str) -> DataFrame:
