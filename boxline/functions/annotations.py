@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxline.functions.binding import bind
 from boxline.schemas import CLASSES, LABEL_JSON
 
 # The flat form `name: [x, y, x, y]` and the object form, as regular expressions.
@@ -50,14 +51,16 @@ def json_objects(response: Column) -> Column:
 
 def is_label_line(line: Column, class_count: int = len(CLASSES)) -> Column:
     """Whether a line reads ``class_id cx cy w h`` with a known class and values in 0..1."""
+    def holds(parts: Column) -> Column:
+        class_id = F.get(parts, F.lit(0)).try_cast("int")
+        good = (F.size(parts) == 5) & (class_id >= 0) & (class_id < class_count)
+        for i in range(1, 5):
+            value = F.get(parts, F.lit(i)).try_cast("double")
+            good = good & (value >= 0) & (value <= 1)
+        return good
+
     parts = F.split(F.regexp_replace(line, "(?U)^\\s+|\\s+$", ""), "(?U)\\s+")
-    class_id = F.get(parts, F.lit(0)).try_cast("int")
-    known = (class_id >= 0) & (class_id < class_count)
-    inside = F.lit(True)
-    for i in range(1, 5):
-        value = F.get(parts, F.lit(i)).try_cast("double")
-        inside = inside & (value >= 0) & (value <= 1)
-    return F.coalesce((F.size(parts) == 5) & known & inside, F.lit(False))
+    return F.coalesce(bind(parts, holds), F.lit(False))
 
 
 def label_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:

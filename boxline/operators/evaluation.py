@@ -91,19 +91,23 @@ def precision_curve(
     })
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    """Per class and IoU level: the area under the precision envelope."""
-    by_level = Window.partitionBy("class", "level")
-    lower = by_level.orderBy(F.col("bucket").desc()).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
-    )
-    gained = F.col("recall") - F.coalesce(
-        F.lag("recall").over(by_level.orderBy(F.col("bucket").desc())), F.lit(0.0)
-    )
+def _f1() -> Column:
+    precision, recall = F.col("precision"), F.col("recall")
+    return 2 * precision * recall / (precision + recall + 1e-6)
+
+
+def level_scores(curve: DataFrame) -> DataFrame:
+    """Per class and IoU level: the area under the precision envelope, and the best F1 point."""
+    by_level = Window.partitionBy("class", "level").orderBy(F.col("bucket").desc())
+    lower = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    gained = F.col("recall") - F.coalesce(F.lag("recall").over(by_level), F.lit(0.0))
     return (
         curve.withColumns({"envelope": F.max("precision").over(lower), "gained": gained})
         .groupBy("class", "level")
-        .agg(F.sum(F.col("envelope") * F.col("gained")).alias("ap"))
+        .agg(
+            F.sum(F.col("envelope") * F.col("gained")).alias("ap"),
+            F.max_by(F.struct("precision", "recall"), F.struct(_f1(), "bucket")).alias("best"),
+        )
     )
 
 
@@ -114,30 +118,27 @@ def evaluate(
 
     ``classes`` lists the classes to report; one without predictions scores 0.
     """
-    curve = precision_curve(predictions, truths, limit=limit)
-    ap = average_precision(curve).groupBy("class").agg(
-        F.max(F.when(F.col("level") == IOU_LEVELS[0], F.col("ap"))).alias("ap50"),
+    at_first = F.col("level") == IOU_LEVELS[0]
+    scored = level_scores(precision_curve(predictions, truths, limit=limit)).groupBy("class").agg(
+        F.max(F.when(at_first, F.col("ap"))).alias("ap50"),
         (F.sum("ap") / len(IOU_LEVELS)).alias("ap50_95"),
-    )
-    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-6)
-    best = curve.where(F.col("level") == IOU_LEVELS[0]).withColumn("f1", f1).groupBy("class").agg(
-        F.max_by(F.struct("precision", "recall"), F.struct("f1", "bucket")).alias("b")
-    )
-    scores = classes.select("class").join(ap, "class", "left").join(best, "class", "left").select(
-        "class",
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(n) for c, n in (
-            ("ap50", "ap50"), ("ap50_95", "ap50_95"),
-            ("b.precision", "precision"), ("b.recall", "recall"),
-        )],
-    )
+        F.max(F.when(at_first, F.col("best"))).alias("best"),
+    ).select("class", "ap50", "ap50_95", "best.precision", "best.recall")
     values = ["ap50", "ap50_95", "precision", "recall"]
+    scores = classes.select("class").join(scored, "class", "left").na.fill(0.0, values)
     both = scores.rollup("class").agg(*[F.avg(c).alias(c) for c in values])
-    return both.withColumn("class", F.coalesce("class", F.lit("all"))).withColumn("f1", f1)
+    return both.withColumn("class", F.coalesce("class", F.lit("all"))).withColumn("f1", _f1())
 
 
 def character_error_rate(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Edit distance summed over (predicted, truth) texts, divided by the truth length."""
-    return pairs.groupBy(*keys).agg(
-        F.sum(F.levenshtein("predicted", "truth")).alias("edits"),
-        F.sum(F.length("truth")).alias("chars"),
+    """Edit distance summed over (predicted, truth) texts, divided by the truth length.
+
+    Equal pairs are compared once. The distance is quadratic in the text length, so the pairs are
+    spread over all shuffle partitions first, however few bytes they are.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pairs.groupBy(*keys, "predicted", "truth").agg(F.count(F.lit(1)).alias("_n"))
+    return distinct.repartition(parts).groupBy(*keys).agg(
+        F.sum(F.levenshtein("predicted", "truth") * F.col("_n")).alias("edits"),
+        F.sum(F.length("truth") * F.col("_n")).alias("chars"),
     ).withColumn("cer", F.try_divide("edits", "chars"))

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from boxline.functions.geometry import shifted
 from boxline.functions.sizing import effective_width, is_text_component
 from boxline.operators.hot import HOT_ROWS, lookup_join
-from boxline.operators.metrics import exact_quantiles
 from boxline.operators.ordered import OrderedGroups, slice_rows, with_group_totals
 
 SLICE = 100_000
@@ -160,38 +159,69 @@ def component_lines(
     )
 
 
+def _ranked_height(rank: Column) -> Column:
+    """The height at a 0-based rank of the sorted (h, n) array."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("h"))
+    return F.aggregate(
+        "_heights", start,
+        lambda s, x: F.struct(
+            (s["seen"] + x["n"]).alias("seen"),
+            F.when(s["h"].isNull() & (s["seen"] + x["n"] > rank), x["h"]).otherwise(s["h"]).alias("h"),
+        ),
+        lambda s: s["h"],
+    )
+
+
+def _weighted(value) -> Column:
+    """Sum of ``value(h) * n`` over the (h, n) array."""
+    return F.aggregate(
+        "_heights", F.lit(0.0), lambda a, x: a + value(x["h"].cast("double")) * x["n"]
+    )
+
+
 def text_structure(components: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Character height, line height, spacing and a ten-bin height histogram per image.
 
-    Images without a usable component get the defaults 20, 30 and 10.
+    Images without a usable component get the defaults 20, 30 and 10. Heights are pixel counts of
+    one image, so once counted they are a short array per image, whatever its components.
     """
     keys = ["image_id"]
-    used = components.where(is_text_component())
-    heights = used.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("n"))
-    stats = heights.groupBy(*keys).agg(
+    heights = components.where(is_text_component()).groupBy(*keys, "h").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    shapes = heights.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("h", "n"))).alias("_heights"),
         F.sum("n").alias("num_chars"),
         F.min("h").alias("_low"),
         F.max("h").alias("_high"),
     )
-    spread = used.groupBy(*keys).agg(F.stddev_pop("h").alias("_std"))
-    median = exact_quantiles(used, keys, "h", {"_median": 0.5}, detect=False)
-    # Heights are pixel counts, so an image has a few thousand distinct ones at most.
-    binned = lookup_join(heights, stats, keys, detect=False)
-    low = F.when(F.col("_low") == F.col("_high"), F.col("_low") - 0.5).otherwise(F.col("_low"))
-    step = F.when(F.col("_low") == F.col("_high"), F.lit(0.1)).otherwise(
-        (F.col("_high") - F.col("_low")) / 10
-    )
-    place = F.least(F.lit(9), F.floor((F.col("h") - low) / step).cast("int"))
-    bins = binned.withColumn("_bin", place).groupBy(*keys).agg(
-        F.array(*[
-            F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("n"))), F.lit(0)) for i in range(10)
-        ]).alias("height_distribution")
-    )
-    joined = stats.join(spread, keys).join(median, keys).join(bins, keys)
+    middle = (F.col("num_chars") - 1) / 2
+    shapes = shapes.withColumns({
+        "_char": (
+            (_ranked_height(F.floor(middle)) + _ranked_height(F.ceil(middle))) / 2
+        ).cast("int"),
+        "_mean": _weighted(lambda h: h) / F.col("num_chars"),
+    }).withColumn(
+        "_std",
+        F.sqrt(_weighted(lambda h: (h - F.col("_mean")) * (h - F.col("_mean"))) / F.col("num_chars")),
+    )
+    even = F.col("_low") == F.col("_high")
+    low = F.when(even, F.col("_low") - 0.5).otherwise(F.col("_low"))
+    step = F.when(even, F.lit(0.1)).otherwise((F.col("_high") - F.col("_low")) / 10)
+    bins = F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda i: F.aggregate(
+            "_heights", F.lit(0).cast("long"),
+            lambda a, x: a + F.when(
+                F.least(F.lit(9), F.floor((x["h"] - low) / step).cast("int")) == i, x["n"]
+            ).otherwise(0),
+        ),
+    )
+    shapes = shapes.withColumn("height_distribution", bins)
     if images is not None:
-        joined = images.select(*keys).join(joined, keys, "left")
-    char = F.col("_median").cast("int")
-    return joined.select(
+        shapes = images.select(*keys).join(shapes, keys, "left")
+    char = F.col("_char")
+    return shapes.select(
         *keys,
         F.coalesce(char, F.lit(20)).alias("char_height"),
         F.col("_std").cast("int").alias("char_height_std"),

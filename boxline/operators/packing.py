@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boxline.operators.hot import hot_keys, split_hot
 from boxline.operators.ordered import OrderedGroups, slice_rows, with_group_totals
+from boxline.session import pin
 
 # Fixed values of the line packer.
 GAP = 20
@@ -15,8 +17,8 @@ TARGET_HEIGHT = 48
 MAX_PACK_WIDTH = 8192
 BATCH_SIZE = 32
 BATCH_PADDING = 5
-# Lines per slice array, and slices per array when slices are chained.
-SLICE = 1_000
+# Lines per array, and slices per array when the slices of a long image are chained.
+SLICE = 4_000
 FAN = 1_000
 
 
@@ -89,13 +91,19 @@ def pack_limits(
     )
 
 
+def _grow(state: Column, line: Column, limit: Column) -> tuple[Column, Column]:
+    """(width of the open pack with the line in it, whether the line may join)."""
+    wide = state["w"] + line["w"] + F.when(state["n"] > 0, GAP).otherwise(0)
+    # |h - mean height| < mean height, without a division
+    similar = F.abs(line["h"] * state["n"] - state["sh"]) < state["sh"]
+    fits = (state["n"] == 0) | ((wide <= limit) & (state["n"] < PACK_LINES) & similar)
+    return wide, fits
+
+
 def _reaches(lines: Column, own: Column, limit: Column) -> Column:
     """For each own line: how many lines a pack holds that starts there."""
     def grow(state: Column, line: Column) -> Column:
-        wide = state["w"] + line["w"] + F.when(state["n"] > 0, GAP).otherwise(0)
-        # |h - mean height| < mean height, without a division
-        similar = F.abs(line["h"] * state["n"] - state["sh"]) < state["sh"]
-        fits = (state["n"] == 0) | ((wide <= limit) & similar)
+        wide, fits = _grow(state, line, limit)
         longer = F.struct(
             wide.alias("w"), (state["n"] + 1).alias("n"), (state["sh"] + line["h"]).alias("sh"),
             F.lit(True).alias("open"),
@@ -197,44 +205,79 @@ def _entries(slices: DataFrame, keys: list[str], levels: int) -> DataFrame:
     )
 
 
-def pack_lines(
-    lines: DataFrame, keys: list[str] = ["image_id"], strategy: str = "adaptive",
-    size: int = SLICE,
-) -> DataFrame:
-    """Greedy packs of consecutive lines: adds ``pack`` (0..) and the limit used.
+def _item() -> Column:
+    return F.struct(
+        "line_no", F.col("scaled_width").cast("long").alias("w"),
+        F.col("char_height").cast("long").alias("h"),
+    )
 
-    ``lines`` carries ``line_no`` (dense, 0-based), ``effective_width``, ``char_height`` and
-    ``scaled_width``. A line joins the open pack when the widths plus gaps stay within the limit,
-    the pack has fewer than 20 lines and its height is near the mean of the pack.
 
-    The lines of an image are cut into slices. How far a pack reaches depends on the next 20
-    lines only, so each slice is followed for every possible entry and the slices are chained.
+def _numbered(packs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per line of the arrays ``_lines`` and ``_packs``."""
+    return packs.select(
+        *keys, "pack_limit", F.posexplode("_packs").alias("_i", "pack"), "_lines"
+    ).select(
+        *keys,
+        F.get("_lines", F.col("_i"))["line_no"].alias("line_no"),
+        F.get("_lines", F.col("_i"))["w"].alias("scaled_width"),
+        F.get("_lines", F.col("_i"))["h"].alias("char_height"),
+        "pack", "pack_limit",
+    )
+
+
+def _pack_whole(lines: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+    """Packs of images whose lines fit one array: one shuffle, no join."""
+    limit = pack_limit(F.col("_mw"), F.col("_xw"), F.col("_mh"), strategy)
+    arrays = lines.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(_item())).alias("_lines"),
+        F.avg("effective_width").alias("_mw"),
+        F.max("effective_width").alias("_xw"),
+        F.avg("char_height").alias("_mh"),
+    ).withColumn("pack_limit", limit)
+
+    def step(state: Column, line: Column) -> Column:
+        wide, fits = _grow(state, line, F.col("pack_limit"))
+        pack = F.when(fits, state["pack"]).otherwise(state["pack"] + 1)
+        return F.struct(
+            F.when(fits, wide).otherwise(line["w"]).alias("w"),
+            F.when(fits, state["n"] + 1).otherwise(F.lit(1)).alias("n"),
+            F.when(fits, state["sh"] + line["h"]).otherwise(line["h"]).alias("sh"),
+            pack.alias("pack"),
+            F.concat(state["out"], F.array(pack)).alias("out"),
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(
+        zero.alias("w"), F.lit(0).alias("n"), zero.alias("sh"), zero.alias("pack"),
+        F.array().cast("array<bigint>").alias("out"),
+    )
+    packs = F.aggregate("_lines", start, step, lambda s: s["out"])
+    return _numbered(arrays.withColumn("_packs", packs), keys)
+
+
+def _pack_sliced(lines: DataFrame, keys: list[str], strategy: str, size: int) -> DataFrame:
+    """Packs of long images, cut into slices.
+
+    How far a pack reaches depends on the next 20 lines only, so each slice is followed for every
+    possible entry and the slices are chained.
     """
-    if size < PACK_LINES:
-        raise ValueError("a slice must hold at least one full pack")
     sliced = slice_rows(lines, "line_no", size, after=PACK_LINES - 1)
     sliced = with_group_totals(sliced, keys, {
         "_mw": F.avg(F.when(F.col("_own"), F.col("effective_width"))),
         "_xw": F.max("effective_width"),
         "_mh": F.avg(F.when(F.col("_own"), F.col("char_height"))),
-        "_last_slice": F.max("_slice"),
     })
     limit = pack_limit(F.col("_mw"), F.col("_xw"), F.col("_mh"), strategy)
-    item = F.struct(
-        "line_no", F.col("scaled_width").cast("long").alias("w"),
-        F.col("char_height").cast("long").alias("h"),
-    )
     arrays = sliced.groupBy(*keys, "_slice").agg(
-        F.array_sort(F.collect_list(item)).alias("_lines"),
+        F.array_sort(F.collect_list(_item())).alias("_lines"),
         F.count_if(F.col("_own")).alias("_n"),
         F.first(limit).alias("pack_limit"),
-        F.first("_last_slice").alias("_last_slice"),
     ).withColumn("_reach", _reaches(F.col("_lines"), F.col("_n"), F.col("pack_limit")))
-    long_images = arrays.where(F.col("_last_slice") > 0).select(
+    arrays = pin(arrays)
+    moves = arrays.select(
         *keys, "_slice", _all_entries(lambda e: _walk(F.col("_reach"), e)).alias("moves")
     )
-    known = _entries(long_images, keys, levels=2)
-    entered = arrays.join(known, [*keys, "_slice"], "left")
+    entered = arrays.join(_entries(moves, keys, levels=2), [*keys, "_slice"])
 
     def step(state: Column, reach: Column) -> Column:
         here = state["at"] == state["next"]
@@ -247,20 +290,33 @@ def pack_lines(
         )
 
     start = F.struct(
-        F.lit(0).alias("at"),
-        F.coalesce(F.col("entry"), F.lit(0)).alias("next"),
-        (F.coalesce(F.col("base"), F.lit(0)).cast("long") - 1).alias("pack"),
+        F.lit(0).alias("at"), F.col("entry").alias("next"), (F.col("base") - 1).alias("pack"),
         F.array().cast("array<bigint>").alias("out"),
     )
     packs = F.aggregate("_reach", start, step, lambda s: s["out"])
-    return entered.withColumn("_packs", packs).select(
-        *keys, "pack_limit", F.posexplode("_packs").alias("_i", "pack"), "_lines"
-    ).select(
-        *keys,
-        F.get("_lines", F.col("_i"))["line_no"].alias("line_no"),
-        F.get("_lines", F.col("_i"))["w"].alias("scaled_width"),
-        F.get("_lines", F.col("_i"))["h"].alias("char_height"),
-        "pack", "pack_limit",
+    return _numbered(entered.withColumn("_packs", packs), keys)
+
+
+def pack_lines(
+    lines: DataFrame, keys: list[str] = ["image_id"], strategy: str = "adaptive",
+    size: int = SLICE, hot: DataFrame | None = None, detect: bool = True,
+) -> DataFrame:
+    """Greedy packs of consecutive lines: adds ``pack`` (0..) and the limit used.
+
+    ``lines`` carries ``line_no`` (dense, 0-based), ``effective_width``, ``char_height`` and
+    ``scaled_width``. A line joins the open pack when the widths plus gaps stay within the limit,
+    the pack has fewer than 20 lines and its height is near the mean of the pack. Images with
+    more than ``size`` lines are packed in slices, with the same result.
+    """
+    if size < PACK_LINES:
+        raise ValueError("a slice must hold at least one full pack")
+    if hot is None and detect:
+        hot = hot_keys(lines, keys, size)
+    if hot is None:
+        return _pack_whole(lines, keys, strategy)
+    light, heavy = split_hot(lines, hot, keys)
+    return _pack_whole(light, keys, strategy).unionByName(
+        _pack_sliced(heavy, keys, strategy, size)
     )
 
 

@@ -24,6 +24,8 @@ from boxline.operators.hot import hot_keys, small
 CROPS_PER_ROW = 256
 # Rows of boxes that share one copy of an image in the join.
 PARTS_PER_COPY = 64
+# Crops given back to Spark at once.
+CROP_BYTES, CROP_ROWS = 64_000_000, 10_000
 # Fixed value: mean gray above this is an empty region.
 EMPTY_GRAY = 240
 EMPTY, KNOWN, MULTI, SINGLE = "empty", "known", "multi_line", "single_line"
@@ -129,34 +131,47 @@ def crop_regions(images: DataFrame, regions: DataFrame, crops: int = CROPS_PER_R
         "channels int, mean_gray double"
     )
 
+    columns = [part.split()[0] for part in schema.split(", ")]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                rows = []
                 pixels = _pixels(row)
                 for box in row.boxes:
-                    piece = None
-                    if pixels is not None:
-                        h, w = pixels.shape[:2]
-                        x1, x2 = sorted((max(0, min(box["x1"], w)), max(0, min(box["x2"], w))))
-                        y1, y2 = sorted((max(0, min(box["y1"], h)), max(0, min(box["y2"], h))))
-                        if box["x2"] > box["x1"] and box["y2"] > box["y1"]:
-                            piece = pixels[y1:y2, x1:x2]
-                    if piece is None or piece.size == 0:
-                        rows.append((row.image_id, box["region_idx"], None, 0, 0, 0, None))
+                    piece = _piece(pixels, box)
+                    key = (row.image_id, box["region_idx"])
+                    if piece is None:
+                        rows.append((*key, None, 0, 0, 0, None))
                     else:
                         rows.append((
-                            row.image_id, box["region_idx"], piece.tobytes(), piece.shape[0],
-                            piece.shape[1], piece.shape[2], float(_gray(piece).mean()),
+                            *key, piece.tobytes(), *piece.shape, float(_gray(piece).mean())
                         ))
-                yield pd.DataFrame(rows, columns=[
-                    "image_id", "region_idx", "crop", "crop_height", "crop_width", "channels",
-                    "mean_gray",
-                ]).astype({"mean_gray": "float64"})
+                        held += piece.size
+                if held > CROP_BYTES or len(rows) > CROP_ROWS:
+                    yield _crop_frame(rows, columns)
+                    rows, held = [], 0
+        yield _crop_frame(rows, columns)
 
     return paired.mapInPandas(cut, schema)
 
 
+def _crop_frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns).astype({"mean_gray": "float64"})
+
+
+def _piece(pixels: np.ndarray | None, box) -> np.ndarray | None:
+    """The pixels of a box, clamped to the image; None when nothing is left."""
+    if pixels is None or box["x2"] <= box["x1"] or box["y2"] <= box["y1"]:
+        return None
+    h, w = pixels.shape[:2]
+    piece = pixels[
+        max(0, min(box["y1"], h)):max(0, min(box["y2"], h)),
+        max(0, min(box["x1"], w)):max(0, min(box["x2"], w)),
+    ]
+    return piece if piece.size else None
+
+
 def _pixels(row) -> np.ndarray | None:
     if row.data is None or row.height is None or not row.height > 0:
         return None

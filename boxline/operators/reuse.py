@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxline.functions.fingerprint import hamming, similarity
 from boxline.operators.hot import HOT_ROWS, hot_keys, lookup_join
+from boxline.session import pin
 
 # Rows per band bucket compared directly; larger buckets are split by further bits.
 BAND_ROWS = 1_000
@@ -103,7 +104,8 @@ def near_duplicates(
     bands = max_distance + 1
     distinct = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     value = F.col("h")
-    rows = distinct.select(F.col(key).alias("h"), F.col("n"))
+    # Two numbers per distinct fingerprint, read several times below.
+    rows = pin(distinct.select(F.col(key).alias("h"), F.col("n")))
 
     def banded(frame: DataFrame, path: str, pieces: list) -> DataFrame:
         entries = F.array(*[
