@@ -17,15 +17,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def detections(spark: SparkSession, folder: str) -> DataFrame:
     """One detection per line item: the order is the image, the line number the class."""
     rows = table(spark, folder, "lineitem")
-    key = F.md5(F.concat_ws(
-        "-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        F.col("l_quantity").cast("int"),
-    ))
+    # Unique within an image, and within a long at any scale of the tables.
+    det_id = (
+        F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") % 1_000 * 1_000
+        + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")
+    )
     x1 = (F.col("l_partkey") * 37) % 780 - 10
     y1 = (F.col("l_suppkey") * 53) % 580 - 10
     return rows.select(
         F.col("l_orderkey").alias("image_id"),
-        F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("det_id"),
+        det_id.alias("det_id"),
         (F.col("l_linenumber") - 1).alias("class_id"),
         class_name(F.col("l_linenumber") - 1).alias("class"),
         x1.cast("int").alias("x1"),

@@ -19,7 +19,7 @@ def latency_summary(spark, folder):
 
 
 def latency_by_worker(spark, folder):
-    return _rounded(M.latency_summary(X.timings(spark, folder), ["config", "item_id"]))
+    return _rounded(M.latency_summary(X.timings(spark, folder), ["config", "item_id"]), 6)
 
 
 def mode_comparison(spark, folder):
@@ -101,7 +101,7 @@ stats AS (SELECT config, worker_id, count(*) AS n_regions, avg(time_ms) AS avg_m
 
 SQL = {
     "latency_summary": _latency("config"),
-    "latency_by_worker": _latency("config, item_id"),
+    "latency_by_worker": _latency("config, item_id").replace(", 4)", ", 6)"),
     "mode_comparison": V.using(V.TIMINGS, """m AS (SELECT engine,
     CASE WHEN config = 'error' THEN elapsed_ms END AS u,
     CASE WHEN config <> 'error' THEN elapsed_ms END AS c FROM timings)""") + """

@@ -2,8 +2,8 @@
 
 DETECTIONS = """detections AS (
   SELECT l_orderkey AS image_id,
-    CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-      CAST(l_quantity AS INT))), 1, 15) AS BIGINT) AS det_id,
+    l_partkey * 1000000 + l_suppkey % 1000 * 1000 + l_linenumber * 100
+      + CAST(l_quantity AS INT) AS det_id,
     l_linenumber - 1 AS class_id,
     ['receiver_avatar', 'receiver_name', 'input_box', 'send_button', 'chat_message',
      'contact_item', 'user_avatar'][l_linenumber] AS class,

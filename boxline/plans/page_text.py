@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxline.functions.geometry import BOX
 from boxline.functions.sizing import line_method
+from boxline.operators.hot import lookup_join
 from boxline.operators.lines import (
     MERGE_GAP, MIN_LINE_HEIGHT, component_lines, merge_close, projection_runs,
 )
@@ -41,7 +43,8 @@ def hybrid_lines(
         )
 
     def of(rows: DataFrame, method: str) -> DataFrame:
-        return rows.join(chosen.where(F.col("method") == method), "image_id", "left_semi")
+        wanted = chosen.where(F.col("method") == method).select("image_id")
+        return lookup_join(rows, wanted, ["image_id"])
 
     found = projection_runs(of(profiles, "projection"), min_height).select(
         "image_id", "start", "end"
@@ -62,9 +65,9 @@ def region_lines(
     """Text lines of the regions of some classes, in image coordinates, keyed by detection."""
     wanted = regions.where(F.col("class").isin(classes))
     keys = ["image_id", "det_id"]
-    own = profiles.join(wanted.select(*keys), keys, "left_semi")
+    own = lookup_join(profiles, wanted.select(*keys), keys)
     runs = projection_runs(own, min_height, keys=keys)
-    return runs.join(wanted, keys).select(
+    return lookup_join(runs, wanted.select(*keys, "class", *BOX), keys).select(
         *keys, "class",
         F.col("x1"), (F.col("y1") + F.col("start")).alias("y1"),
         F.col("x2"), (F.col("y1") + F.col("end")).alias("y2"),
