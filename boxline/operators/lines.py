@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxline.functions.geometry import shifted
-from boxline.functions.sizing import effective_width, is_text_component
+from boxline.functions.sizing import (
+    effective_width, estimated_chars, is_blank_line, is_text_component,
+)
 from boxline.operators.hot import HOT_ROWS, lookup_join
-from boxline.operators.ordered import OrderedGroups, slice_rows, with_group_totals
+from boxline.operators.ordered import OrderedGroups, ranked, slice_rows, with_group_totals
 
 SLICE = 100_000
 # Line rules of the projection splitter and of the multi-line engine.
@@ -107,6 +109,50 @@ def adaptive_runs(
     return _runs(rows, keys, "ink", least, size, [char_height])
 
 
+def describe_lines(runs: DataFrame, wide: Column) -> DataFrame:
+    """Adds center, height, confidence and ink ratio to runs found in row profiles.
+
+    The confidence is the mean ink count capped at 1, so it is nearly always 1; the ink ratio
+    tells full lines from sparse ones.
+    """
+    return runs.withColumns({
+        "center_y": F.floor((F.col("start") + F.col("end")) / 2).cast("int"),
+        "height": F.col("end") - F.col("start"),
+        "confidence": F.least(F.lit(1.0), F.col("mean_ink")),
+        "ink_ratio": F.col("mean_ink") / wide,
+    })
+
+
+def line_infos(runs: DataFrame, wide: Column, high: Column) -> DataFrame:
+    """Padded line boxes of the multi-line engine with their character estimate.
+
+    ``runs`` carries char_height, effective_width and mean_ink. Lines narrower than a character
+    or with less than 1% ink are dropped as blank.
+    """
+    pad = F.greatest(F.lit(2), F.floor(F.col("char_height") / 8).cast("int"))
+    density = F.col("mean_ink") / wide
+    blank = is_blank_line(F.col("effective_width"), F.col("char_height"), density)
+    return runs.where(~blank).withColumns({
+        "y1": F.greatest(F.lit(0), F.col("start") - pad),
+        "y2": F.least(high, F.col("end") + pad),
+        "estimated_chars": estimated_chars(F.col("effective_width"), F.col("char_height")),
+        "confidence": F.least(F.lit(1.0), density),
+    })
+
+
+def number_lines(
+    lines: DataFrame, keys: list[str], order: list[str], limit: int = HOT_ROWS
+) -> DataFrame:
+    """Adds ``line_no`` (0-based per key) and ``region_id``, the class with the number from 1.
+
+    The key must name the detection: the same ``region_id`` occurs once per detection of a class.
+    """
+    numbered = ranked(lines, keys, order, "_place", limit=limit)
+    return numbered.withColumn("line_no", (F.col("_place") - 1).cast("long")).withColumn(
+        "region_id", F.concat_ws("_", "class", "_place")
+    ).drop("_place")
+
+
 def merge_close(
     ranges: DataFrame, gap: Column, keys: list[str] = ["image_id"], strict: bool = False,
     limit: int = HOT_ROWS, hot: DataFrame | None = None,

@@ -31,6 +31,31 @@ def adaptive_line_runs(spark, folder):
     )
 
 
+def line_descriptions(spark, folder):
+    described = L.describe_lines(_short_runs(spark, folder), F.lit(200))
+    return described.select(
+        "image_id", "start", "center_y", "height",
+        *[F.round(c, 8).alias(c) for c in ("confidence", "ink_ratio")],
+    )
+
+
+def line_infos(spark, folder):
+    rows = X.profiles(spark, folder)
+    runs = L.adaptive_runs(rows.withColumn("char_height", F.lit(14))).withColumns({
+        "char_height": F.lit(40), "effective_width": F.col("mean_ink").cast("int"),
+    })
+    return L.line_infos(runs, F.lit(700), F.lit(100)).select(
+        "image_id", "y1", "y2", "estimated_chars", F.round("confidence", 5).alias("confidence")
+    )
+
+
+def line_numbers(spark, folder):
+    lines = _region_lines(spark, folder)
+    return L.number_lines(lines, ["image_id", "det_id"], ["y1", "y2"]).select(
+        "image_id", "det_id", "line_no", "region_id", "y1"
+    )
+
+
 def _short_runs(spark, folder):
     return L.projection_runs(X.profiles(spark, folder), min_height=1, kernel=3)
 
@@ -82,6 +107,10 @@ def hybrid_lines(spark, folder):
 
 
 def region_lines(spark, folder):
+    return _region_lines(spark, folder)
+
+
+def _region_lines(spark, folder):
     """Each document is an image with one region; its lines are found inside the region."""
     regions = X.table(spark, folder, "documents").select(
         F.col("doc_id").alias("image_id"), (F.col("doc_id") + 1).alias("det_id"),
@@ -107,7 +136,7 @@ def shifted_lines(spark, folder):
 QUERIES = {f.__name__: f for f in (
     smooth_profile, line_runs, adaptive_line_runs, merge_close_lines, component_lines,
     component_filters, text_structure, profile_widths, reading_order, hybrid_lines, region_lines,
-    shifted_lines,
+    shifted_lines, line_descriptions, line_infos, line_numbers,
 )}
 
 
@@ -147,7 +176,32 @@ _MEANS = """level AS (SELECT image_id,
     greatest(1, CAST(trunc(avg(ink) FILTER (ink > 0) * 0.1) AS INT)) AS level
   FROM profiles GROUP BY image_id)"""
 
+_REGION_RUNS = V.using(
+    V.PROFILES,
+    """regions AS (SELECT doc_id AS image_id, doc_id + 1 AS det_id FROM documents
+  WHERE lang = 'en')""",
+    "own AS (SELECT p.*, det_id FROM profiles p JOIN regions USING (image_id))",
+    _runs(3, 3, source="own", keys="image_id, det_id"),
+)
+
 SQL = {
+    "line_descriptions": V.using(V.PROFILES, _runs(3, 1)) + """
+SELECT image_id, start, CAST(floor((start + "end") / 2) AS INT) AS center_y,
+  "end" - start AS height, round(least(1.0, mean_ink), 8) AS confidence,
+  round(mean_ink / 200, 8) AS ink_ratio FROM runs""",
+    "line_infos": V.using(V.PROFILES, _MEANS, """r AS (SELECT image_id, min(y) AS start,
+    max(y) + 1 AS "end", avg(ink) AS mean_ink
+  FROM (SELECT image_id, y, ink, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS island
+    FROM profiles JOIN level USING (image_id) WHERE ink > level)
+  GROUP BY image_id, island HAVING max(y) + 1 - min(y) >= 8)""") + """
+SELECT image_id, CAST(greatest(0, start - 5) AS INT) AS y1, CAST(least(100, "end" + 5) AS INT) AS y2,
+  greatest(1, CAST(trunc(trunc(mean_ink) / (40 * 0.8::DOUBLE)) AS INT)) AS estimated_chars,
+  round(least(1.0, mean_ink / 700), 5) AS confidence
+FROM r WHERE trunc(mean_ink) >= 40 AND mean_ink / 700 >= 0.01""",
+    "line_numbers": _REGION_RUNS + """
+SELECT image_id, det_id, n AS line_no, 'chat_area_' || (n + 1) AS region_id, CAST(40 + start AS INT) AS y1
+FROM (SELECT *, row_number() OVER (PARTITION BY image_id, det_id ORDER BY start) - 1 AS n
+  FROM runs)""",
     "smooth_profile": V.using(V.PROFILES) + """
 SELECT image_id, y, round(sum(ink) OVER (PARTITION BY image_id ORDER BY y
   ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS smoothed FROM profiles""",
@@ -211,13 +265,7 @@ SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id
   UNION ALL SELECT image_id, y1, y2 FROM clusters)""",
         _merged("found", "< 5"),
     ) + "SELECT * FROM merged",
-    "region_lines": V.using(
-        V.PROFILES,
-        """regions AS (SELECT doc_id AS image_id, doc_id + 1 AS det_id FROM documents
-  WHERE lang = 'en')""",
-        "own AS (SELECT p.*, det_id FROM profiles p JOIN regions USING (image_id))",
-        _runs(3, 3, source="own", keys="image_id, det_id"),
-    ) + """
+    "region_lines": _REGION_RUNS + """
 SELECT image_id, det_id, 'chat_area' AS class, 20 AS x1, CAST(40 + start AS INT) AS y1,
   320 AS x2, CAST(40 + "end" AS INT) AS y2 FROM runs""",
     "shifted_lines": V.using(V.PROFILES, _runs(3, 3)) + """

@@ -101,7 +101,7 @@ def test_fields(spark):
         (3, None, 95, 0, 0, 1, 1, 0.9), (4, "chat_message", 99, 0, 0, 1, 1, 0.1),
     ]
     frame = spark.createDataFrame(rows, DETECTIONS)
-    for limit in (2, 1_000_000):
+    for limit in (1, 2, 1_000_000):
         got = {r.image_id: r for r in extract_fields(frame, limit=limit).collect()}
         assert sorted(got) == [1, 2]
         one = got[1]
