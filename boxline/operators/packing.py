@@ -213,9 +213,12 @@ def _item() -> Column:
 
 
 def _numbered(packs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per line of the arrays ``_lines`` and ``_packs``."""
+    """One row per line of the arrays ``_lines`` and ``_packs``.
+
+    No array is empty; the outer form keeps Spark from packing once more to test for that.
+    """
     return packs.select(
-        *keys, "pack_limit", F.posexplode("_packs").alias("_i", "pack"), "_lines"
+        *keys, "pack_limit", F.posexplode_outer("_packs").alias("_i", "pack"), "_lines"
     ).select(
         *keys,
         F.get("_lines", F.col("_i"))["line_no"].alias("line_no"),
