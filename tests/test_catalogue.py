@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from boxline.plans.catalog import load
 from boxline.testing import canonical
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = load()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -45,4 +46,4 @@ def test_entry(spark):
 
 
 def test_queries_take_session_and_folder():
-    assert all(len(inspect.signature(q).parameters) == 2 for q in QUERIES.values())
+    assert all(len(inspect.signature(q).parameters) == 2 for q in entry.queries().values())
