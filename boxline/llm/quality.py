@@ -143,18 +143,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0) -> Mod
 
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS,
-    keep=None, key: str = "doc_id", text: str = "text",
+    keep=None, key: str = "doc_id", text: str = "text", classes: bool = False,
 ) -> tuple[list[np.ndarray], np.ndarray]:
     """Indicator sets and labels of at most ``limit`` labelled documents outside the held-out fold.
 
     The ids are chosen by hash before any text is read; ids and labels are bounded by ``limit``.
-    ``keep(id column)`` says which documents may be learned from.
+    ``keep(id column)`` says which documents may be learned from. With ``classes`` labels are any
+    whole numbers and the least of a document's labels counts; without, 0 and 1.
     """
     marks = labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_label"))
     marks = marks.where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
     if keep is not None:
         marks = marks.where(keep(F.col("_id")))
-    marks = marks.groupBy("_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label"))
+    one = F.min("_label") if classes else (F.avg("_label") >= 0.5)
+    marks = marks.groupBy("_id").agg(one.cast("int").alias("_label"))
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(limit)
     texts = docs.select(F.col(key).alias("_id"), W.text_bytes(text).alias("_text"))
 

@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxline.llm import quality
+from boxline.llm import decontaminate, jaccard, mixing, quality, shards
+
+# Shares of all tokens that the mix should have.
+TARGETS = {"good": 0.87, "poor": 0.08, "toxic": 0.05}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Token rates of all documents for a target mix of good, poor and toxic text."""
+    marks = table(spark, folder, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+        .when(F.col("quality") == 0, "poor").alias("domain"),
+    )
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rated = mixing.mix(docs, marks, TARGETS)
+    return rated.select(
+        "doc_id", F.col("_tokens").alias("n_tokens"),
+        *(F.col("_posterior")[k].alias(f"p_{name}") for k, name in enumerate(TARGETS)),
+        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and test item whose text it holds, with the alignment."""
+    found = decontaminate.benchmark_matches(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "benchmark"),
+    )
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", F.col("m.item").alias("item_id"), F.col("m.score").alias("score"),
+        F.col("m.seeds").alias("n_seeds"), F.col("m.start").alias("start_word"),
+        F.col("m.end").alias("end_word"),
+    )
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality probability of every document, learned outside the held-out fifth."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -24,5 +55,22 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_classifier,)}
+def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; copies of a text stand together."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return shards.assign(docs, with_text=False).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document and its number of links."""
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_soft_mixing, op4_decontamination, op6_quality_classifier, op8_histogram_shards,
+    op10_jaccard_join,
+)}
 SQL: dict[str, str] = {}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxline.llm import quality
+from boxline.llm import decontaminate, jaccard, mixing, quality, shards
 from boxline.session import shared_path
 
 # A document below this probability of being marked good is rejected.
 LEAST_QUALITY = 0.3
+# Shares of all tokens after mixing.
+TARGETS = {"clean": 0.97, "toxic": 0.03}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,41 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(*docs.columns)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the least id, of each group of near duplicates."""
+    return jaccard.one_per_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    found = decontaminate.benchmark_matches(
+        docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), output="_matches"
+    )
+    return found.where(F.size("_matches") == 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says: toxic text less often, clean text at least once."""
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+        .alias("domain"),
+    )
+    rated = mixing.mix(docs, marks, TARGETS)
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return rated.where("_copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot."""
+    return shards.assign(docs)
+
+
 STAGES = [
     ("quality_classifier", quality_filter),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing_to_targets", mixed),
+    ("sharding", sharded),
 ]
 
 # Trained models decide which rows stay, which SQL can't express; tests hold the stages against loops.
