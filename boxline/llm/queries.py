@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxline.llm import decontaminate, jaccard, mixing, quality, shards
+from boxline.llm import (
+    decontaminate, extract, jaccard, lblm, mixing, pseudonyms, quality, rules, shards, tokens,
+)
+from boxline.session import shared_path
 
 # Shares of all tokens that the mix should have.
 TARGETS = {"good": 0.87, "poor": 0.08, "toxic": 0.05}
 
+# A stand-in for a secret that a user supplies.
+PSEUDONYM_KEY = b"catalogue query"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -30,6 +36,20 @@ def op1_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_log_bilinear_model(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document, learned outside one seventh."""
+    return lblm.language_model_scores(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op3_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, rule posterior and verdict of every document."""
+    judged = rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "p_good",
+    )
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and test item whose text it holds, with the alignment."""
     found = decontaminate.benchmark_matches(
@@ -43,6 +63,14 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms, and how much there was."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    total = sum((F.col(f"n_{k}") for k in pseudonyms.KINDS), F.lit(0))
+    return done.withColumn("n_found", total)
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality probability of every document, learned outside the held-out fifth."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -55,6 +83,17 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written in shards and read back."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    place = shared_path(spark, "tokens")
+    tokens.write_tokens(docs, place, public_tokenizers.path("word_bpe_49k.json"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return tokens.document_digests(spark, place, kind).withColumnRenamed("doc", "doc_id")
+
+
 def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; copies of a text stand together."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -64,13 +103,20 @@ def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract.extract_text(pages, extract.train(pages))
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate class of every document and its number of links."""
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_soft_mixing, op4_decontamination, op6_quality_classifier, op8_histogram_shards,
+    op1_soft_mixing, op2_log_bilinear_model, op3_weak_supervision, op4_decontamination,
+    op5_pseudonyms, op6_quality_classifier, op7_token_files, op8_histogram_shards, op9_main_text,
     op10_jaccard_join,
 )}
 SQL: dict[str, str] = {}

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxline.llm.worker import kept
+
 # Bytes of text hashed at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -33,7 +35,6 @@ _SHAPE[ord("a"):ord("z") + 1] = ord("a")
 _SHAPE[ord("A"):ord("Z") + 1] = ord("A")
 _SHAPE[ord("0"):ord("9") + 1] = ord("0")
 _SHAPE[128:] = ord("a")
-_powers: list[np.ndarray] = []
 
 
 def text_bytes(column: str | Column) -> Column:
@@ -60,12 +61,14 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2^64 and of its inverse, at least ``n`` of each."""
-    if not _powers or len(_powers[0]) < n:
+    powers = kept().get("powers")
+    if powers is None or len(powers[0]) < n:
         size = max(n, BLOCK_BYTES + 1)
         base, inverse = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 1 << 64), U64)
         base[0] = inverse[0] = 1
-        _powers[:] = [np.multiply.accumulate(base), np.multiply.accumulate(inverse)]
-    return _powers[0], _powers[1]
+        powers = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+        kept()["powers"] = powers
+    return powers
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
