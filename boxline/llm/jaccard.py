@@ -147,7 +147,7 @@ def _parts(df: DataFrame, size: str, limit: int, groups: list[str]) -> DataFrame
 
 
 def _candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """A spanning forest (a, b) of the classes that share a band and survive the pruning."""
+    """Edges (a, b) that connect the classes of a band that survive the pruning, as stars."""
     bands = classes.select("_set", F.explode("_bands").alias("_band"))
     # Buckets with the same members in several bands are looked at once; members are named by
     # their count and 128 bits.
@@ -173,14 +173,17 @@ def _candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
             signs = signs.reshape(len(keys), HASHES)
             left, a, b = np.arange(len(keys)), [], []
             while len(left) > 1:
-                queue, left = [left[0]], left[1:]
+                queue, members, left = [left[0]], [keys[left[0]]], left[1:]
                 while queue and len(left):
                     at = queue.pop()
                     near = unpruned(signs[at], signs[left], rule)
-                    a += [keys[at]] * len(near)
-                    b += [keys[i] for i in left[near]]
+                    members += [keys[i] for i in left[near]]
                     queue += list(left[near])
                     left = np.delete(left, near)
+                # A star around the least member is the same edge from most bands of a group.
+                least = min(members)
+                a += [k for k in members if k != least]
+                b += [least] * (len(members) - 1)
             if a:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]
@@ -219,7 +222,7 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray
 def _verified(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
     """Links of classes in groups: rows (a, b, texts, documents).
 
-    Rows with ``b`` are a spanning forest of links that hold; rows without give, for class ``a``, how
+    Rows with ``b`` connect what links that hold connect, as stars; rows without give, for class ``a``, how
     many classes and documents it links to within one unit of work.
     """
     rule = least_matches(threshold)
@@ -266,13 +269,15 @@ def _verified(groups: DataFrame, texts: DataFrame, threshold: float, n: int) ->
                     i = root[i]
                 return i
 
-            a, b = [], []
             for i, j in zip(rows.tolist(), columns.tolist()):
                 x, y = find(i), find(j)
+                # The root is the least class of its tree, so that edges form stars.
                 if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(keys[i]), b.append(keys[j])
+                    x, y = (x, y) if keys[x] < keys[y] else (y, x)
+                    root[y] = x
             seen = np.flatnonzero(reps)
+            a = [keys[i] for i in seen if find(i) != i]
+            b = [keys[find(i)] for i in seen if find(i) != i]
             m, k = len(a), len(seen)
             yield pa.RecordBatch.from_arrays([
                 pa.array(a + [keys[i] for i in seen], pa.binary()),

@@ -96,33 +96,44 @@ def text_counts(block: W.Block) -> np.ndarray:
     return out
 
 
-def _band(value, good, bad, worse_above=True):
-    """1 on the good side, -1 on the bad side, 0 between."""
-    if not worse_above:
-        value, good, bad = -value, -good, -bad
-    return np.where(value <= good, 1, np.where(value >= bad, -1, 0)).astype(np.int8)
+def _against(share, most):
+    """-1 where a share is over its limit, else no vote."""
+    return np.where(share > most, -1, 0)
 
 
-#: Rules by name: votes from the counts of texts with at least one word.
+def _prose(c):
+    lines = np.maximum(1, c["n_lines"])
+    return np.where(
+        (c["n_symbols"] <= 0.05 * c["n_words"]) & (c["n_capitals"] <= 0.2 * c["n_letters"])
+        & (c["n_letter_words"] >= 0.85 * c["n_words"]) & (c["n_same_words"] <= 0.02 * c["n_words"])
+        & (c["n_pipe_lines"] <= 0.1 * lines) & (((c["n_lines"] < 3) | (c["n_ended_lines"] >= 0.5 * lines)), 1, 0,
+    )
+
+
+def _vocabulary(c):
+    richness = c["n_kinds"] / c["n_words"] * np.log1p(c["n_words"])
+    return np.where(richness >= 1.5, 1, np.where(richness < 0.6, -1, 0))
+
+
+#: Rules by name: votes from the counts of texts with at least one word. A text that fails in one way looks
+#: well in all others, so rules on single faults only vote against.
 RULES = {
-    "length": lambda c: np.where(c["n_words"] < 50, -1, np.where(c["n_words"] >= 80, 1, 0)),
+    "prose": _prose,
+    "vocabulary": _vocabulary,
+    "length": lambda c: np.where(c["n_words"] < 20, -1, 0),
     "word_length": lambda c: np.where(
-        (c["word_chars"] >= 3 * c["n_words"]) & (c["word_chars"] <= 9 * c["n_words"]), 1,
-        np.where((c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 12 * c["n_words"]), -1, 0),
-    ),
-    "symbols": lambda c: _band(c["n_symbols"] / c["n_words"], 0.02, 0.1),
-    "repeated_lines": lambda c: _band(c["n_dup_lines"] / np.maximum(1, c["n_lines"]), 0.1, 0.3),
-    "repeated_words": lambda c: _band(c["n_repeat_words"] / c["n_words"], 0.2, 0.5),
-    "capitals": lambda c: _band(c["n_capitals"] / np.maximum(1, c["n_letters"]), 0.15, 0.4),
-    "same_words": lambda c: _band(c["n_same_words"] / c["n_words"], 0.02, 0.2),
-    "letters": lambda c: _band(c["n_letter_words"] / c["n_words"], 0.9, 0.7, worse_above=False),
-    "line_ends": lambda c: _band(
-        c["n_ended_lines"] / np.maximum(1, c["n_lines"]), 0.6, 0.2, worse_above=False
+        (c["word_chars"] < 2.5 * c["n_words"]) | (c["word_chars"] > 12 * c["n_words"]), -1, 0
     ),
-    "tables": lambda c: _band(c["n_pipe_lines"] / np.maximum(1, c["n_lines"]), 0.05, 0.4),
-    "kinds": lambda c: _band(
-        c["n_kinds"] / c["n_words"] * np.log1p(c["n_words"]), 1.2, 0.6, worse_above=False
+    "symbols": lambda c: _against(c["n_symbols"] / c["n_words"], 0.1),
+    "repeated_lines": lambda c: _against(c["n_dup_lines"] / np.maximum(1, c["n_lines"]), 0.5),
+    "repeated_words": lambda c: _against(c["n_repeat_words"] / c["n_words"], 0.4),
+    "capitals": lambda c: _against(c["n_capitals"] / np.maximum(1, c["n_letters"]), 0.4),
+    "same_words": lambda c: _against(c["n_same_words"] / c["n_words"], 0.2),
+    "few_letters": lambda c: _against(1 - c["n_letter_words"] / c["n_words"], 0.3),
+    "open_lines": lambda c: _against(
+        np.where(c["n_lines"] < 3, 0, 1 - c["n_ended_lines"] / np.maximum(1, c["n_lines"])), 0.8
     ),
+    "tables": lambda c: _against(c["n_pipe_lines"] / np.maximum(1, c["n_lines"]), 0.4),
 }
 
 
@@ -140,12 +151,11 @@ def votes(counts: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
     """(share of good texts, log odds table [rule, vote + 1]) by expectation-maximisation.
 
-    Votes of a rule depend on the text's class only. It starts from a majority of votes, so that "good" is
-    what most rules vote for.
+    Votes of a rule depend on the text's class only. Texts fail in many ways, most of them by one or two
+    rules, so it starts from bad texts being those that any rule votes against.
     """
     m = patterns.shape[1]
-    total = patterns.sum(axis=1)
-    good = 1 / (1 + np.exp(-np.clip(total - 0.25 * m, -30, 30)))
+    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
     share, odds = 0.5, np.zeros((m, 3))
     for _ in range(MOST_ROUNDS):
         tables = []
