@@ -106,7 +106,9 @@ def _prose(c):
     return np.where(
         (c["n_symbols"] <= 0.05 * c["n_words"]) & (c["n_capitals"] <= 0.2 * c["n_letters"])
         & (c["n_letter_words"] >= 0.85 * c["n_words"]) & (c["n_same_words"] <= 0.02 * c["n_words"])
-        & (c["n_pipe_lines"] <= 0.1 * lines) & (((c["n_lines"] < 3) | (c["n_ended_lines"] >= 0.5 * lines)), 1, 0,
+        & (c["n_pipe_lines"] <= 0.1 * lines)
+        & ((c["n_lines"] < 3) | (c["n_ended_lines"] >= 0.5 * lines)),
+        1, 0,
     )
 
 
