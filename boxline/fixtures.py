@@ -123,6 +123,14 @@ def frames_of(events: DataFrame) -> DataFrame:
     )
 
 
+def frame_regions(events: DataFrame) -> DataFrame:
+    """Several recognised regions per frame: all events of a user on one day are one frame."""
+    day = F.col("ts").cast("date")
+    return frames_of(events).withColumns(
+        {"frame_id": F.unix_date(day).cast("long"), "ts": day.cast("timestamp")}
+    )
+
+
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text line of a document; its length is the ink of a pixel row."""
     return table(spark, folder, "documents").select(
@@ -140,7 +148,7 @@ def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     wide = F.length("line")
     return rows.select(
         "image_id", "line_no", "line",
-        F.least(F.lit(700), wide * 2 + 20).alias("effective_width"),
+        (wide * 2 + 20).alias("effective_width"),
         (F.lit(14) + wide % 60).alias("char_height"),
     ).withColumn(
         "scaled_width",

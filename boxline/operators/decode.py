@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxline.functions import decode as D
-from boxline.operators.hot import HOT_ROWS
+from boxline.operators.hot import HOT_ROWS, null_safe_join
 from boxline.operators.ordered import OrderedGroups
 
 # Characters joined into one string; longer lines are given in parts.
@@ -66,9 +66,10 @@ def decode_steps(
     # A line without characters keeps one empty part.
     lines = steps.select("line_id").distinct()
     return (
-        lines.join(pieces.drop("_sum", "_n"), "line_id", "left")
-        .join(means, "line_id", "left")
-        .select(
+        null_safe_join(
+            null_safe_join(lines, pieces.drop("_sum", "_n"), ["line_id"], "left"), means, ["line_id"],
+            "left",
+        ).select(
             "line_id",
             F.coalesce("part", F.lit(0)).alias("part"),
             F.coalesce("text", F.lit("")).alias("text"),

@@ -67,19 +67,25 @@ def lookup_join(
     limit: int = HOT_ROWS,
     hot: DataFrame | None = None,
     detect: bool = True,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a table with at most one row per key (``inner`` or ``left``).
 
     Rows of hot keys never meet in one task: their few partner rows are broadcast, and all
     other rows take the ordinary shuffled join. Pass ``hot`` to reuse keys already found, or
-    ``detect=False`` when the keys are known to be unique in ``big``.
+    ``detect=False`` when the keys are known to be unique in ``big``. With ``null_safe`` null keys match,
+    as they do in a grouping. ``per_key`` is worked out once, also when both kinds of keys occur.
     """
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        return null_safe_join(left, right, keys, how) if null_safe else left.join(right, keys, how)
+
     if hot is None and detect:
         hot = hot_keys(big, keys, limit)
     if hot is None:
-        return big.join(per_key, keys, how)
+        return join(big, per_key)
+    per_key = pin(per_key)
     light, heavy = split_hot(big, hot, keys)
-    wanted = per_key.join(small(hot.select(*keys)), keys, "left_semi")
+    wanted = null_safe_join(per_key, small(hot.select(*keys)), keys, "left_semi")
     # One row per hot key, so it is as small as the counted hot-key table.
     partner = F.broadcast(wanted) if hot.count() <= BROADCAST_ROWS else wanted
-    return light.join(per_key, keys, how).unionByName(heavy.join(partner, keys, how))
+    return join(light, per_key).unionByName(join(heavy, partner))

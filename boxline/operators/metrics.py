@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxline.operators.hot import HOT_ROWS, hot_keys, lookup_join
+from boxline.operators.hot import HOT_ROWS, hot_keys, lookup_join, null_safe_join
 from boxline.operators.ordered import OrderedGroups, ranked
 
 
@@ -25,7 +25,9 @@ def exact_quantiles(
     ordered = OrderedGroups(counts, keys, [value], limit=limit, hot=hot, detect=False)
     cumulated = ordered.running_sum(F.col("_c"), "_cum").frame()
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = lookup_join(cumulated, totals, keys, limit=limit, hot=hot, detect=False)
+    joined = lookup_join(
+        cumulated, totals, keys, limit=limit, hot=hot, detect=False, null_safe=True
+    )
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_cum") > rank, F.col(value)))
@@ -66,7 +68,7 @@ def latency_summary(
     )
     if not approximate:
         exact = exact_quantiles(timed, keys, "_t", wanted, limit)
-        base = base.join(exact, keys, "left")
+        base = null_safe_join(base, exact, keys, "left")
     return base.withColumns({
         "success_rate": F.try_divide("successful_calls", "total_calls"),
         "fps": F.try_divide(F.lit(1000.0), F.col("avg_ms")),
@@ -93,16 +95,6 @@ def compare_modes(timings: DataFrame, keys: list[str], baseline: str, improved:
     })
 
 
-def assign_workers(
-    regions: DataFrame, keys: list[str], order: list, workers: int, **options
-) -> DataFrame:
-    """Round robin: item i of a key goes to worker ``i % workers``."""
-    numbered = ranked(regions, keys, order, "_pos", **options)
-    return numbered.withColumn(
-        "worker_id", F.pmod(F.col("_pos") - 1, F.lit(workers)).cast("int")
-    ).drop("_pos")
-
-
 def worker_stats(results: DataFrame, keys: list[str]) -> DataFrame:
     """Regions and times per worker."""
     return results.groupBy(*keys, "worker_id").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxline.functions import geometry as G
 from boxline.operators.hot import (
-    BROADCAST_ROWS, HOT_ROWS, hot_keys, lookup_join, split_hot,
+    BROADCAST_ROWS, HOT_ROWS, hot_keys, lookup_join, null_safe_join, split_hot,
 )
 from boxline.operators.ordered import first_rows
 from boxline.session import pin
@@ -149,14 +149,14 @@ def nms(
         last = head.groupBy(*keys).agg(
             F.max(F.struct((-F.col("confidence")).alias("neg"), "det_id")).alias("_last")
         )
-        kept = kept.join(last, keys)
+        kept = null_safe_join(kept, last, keys, "inner")
         if standing is not None:
             before = standing.select(*keys, F.col("_kept").alias("_old"))
-            kept = kept.join(before, keys, "left").withColumn(
+            kept = null_safe_join(kept, before, keys, "left").withColumn(
                 "_kept",
                 F.slice(F.concat(F.coalesce("_old", F.slice("_kept", 1, 0)), "_kept"), 1, keep),
             ).drop("_old")
-            done = standing.join(kept.select(*keys), keys, "left_anti")
+            done = null_safe_join(standing, kept.select(*keys), keys, "left_anti")
             kept = kept.unionByName(done.select(*kept.columns))
         standing = pin(kept)
         # One row of at most ``keep`` boxes per crowded key.
@@ -165,7 +165,7 @@ def nms(
         box = F.struct(*G.BOX)
         hidden = F.exists("_kept", lambda k: _overlaps(k, box) > min_iou)
         remaining = pin(
-            remaining.join(state, keys)
+            null_safe_join(remaining, state, keys, "inner")
             .where((F.size("_kept") < keep) & behind & ~hidden)
             .select(*rows.columns)
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxline.operators.hot import hot_keys, split_hot
+from boxline.operators.hot import hot_keys, null_safe_join, split_hot
 from boxline.operators.ordered import OrderedGroups, slice_rows, with_group_totals
 from boxline.session import pin
 
@@ -184,7 +184,7 @@ def _entries(slices: DataFrame, keys: list[str], levels: int) -> DataFrame:
         upper = _entries(
             combined.select(*keys, F.col("_upper").alias("_slice"), "moves"), keys, levels - 1
         ).withColumnRenamed("_slice", "_upper")
-        opened = folded.join(upper, group)
+        opened = null_safe_join(folded, upper, group, "inner")
 
     def step(state: Column, member: Column) -> Column:
         last = F.element_at(state, -1)
@@ -280,7 +280,7 @@ def _pack_sliced(lines: DataFrame, keys: list[str], strategy: str, size: int) ->
     moves = arrays.select(
         *keys, "_slice", _all_entries(lambda e: _walk(F.col("_reach"), e)).alias("moves")
     )
-    entered = arrays.join(_entries(moves, keys, levels=2), [*keys, "_slice"])
+    entered = null_safe_join(arrays, _entries(moves, keys, levels=2), [*keys, "_slice"], "inner")
 
     def step(state: Column, reach: Column) -> Column:
         here = state["at"] == state["next"]

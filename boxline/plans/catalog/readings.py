@@ -106,7 +106,7 @@ def group_by_source(spark, folder):
 def standard_inputs(spark, folder):
     """Pages as path inputs, documents as dict inputs; empty contents are skipped."""
     def image(text):
-        return F.when(F.length(text) > 1000, F.struct(
+        return F.when(F.length(text) > 0, F.struct(
             F.length(text).alias("height"), F.lit(1).alias("width"),
         ))
 
@@ -205,9 +205,9 @@ FROM text_lines JOIN documents ON image_id = doc_id GROUP BY 1, 2, 3""",
     "standard_inputs": r"""
 SELECT page_id AS pos, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')
     AS source_id, length(html) AS height, NULL AS lang
-FROM pages WHERE length(html) > 1000
+FROM pages WHERE length(html) > 0
 UNION ALL SELECT doc_id + 1000000, coalesce(CASE WHEN lang = 'en' THEN source END,
-    'dict_' || (doc_id + 1000000)), length(text), lang FROM documents WHERE length(text) > 1000""",
+    'dict_' || (doc_id + 1000000)), length(text), lang FROM documents WHERE length(text) > 0""",
     "ink_thumbnails": V.using(_GRAY) + """
 SELECT vec_id,
   array_to_string(list_transform(range(0, 8), lambda r: len(list_filter(g[r * 8 + 1:r * 8 + 8],

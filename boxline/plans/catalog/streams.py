@@ -16,16 +16,23 @@ def _stream(spark, folder):
     return X.frames_of(X.zoned(S.stream_table(spark, f"{folder}/events.parquet")))
 
 
+def _regions(spark, folder):
+    return X.frame_regions(X.table(spark, folder, "events"))
+
+
 def recent_frames(spark, folder):
-    return S.recent_frames(X.frames(spark, folder)).select("stream_id", "frame_id")
+    """Regions of the last ten frames of each stream; a frame has several."""
+    return S.recent_frames(_regions(spark, folder)).select("stream_id", "frame_id")
 
 
 def stable_text(spark, folder):
-    return S.stable_text(X.frames(spark, folder), BOX)
+    return S.stable_text(_regions(spark, folder), BOX)
 
 
 def stable_text_stream(spark, folder):
-    out = S.run_available(S.stable_text_stream(_stream(spark, folder), BOX), "update", "stable")
+    events = X.zoned(S.stream_table(spark, f"{folder}/events.parquet"))
+    stream = S.stable_text_stream(X.frame_regions(events), BOX)
+    out = S.run_available(stream, "update", "stable")
     return S.latest_output(out, ["stream_id"]).where(F.col("text").isNotNull()).select(
         "stream_id", "text", "n"
     )
@@ -64,9 +71,9 @@ QUERIES = {f.__name__: f for f in (
     process_frames_stream,
 )}
 
-_RECENT = """recent AS (SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY stream_id
+_RECENT = """recent AS (SELECT * FROM frames QUALIFY dense_rank() OVER (PARTITION BY stream_id
   ORDER BY ts DESC, frame_id DESC) <= 10)"""
-_STABLE = V.using(V.FRAMES, _RECENT, f"""near AS (SELECT * FROM (SELECT r.*, {V.iou('r.', 'q.')} AS iou
+_STABLE = V.using(V.FRAME_REGIONS, _RECENT, f"""near AS (SELECT * FROM (SELECT r.*, {V.iou('r.', 'q.')} AS iou
     FROM recent r, (SELECT 8 AS x1, 3 AS y1, 108 AS x2, 43 AS y2) q) WHERE iou > 0.8),
 counted AS (SELECT stream_id, text, count(*) AS n, min((ts, frame_id)) AS seen
   FROM near GROUP BY stream_id, text)""") + """
@@ -74,7 +81,7 @@ SELECT stream_id, text, n FROM (SELECT * FROM counted QUALIFY row_number() OVER
   PARTITION BY stream_id ORDER BY n DESC, seen, text) = 1) WHERE n >= 3"""
 
 SQL = {
-    "recent_frames": V.using(V.FRAMES, _RECENT) + "SELECT stream_id, frame_id FROM recent",
+    "recent_frames": V.using(V.FRAME_REGIONS, _RECENT) + "SELECT stream_id, frame_id FROM recent",
     "stable_text": _STABLE,
     "stable_text_stream": _STABLE,
     "reuse_stream": V.using(V.FRAMES) + """

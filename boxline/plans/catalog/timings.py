@@ -30,8 +30,10 @@ def mode_comparison(spark, folder):
 
 
 def _worker_results(spark, folder):
-    rows = X.timings(spark, folder).withColumnRenamed("elapsed_ms", "time_ms")
-    return M.assign_workers(rows, ["config"], ["ts", "call_id"], 4)
+    """The user of an event is the worker that recorded it."""
+    return X.timings(spark, folder).withColumnsRenamed(
+        {"elapsed_ms": "time_ms", "item_id": "worker_id"}
+    )
 
 
 def worker_stats(spark, folder):
@@ -93,8 +95,7 @@ SELECT {keys}, count(*) AS total_calls, count(*) FILTER (ok) AS successful_calls
 FROM t GROUP BY {keys}"""
 
 
-_WORKERS = """w AS (SELECT config, elapsed_ms AS time_ms, CAST((row_number() OVER (
-    PARTITION BY config ORDER BY ts, call_id) - 1) % 4 AS INT) AS worker_id FROM timings),
+_WORKERS = """w AS (SELECT config, elapsed_ms AS time_ms, item_id AS worker_id FROM timings),
 stats AS (SELECT config, worker_id, count(*) AS n_regions, avg(time_ms) AS avg_ms,
     min(time_ms) AS min_ms, max(time_ms) AS max_ms, sum(time_ms) AS total_ms
   FROM w GROUP BY config, worker_id)"""

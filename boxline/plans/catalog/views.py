@@ -50,6 +50,14 @@ FRAMES = """frames AS (
     event_type AS text, value AS elapsed_ms
   FROM events)"""
 
+FRAME_REGIONS = """frames AS (
+  SELECT user_id AS stream_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS frame_id,
+    CAST(ts AS DATE) AS ts,
+    CAST(event_id % 5 * 4 AS INT) AS x1, CAST(event_id % 3 * 3 AS INT) AS y1,
+    CAST(event_id % 5 * 4 + 100 AS INT) AS x2, CAST(event_id % 3 * 3 + 40 AS INT) AS y2,
+    event_type AS text
+  FROM events)"""
+
 PROFILES = """profiles AS (
   SELECT doc_id AS image_id, CAST(i - 1 AS INT) AS y, CAST(length(p[i]) AS INT) AS ink
   FROM (SELECT doc_id, string_split(text, chr(10)) AS p,
@@ -59,7 +67,7 @@ TEXT_LINES = """text_lines AS (
   SELECT image_id, line_no, line, effective_width, char_height,
     CAST(trunc(effective_width * (48.0::DOUBLE / char_height)) AS INT) AS scaled_width
   FROM (SELECT doc_id AS image_id, CAST(i - 1 AS INT) AS line_no, p[i] AS line,
-      least(700, length(p[i]) * 2 + 20) AS effective_width, 14 + length(p[i]) % 60 AS char_height
+      length(p[i]) * 2 + 20 AS effective_width, 14 + length(p[i]) % 60 AS char_height
     FROM (SELECT doc_id, string_split(text, chr(10)) AS p,
             unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)))"""
 

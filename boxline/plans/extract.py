@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxline.functions import geometry as G
-from boxline.operators.hot import HOT_ROWS, hot_keys, small, split_hot
+from boxline.operators.hot import HOT_ROWS, hot_keys, null_safe_join, small, split_hot
 from boxline.operators.nearest import best_per_image, nearest_avatar
 from boxline.operators.ordered import first_rows, ranked
 from boxline.session import pin
@@ -63,13 +63,9 @@ def extract_fields(
     avatars = nearest_avatar(kept, limit=limit, hot=hot, detect=False).select(
         "image_id", "avatar"
     )
-    heads = (
-        kept.select("image_id").distinct()
-        .join(names, "image_id", "left")
-        .join(avatars, "image_id", "left")
-        .join(inputs, "image_id", "left")
-        .join(top_contacts(kept), "image_id", "left")
-    )
+    heads = kept.select("image_id").distinct()
+    for fields in (names, avatars, inputs, top_contacts(kept)):
+        heads = null_safe_join(heads, fields, ["image_id"], "left")
     parts = message_parts(kept, limit=limit, hot=hot, detect=False)
     return _with_parts(heads, parts, hot).select(
         "image_id", F.coalesce("part", F.lit(0)).alias("part"), "receiver", "avatar",
@@ -82,14 +78,16 @@ def extract_fields(
 def _with_parts(heads: DataFrame, parts: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Heads with their message parts; the many parts of a hot image stay where they are."""
     if hot is None:
-        return heads.join(parts, "image_id", "left")
+        return null_safe_join(heads, parts, ["image_id"], "left")
     light_heads, hot_heads = split_hot(heads, hot, ["image_id"])
     light_parts, hot_parts = split_hot(parts, hot, ["image_id"])
     hot_heads = pin(hot_heads)
-    with_messages = hot_parts.join(small(hot_heads), "image_id")
-    without = hot_heads.join(hot_parts.select("image_id").distinct(), "image_id", "left_anti")
+    with_messages = null_safe_join(hot_parts, small(hot_heads), ["image_id"], "inner")
+    without = null_safe_join(
+        hot_heads, hot_parts.select("image_id").distinct(), ["image_id"], "left_anti"
+    )
     return (
-        light_heads.join(light_parts, "image_id", "left")
+        null_safe_join(light_heads, light_parts, ["image_id"], "left")
         .unionByName(with_messages)
         .unionByName(without, allowMissingColumns=True)
     )

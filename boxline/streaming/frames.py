@@ -24,9 +24,27 @@ _ROW = ["ts", "frame_id", *G.BOX, "text"]
 
 
 def recent_frames(frames: DataFrame, count: int = RECENT) -> DataFrame:
-    """The last ``count`` rows of each stream of a batch table; each task keeps only so many."""
+    """Regions of the last ``count`` distinct frames of each stream of a batch table.
+
+    Each task drops regions of earlier frames ahead of the shuffle.
+    """
     last = Window.partitionBy("stream_id").orderBy(F.col("ts").desc(), F.col("frame_id").desc())
-    return frames.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= count).drop("_n")
+    return frames.withColumn("_n", F.dense_rank().over(last)).where(F.col("_n") <= count).drop("_n")
+
+
+def last_frames(rows: pd.DataFrame, count: int, keys: list[str] = []) -> pd.DataFrame:
+    """Rows of the last ``count`` distinct frames (per ``keys``), in frame order."""
+    names = [*keys, "ts", "frame_id"]
+    ordered = rows.sort_values(names, kind="stable")
+    if not len(ordered):
+        return ordered
+    new = ~ordered.duplicated(names)
+    if not keys:
+        number = new.cumsum()
+        return ordered[number > number.iloc[-1] - count]
+    groups = [ordered[k] for k in keys]
+    number = new.astype("int64").groupby(groups, dropna=False).cumsum()
+    return ordered[number > number.groupby(groups, dropna=False).transform("max") - count]
 
 
 def stable_text(
@@ -43,14 +61,13 @@ def stable_text(
 def latest_per_batch(frames: DataFrame, count: int) -> DataFrame:
     """Drops frames that others of the same Arrow batch make irrelevant, ahead of the shuffle.
 
-    A busy stream then sends at most ``count`` rows per batch to the task that holds its state.
+    A busy stream then sends the regions of at most ``count`` frames per batch to the task that holds
+    its state.
     """
-    columns = frames.columns
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ordered = batch.sort_values(["ts", "frame_id"], kind="stable")
-            yield ordered.groupby("stream_id", sort=False).tail(count)[columns]
+            yield last_frames(batch, count, ["stream_id"])
 
     return frames.mapInPandas(keep, frames.schema)
 
@@ -58,13 +75,16 @@ def latest_per_batch(frames: DataFrame, count: int) -> DataFrame:
 def stable_text_stream(
     frames: DataFrame, box: list[int], count: int = RECENT, at_least: int = OCCURRENCES,
     min_iou: float = MATCH_IOU, delay: str = "10 minutes", idle_ms: int = 3_600_000,
+    buffer: int = BUFFER,
 ) -> DataFrame:
     """Streaming form, to be written in update mode: (stream_id, text, n, last_ts).
 
-    The state of a stream is its last ``count`` frames; ``text`` is null while none is stable.
+    The state of a stream is its last ``buffer`` frames, each with all its regions; the last ``count`` of
+    them are looked at. ``text`` is null while none is stable.
     Streams silent for ``idle_ms`` of event time beyond the watermark are forgotten.
     """
-    wanted = latest_per_batch(frames.select("stream_id", *_ROW), count).withWatermark("ts", delay)
+    buffer = max(buffer, count)
+    wanted = latest_per_batch(frames.select("stream_id", *_ROW), buffer).withWatermark("ts", delay)
     bx1, by1, bx2, by2 = box
     state_schema = "ts array<timestamp>, frame_id array<long>, " + ", ".join(
         f"{n} array<int>" for n in G.BOX
@@ -91,17 +111,20 @@ def stable_text_stream(
         for batch in batches:
             rows = batch[_ROW]
             held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            held = held.sort_values(["ts", "frame_id"], kind="stable").tail(count)
+            held = last_frames(held, buffer)
         state.update(tuple(held[c].tolist() for c in _ROW))
         last = held["ts"].iloc[-1]
         end = int(last.timestamp() * 1000) + idle_ms
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        near = held[overlaps(held["x1"], held["y1"], held["x2"], held["y2"]) > min_iou]
+        seen = last_frames(held, count)
+        near = seen[overlaps(seen["x1"], seen["y1"], seen["x2"], seen["y2"]) > min_iou]
         counts: dict[str, int] = {}
-        for text in near["text"]:
+        first: dict[str, tuple] = {}
+        for text, when, frame in zip(near["text"], near["ts"], near["frame_id"]):
             counts[text] = counts.get(text, 0) + 1
-        # Insertion order is first sight, so max() keeps the text seen first among equals.
-        best = max(counts, key=counts.get) if counts else None
+            first.setdefault(text, (when, frame))
+        # As in the batch form: the text seen first, then the least one, wins among equals.
+        best = min(counts, key=lambda t: (-counts[t], first[t], t)) if counts else None
         found = best is not None and counts[best] >= at_least
         yield pd.DataFrame({
             "stream_id": [key[0]],
