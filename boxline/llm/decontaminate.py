@@ -25,6 +25,7 @@ from pyspark.sql.types import (
 )
 
 from boxline.llm import words as W
+from boxline.llm.worker import ship
 
 WORDS = 3
 RARE = 1e-8
@@ -139,7 +140,7 @@ def _word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        known = share.value
+        known = share()
         counts, total = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for block in W.blocks(batch.column(0)):
@@ -184,11 +185,11 @@ def benchmark_matches(
         if not block.words:
             continue
         block.choose_seeds(*_word_counts(docs, text, block.vocabulary), rare)
-        share = docs.sparkSession.sparkContext.broadcast(block)
+        share = ship(docs.sparkSession, block)
         name = f"_matches_{k}"
 
         def search(batches, share=share, columns=[*out.columns, name]):
-            own = share.value
+            own = share()
             for batch in batches:
                 found = []
                 for part in W.blocks(batch.column(0)):

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxline.llm import words as W
+from boxline.llm.worker import ship
 from boxline.session import pin
 
 UNITS, CLASSES = 512, 256
@@ -242,12 +243,11 @@ def learn(
 def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> Model:
     """Rounds of training on every partition, with the parameters averaged after each."""
     model = Model.fresh(known.unigram)
-    sc = docs.sparkSession.sparkContext
     for number in range(rounds):
-        share = sc.broadcast((model, known))
+        share = ship(docs.sparkSession, (model, known))
 
         def run(batches, number=number, share=share):
-            own, words = share.value
+            own, words = share()
 
             def positions():
                 for batch in batches:
@@ -309,10 +309,10 @@ def score(
 ) -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row, in log10."""
     kind = docs.schema[key].dataType.simpleString()
-    share = docs.sparkSession.sparkContext.broadcast((model, known))
+    share = ship(docs.sparkSession, (model, known))
 
     def apply(batches):
-        own, words = share.value
+        own, words = share()
         class_total = np.log10(words.class_tokens + words.class_words + 1.0)
         for batch in batches:
             ids = batch.column(1).to_numpy()

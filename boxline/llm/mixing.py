@@ -24,6 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from boxline.llm import words as W
 from boxline.llm.quality import BUCKETS, indicator_sets, training_rows
+from boxline.llm.worker import ship
 from boxline.session import pin
 
 # Most labelled documents that the classifier learns from, chosen by a hash of their id.
@@ -83,10 +84,10 @@ def fit_posterior(
 def domain_posteriors(docs: DataFrame, model: Posterior, text: str = "text") -> DataFrame:
     """``docs`` with _tokens (words of the whole text) and _posterior; such columns are replaced."""
     carried = [c for c in docs.columns if c not in ("_tokens", "_posterior", "_rate", "_copies")]
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    share = ship(docs.sparkSession, model)
 
     def apply(batches):
-        own = share.value
+        own = share()
         for batch in batches:
             tokens, posteriors = [], []
             for block in W.blocks(batch.column(0)):

@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from boxline.llm import words as W
+from boxline.llm.worker import ship
 
 BUCKETS = 1 << 18
 # Most labelled documents that a fit reads, chosen by a hash of their id.
@@ -188,11 +190,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
     carried = [c for c in docs.columns if c != output]
     weights = model.weights.astype(np.float32)
     narrow = Model(weights, model.intercept, model.slope, model.offset)
-    share = docs.sparkSession.sparkContext.broadcast(narrow)
+    share = ship(docs.sparkSession, narrow)
     schema = [docs.schema[c] for c in carried]
 
     def apply(batches):
-        own = share.value
+        own = share()
         for batch in batches:
             margins = []
             for block in W.blocks(batch.column(0)):
@@ -202,8 +204,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
                 [*batch.columns[1:], pa.array(values, pa.float64())], [*carried, output]
             )
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     out = StructType([*schema, StructField(output, DoubleType())])
     return docs.select(W.text_bytes(text).alias("_text_bytes"), *carried).mapInArrow(apply, out)
 
