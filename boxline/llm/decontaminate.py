@@ -140,7 +140,7 @@ def _word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        known = share()
+        known = share.value
         counts, total = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for block in W.blocks(batch.column(0)):
