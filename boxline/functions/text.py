@@ -125,7 +125,3 @@ def rounded(value: Column, digits: int = 3) -> Column:
     """Half-even rounding, as Python rounds."""
     return F.bround(value, digits)
 
-
-def run_stamp() -> Column:
-    """ISO time of the run."""
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -69,6 +69,14 @@ def known_regions(regions: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return lookup_join(regions, texts, [key], how="left")
 
 
+def with_added(table: DataFrame, added: DataFrame, key: str) -> DataFrame:
+    """A table (key, text) of known texts with entries added; an added entry replaces that of its key."""
+    both = table.select(key, "text", F.lit(1).alias("_turn")).unionByName(
+        added.select(key, "text", F.lit(0).alias("_turn"))
+    )
+    return both.groupBy(key).agg(F.min_by("text", F.struct("_turn", "text")).alias("text"))
+
+
 def _pieces(bits: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
     """Splits bit ranges (start, width) into ``parts`` pieces of nearly equal size."""
     flat = [b for start, width in bits for b in range(start, start + width)]

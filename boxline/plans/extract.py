@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxline.functions import geometry as G
@@ -45,6 +45,48 @@ def message_parts(
     )
 
 
+def message_rows(
+    detections: DataFrame, min_confidence: float = 0.5, limit: int = HOT_ROWS
+) -> DataFrame:
+    """One row per message with its rank by confidence within the image."""
+    kept = detections.where(
+        (F.col("confidence") >= min_confidence) & (F.col("class") == "chat_message")
+    )
+    return ranked(kept, ["image_id"], _ordered(), "rank", limit=limit).select(
+        "image_id", "rank", "det_id", *G.BOX, "confidence"
+    )
+
+
+def image_fields(
+    detections: DataFrame, min_confidence: float = 0.5, limit: int = HOT_ROWS
+) -> DataFrame:
+    """One row per image, whatever its size: receiver, avatar, input box and top contacts.
+
+    All of them come from one grouping by image; only the avatar, which depends on the receiver, meets
+    the image again.
+    """
+    kept = detections.where(
+        (F.col("confidence") >= min_confidence) & F.col("class").isNotNull()
+    )
+    hot = hot_keys(kept, ["image_id"], limit)
+    best = F.struct(F.col("confidence"), -F.col("det_id"))
+    payload = F.struct("det_id", *G.BOX, "confidence")
+
+    def first(name: str) -> Column:
+        return F.max_by(payload, F.when(F.col("class") == name, best)).alias(name)
+
+    heads = kept.groupBy("image_id").agg(first("receiver_name"), first("input_box")).select(
+        "image_id", F.col("receiver_name").alias("receiver"), "input_box"
+    )
+    avatars = nearest_avatar(kept, limit=limit, hot=hot, detect=False).select("image_id", "avatar")
+    for fields in (avatars, top_contacts(kept)):
+        heads = null_safe_join(heads, fields, ["image_id"], "left")
+    return heads.select(
+        "image_id", "receiver", "avatar", "input_box",
+        F.coalesce("contacts", F.array()).alias("contacts"),
+    )
+
+
 def extract_fields(
     detections: DataFrame, min_confidence: float = 0.5, limit: int = HOT_ROWS
 ) -> DataFrame:

@@ -72,19 +72,31 @@ def read_label_json(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema(LABEL_JSON).option("multiLine", True).json(
         folder, pathGlobFilter="*.json"
     ).select(stem(F.col("_metadata.file_path")).alias("image_stem"), "objects")
+    return _objects(files)
+
+
+def parse_label_json(texts: DataFrame) -> DataFrame:
+    """The same from a table (image_stem, value) that holds the JSON texts."""
+    return _objects(texts.select("image_stem", F.from_json("value", LABEL_JSON)["objects"].alias("objects")))
+
+
+def _objects(files: DataFrame) -> DataFrame:
     return files.select(
         "image_stem", F.explode_outer(F.coalesce("objects", F.array())).alias("o")
     ).select("image_stem", "o.class", "o.bbox", "o.confidence")
 
 
 def read_character_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(class_idx, char) of a dictionary file: ``<blank>`` first, the characters, a space last.
+    """(class_idx, char) of a dictionary file: ``<blank>`` first, the characters, a space last."""
+    return character_dictionary(spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "char")
+    ))
+
 
-    One small file, so a single partition orders it.
+def character_dictionary(lines: DataFrame) -> DataFrame:
+    """The dictionary of lines (pos, char). There is one line per character of a script, so a single
+    partition orders them.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", "\\r?\\n")).alias("pos", "char")
-    )
     stripped = lines.withColumn(
         "char", F.regexp_replace("char", "(?U)^\\s+|\\s+$", "")
     ).where(F.col("char") != "")
