@@ -72,7 +72,9 @@ FEATURES = [
 ]
 PLACE = FEATURES.index("content_place")
 #: Log odds before anything is learned, in the order of ``FEATURES``.
-PRIOR = np.array([-1.5, 0.3, 0.3, -3.0, 1.0, 0.8, 0.3, 0.6, -0.5, -0.5, -0.5, -2.0, 0.2, 2.5, -3.0, -1.0, -1.0])
+PRIOR = np.array(
+    [-1.5, 0.3, 0.3, -3.0, 1.0, 0.8, 0.3, 0.6, -0.5, -0.5, -0.5, -2.0, 0.2, 4.0, -6.0, -1.0, -1.0]
+)
 
 
 @dataclass

@@ -129,6 +129,11 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     ).mapInArrow(apply, schema)
 
 
+def _member() -> Column:
+    """What rows of a class are ordered by: the id, null last, then the text."""
+    return F.struct(F.col("_doc").isNull().alias("_null"), "_doc", "_text_key")
+
+
 def _text_key(text: str) -> Column:
     return F.unhex(F.md5(W.text_bytes(text))).alias("_text_key")
 
@@ -304,29 +309,27 @@ def jaccard_classes(
     """(rows, classes).
 
     ``rows``: _doc (the id), _text_key (md5 of the text) and _set (its class; null without words) of
-    every row. ``classes``: _set, _copies (documents in the class), _text_key (of one of them), _least
-    (least id), _links and _text_links (documents and classes in other classes at ``threshold`` or
+    every row. ``classes``: _set, _copies (documents in the class), _first (the row of least id), _links and _text_links (documents and classes in other classes at ``threshold`` or
     more), _group (a class name shared by all that are connected by links).
     """
     rows = pin(_signatures(docs, key, text, n))
     classes = pin(rows.where(F.col("_set").isNotNull()).groupBy("_set").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min("_text_key").alias("_text_key"),
-        F.min("_doc").alias("_least"), F.first("_sig").alias("_sig"),
-        F.first("_bands").alias("_bands"),
+        F.count(F.lit(1)).alias("_copies"), F.min(_member()).alias("_first"),
+        F.first("_sig").alias("_sig"), F.first("_bands").alias("_bands"),
     ))
     near = components(_candidate_edges(classes, threshold))
     sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
     grouped = pin(
         near.join(sizes, "label").withColumnsRenamed({"label": "_group", "node": "_set"})
-        .join(classes.select("_set", "_copies", "_sig", "_text_key"), "_set")
+        .join(classes.select("_set", "_copies", "_sig", "_first"), "_set")
     )
-    wanted = grouped.select("_text_key", "_set")
-    texts = (
-        docs.select(_text_key(text), W.text_bytes(text).alias("_bytes"))
-        .join(wanted.select("_text_key"), "_text_key", "left_semi")
-        .groupBy("_text_key").agg(F.first("_bytes").alias("_bytes"))
-        .join(wanted, "_text_key").select("_set", "_bytes")
+    # One row of each class: copies have the text in common, so the id is part of the key.
+    wanted = grouped.select(
+        "_set", F.col("_first._doc").alias("_id"), F.col("_first._text_key").alias("_key")
     )
+    texts = docs.select(F.col(key).alias("_doc"), _text_key(text), W.text_bytes(text).alias("_bytes")).join(
+        wanted, (F.col("_text_key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    ).select("_set", "_bytes").dropDuplicates(["_set"])
     links = pin(_verified(
         grouped.select("_group", "_size", "_set", "_copies", "_sig"), texts, threshold, n
     ))
@@ -354,9 +357,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     ``n_text_links`` the other shingle sets. A document without words is its own class.
     """
     rows, classes = jaccard_classes(docs, key, text, **options)
-    least = classes.groupBy("_group").agg(F.min("_least").alias("_class"))
+    least = classes.groupBy("_group").agg(F.min("_first")["_doc"].alias("_class"))
     named = classes.join(least, "_group").select(
-        "_set", "_class", "_least", "_text_links", (F.col("_links") + F.col("_copies") - 1).alias("_n")
+        "_set", "_class", F.col("_first._doc").alias("_least"), "_text_links", (F.col("_links") + F.col("_copies") - 1).alias("_n")
     )
     return rows.join(named, "_set", "left").select(
         F.col("_doc").alias(key),
@@ -374,13 +377,10 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     without words are a group of equal texts each: one of each blank text stays.
     """
     rows, classes = jaccard_classes(docs, key, text, **options)
-    first = F.struct(F.col("_least").isNull(), "_least", "_text_key", "_set")
-    winners = classes.groupBy("_group").agg(F.min(first).alias("_first")).select("_first._set")
-    # A group's document is one text with one id; blank texts are groups by text.
-    member = F.struct(F.col("_doc").isNull(), "_doc", "_text_key")
+    blank = rows.where("_set IS NULL").groupBy("_text_key").agg(F.min(_member()).alias("_m"))
     chosen = (
-        rows.join(winners, "_set", "left_semi").groupBy("_set").agg(F.min(member).alias("_m"))
-        .union(rows.where("_set IS NULL").groupBy("_text_key").agg(F.min(member).alias("_m")))
+        classes.groupBy("_group").agg(F.min("_first").alias("_m")).select("_m")
+        .union(blank.select("_m"))
         .select(F.col("_m._doc").alias("_doc"), F.col("_m._text_key").alias("_key"))
     )
     whole = docs.select(*docs.columns, _text_key(text)).join(

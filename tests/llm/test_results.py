@@ -106,8 +106,8 @@ def test_estimate_finds_the_accuracies_of_planted_rules():
     for k in range(6):
         # Rules vote against bad texts with different success and rarely against good ones.
         miss = 0.3 + 0.1 * k
-        votes[~truth, k] = -(r.random((~truth).sum()) > miss)
-        votes[truth, k] = -(r.random(truth.sum()) > 0.98)
+        votes[~truth, k] = -1 * (r.random((~truth).sum()) > miss)
+        votes[truth, k] = -1 * (r.random(truth.sum()) > 0.98)
     patterns, place, weight = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     share, odds = rules.estimate(patterns, weight.astype(float))
     assert share == pytest.approx(0.8, abs=0.05)
