@@ -65,9 +65,10 @@ def region_lines(
     """Text lines of the regions of some classes, in image coordinates, keyed by detection."""
     wanted = regions.where(F.col("class").isin(classes))
     keys = ["image_id", "det_id"]
-    own = lookup_join(profiles, wanted.select(*keys), keys)
+    # A region has no more profile rows than pixels in height.
+    own = lookup_join(profiles, wanted.select(*keys), keys, detect=False)
     runs = projection_runs(own, min_height, keys=keys)
-    return lookup_join(runs, wanted.select(*keys, "class", *BOX), keys).select(
+    return lookup_join(runs, wanted.select(*keys, "class", *BOX), keys, detect=False).select(
         *keys, "class",
         F.col("x1"), (F.col("y1") + F.col("start")).alias("y1"),
         F.col("x2"), (F.col("y1") + F.col("end")).alias("y2"),
