@@ -45,10 +45,6 @@ def whole_center_y(prefix: str = "") -> Column:
     return F.floor(center_y(prefix)).cast("int")
 
 
-def box_struct(prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + n).alias(n) for n in BOX])
-
-
 def _within(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, value))
 

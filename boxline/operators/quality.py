@@ -16,7 +16,7 @@ MAX_LABELS = 20
 
 
 def box_issues(labels: DataFrame, wide: Column, high: Column) -> DataFrame:
-    """Labels with an array of issue codes; ``n`` unique classes are checked per image."""
+    """Labels with an array of the issue codes of their own box."""
     found = F.array_compact(F.array(G.size_issue(wide, high), G.bounds_issue(wide, high)))
     return labels.withColumn("issues", found)
 
@@ -112,19 +112,18 @@ def needs_review(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def recommendations(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """Issue counts per image and the advice that follows from them."""
-    high = duplicate_unique(labels).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_high"))
-    medium = missing_required(images, labels).groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n_medium")
-    )
-    joined = images.select("image_id").join(high, "image_id", "left").join(
-        medium, "image_id", "left"
+    """Issue counts per image and the advice that follows from them, from one grouping."""
+    counts = labels.groupBy("image_id").agg(*_class_counts())
+    high = sum((F.coalesce(F.col(f"n_{c}") > 1, F.lit(False)).cast("long") for c in UNIQUE_CLASSES), F.lit(0))
+    medium = sum(((_zero(f"n_{c}") == 0).cast("long") for c in REQUIRED_CLASSES), F.lit(0))
+    joined = images.select("image_id").join(counts, "image_id", "left").select(
+        "image_id", high.alias("n_high"), medium.alias("n_medium")
     )
     return joined.select(
         "image_id",
-        (_zero("n_high") + _zero("n_medium")).alias("n_issues"),
-        F.when(_zero("n_high") > 0, "check; correct")
-        .when(_zero("n_medium") > 0, "check")
+        (F.col("n_high") + F.col("n_medium")).alias("n_issues"),
+        F.when(F.col("n_high") > 0, "check; correct")
+        .when(F.col("n_medium") > 0, "check")
         .otherwise("confirm").alias("advice"),
     )
 
@@ -141,17 +140,22 @@ def validation_report(
         .alias("class_distribution"),
         F.sum("n").alias("total_labels"),
     )
-    repeated = duplicate_unique(labels).select(
-        "image_id", F.lit("duplicate_unique_element").alias("type"), "class", "n", "severity"
-    )
-    missing = missing_required(images, labels).select(
-        "image_id", F.lit("missing_required_element").alias("type"), "class",
-        F.lit(None).cast("long").alias("n"), "severity",
-    )
-    issues = repeated.unionByName(missing).groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct("type", "class", "n", "severity")))
-        .alias("potential_issues")
-    )
+    def issue(kind: str, name: str, n: Column, severity: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"), F.lit(name).alias("class"), n.cast("long").alias("n"),
+            F.lit(severity).alias("severity"),
+        )
+
+    def times(name: str) -> Column:
+        return F.coalesce(F.try_element_at("class_distribution", F.lit(name)), F.lit(0))
+
+    # The class counts of an image tell its issues.
+    found = F.array_sort(F.array_compact(F.array(
+        *[F.when(times(c) > 1, issue("duplicate_unique_element", c, times(c), "high"))
+          for c in UNIQUE_CLASSES],
+        *[F.when(times(c) == 0, issue("missing_required_element", c, F.lit(None), "medium"))
+          for c in REQUIRED_CLASSES],
+    )))
     stats = labels.groupBy("image_id").agg(F.struct(*_area_columns()).alias("statistics"))
     no_issue = F.size(F.coalesce("potential_issues", F.array())) == 0
     severe = F.exists("potential_issues", lambda i: i["severity"] == "high")
@@ -163,8 +167,8 @@ def validation_report(
     return (
         images.select("image_id")
         .join(classes, "image_id", "left")
-        .join(issues, "image_id", "left")
         .join(stats, "image_id", "left")
+        .withColumn("potential_issues", F.when(F.size(found) > 0, found))
         .select(
             F.struct(
                 F.col("image_id"),

@@ -63,6 +63,13 @@ _RESULT = [
 ]
 
 
+def _items(batch: pd.DataFrame, columns: list[str]) -> list:
+    """What a recogniser sees of each row."""
+    if len(columns) == 1:
+        return batch[columns[0]].tolist()
+    return list(batch[columns].itertuples(index=False, name=None))
+
+
 def recognise(
     regions: DataFrame, columns: list[str], factory: Callable, keep: list[str],
     name: str = "default",
@@ -81,10 +88,7 @@ def recognise(
         context = TaskContext.get()
         worker = context.partitionId() if context else 0
         for batch in batches:
-            if len(columns) == 1:
-                items = batch[columns[0]].tolist()
-            else:
-                items = list(batch[columns].itertuples(index=False, name=None))
+            items = _items(batch, columns)
             done = _guarded(model, items) if items else []
             out = batch[keep].copy()
             for i, field in enumerate(["text", "confidence", "error", "time_ms"]):
@@ -228,27 +232,41 @@ def route(kind: Column, mean_gray: Column, known_text: Column) -> Column:
 def recognise_elements(
     elements: DataFrame, columns: list[str], single: Callable, multi: Callable, keep: list[str]
 ) -> DataFrame:
-    """Reads elements by route; only the two model routes reach Python.
+    """Reads elements by route, in one pass over them.
 
-    ``elements`` carries ``class``, ``mean_gray`` and ``known_text``.
+    ``elements`` carries ``class``, ``mean_gray`` and ``known_text``. Empty and known elements reach no
+    model.
     """
     routed = elements.withColumn(
         "route", route(F.col("class"), F.col("mean_gray"), F.col("known_text"))
     )
     keep = [*keep, "route"]
-    ready = routed.where(F.col("route").isin(EMPTY, KNOWN)).select(
-        *keep,
-        F.when(F.col("route") == KNOWN, F.col("known_text")).otherwise(F.lit("")).alias("text"),
-        F.when(F.col("route") == KNOWN, F.lit(1.0)).otherwise(F.lit(0.0)).alias("confidence"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(0.0).alias("time_ms"),
-        F.lit(None).cast("int").alias("worker_id"),
-    )
-    one = recognise(
-        routed.where(F.col("route") == SINGLE), columns, single, keep, name="single"
-    )
-    many = recognise(routed.where(F.col("route") == MULTI), columns, multi, keep, name="multi")
-    return ready.unionByName(one).unionByName(many)
+    source = routed.select(*dict.fromkeys([*keep, *columns, "known_text"]))
+    schema = T.StructType([source.schema[c] for c in keep] + _RESULT)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {SINGLE: _model("single", single), MULTI: _model("multi", multi)}
+        context = TaskContext.get()
+        worker = context.partitionId() if context else 0
+        for batch in batches:
+            names, known = batch["route"].to_numpy(), batch["known_text"].to_numpy()
+            rows = [
+                (text, 1.0, None, 0.0, None) if name == KNOWN else ("", 0.0, None, 0.0, None)
+                for name, text in zip(names, known)
+            ]
+            for name, model in models.items():
+                places = np.flatnonzero(names == name)
+                if len(places):
+                    done = _guarded(model, _items(batch.iloc[places], columns))
+                    for place, result in zip(places, done):
+                        rows[place] = (*result, worker)
+            out = batch[keep].copy()
+            for i, field in enumerate(_RESULT):
+                kind = {"string": object, "double": "float64"}.get(field.dataType.typeName(), "Int32")
+                out[field.name] = pd.Series([r[i] for r in rows], index=batch.index, dtype=kind)
+            yield out
+
+    return source.mapInPandas(run, schema)
 
 
 def realign(inputs: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,18 +24,6 @@ IMAGE_ENDINGS = [".jpg", ".jpeg", ".png", ".bmp"]
 # Side limits of a valid image.
 MIN_SIDE, MAX_SIDE = 8, 4096
 
-DETECTIONS = T.StructType([
-    T.StructField("image_id", T.LongType()),
-    T.StructField("det_id", T.LongType()),
-    T.StructField("class_id", T.IntegerType()),
-    T.StructField("class", T.StringType()),
-    T.StructField("x1", T.IntegerType()),
-    T.StructField("y1", T.IntegerType()),
-    T.StructField("x2", T.IntegerType()),
-    T.StructField("y2", T.IntegerType()),
-    T.StructField("confidence", T.DoubleType()),
-])
-
 LABEL_JSON = T.StructType([
     T.StructField("objects", T.ArrayType(T.StructType([
         T.StructField("class", T.StringType()),
@@ -44,37 +32,6 @@ LABEL_JSON = T.StructType([
     ]))),
 ])
 
-YOLO_LABELS = T.StructType([
-    T.StructField("image_stem", T.StringType()),
-    T.StructField("line_no", T.LongType()),
-    T.StructField("class_id", T.IntegerType()),
-    T.StructField("cx", T.DoubleType()),
-    T.StructField("cy", T.DoubleType()),
-    T.StructField("w", T.DoubleType()),
-    T.StructField("h", T.DoubleType()),
-])
-
-OCR_RESULTS = T.StructType([
-    T.StructField("image_id", T.LongType()),
-    T.StructField("region_idx", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("time_ms", T.DoubleType()),
-    T.StructField("worker_id", T.IntegerType()),
-    T.StructField("error", T.StringType()),
-])
-
-FRAMES = T.StructType([
-    T.StructField("stream_id", T.LongType()),
-    T.StructField("frame_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("x1", T.IntegerType()),
-    T.StructField("y1", T.IntegerType()),
-    T.StructField("x2", T.IntegerType()),
-    T.StructField("y2", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
-
 
 def class_table(spark: SparkSession, classes: list[str] = CLASSES) -> DataFrame:
     """(class_id, class) for a class list."""
