@@ -43,7 +43,7 @@ LEVEL = 3
 # Compressed bytes after which a shard is closed.
 SHARD_BYTES = 4 << 20
 # Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 MAGIC, VERSION = b"BXID", 1
 HEADER = "<4sHH32sI"
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,12 +90,15 @@ class Encoder:
             core = text.rstrip(_SIGNS)
             # Letters below U+0250 keep their form when normalised, but for one.
             if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-                cores.setdefault(core), cores.setdefault(text[len(core):])
-                plain.append((word, core, text[len(core):]))
+                signs, core = text[len(core):], core.lower()
+                cores.setdefault(core, self.known.get(core.encode()))
+                cores.setdefault(signs, self.known.get(signs.encode()))
+                plain.append((word, core, signs))
             else:
                 other.append((word, text))
         cores.pop("", None)
-        parts = list(cores)
+        # The tokenizer folds case, and what a word's letters give is known if they were met alone.
+        parts = [core for core, ids in cores.items() if ids is None]
         for low in range(0, len(parts), 512):
             part = parts[low:low + 512]
             ids = np.asarray(self._ids([" ".join(part)])[0])
@@ -108,6 +111,7 @@ class Encoder:
                 cores[core] = self._bytes(piece)
         cores[""] = b""
         for word, core, signs in plain:
+            self.known[core.encode()] = cores[core]
             self.known[word] = cores[core] + cores[signs]
         for (word, _), ids in zip(other, self._ids([text for _, text in other])):
             self.known[word] = self._bytes(ids)
