@@ -52,6 +52,29 @@ OTHER_WORDS = frozenset(
 CONTENT_WORDS = frozenset(
     "article articlebody post posts entry content story main maincontent body text prose".split()
 )
+# Words of a class that tell what state or layout something is in, not what it is: has-sidebar, comments-open.
+STATE_WORDS = frozenset("has no with without open opened closed layout enabled disabled".split())
+# Words that leave it open whether a part is named or the layout around it: page-header-fixed.
+LAYOUT_WORDS = frozenset("fixed sticky static page left right".split())
+# Comments, adverts and forms: nothing inside is content.
+SHUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments "
+    "commentlist reply replies respond disqus form dialog login search feedback".split()
+)
+# Lists of other pages, whose items may be articles, and boxes around the page's own text.
+LIST_WORDS = frozenset(
+    "related recommended recommendations widget widgets share sharing social newsletter subscribe "
+    "subscription signup cookie cookies consent gdpr popup modal complementary contentinfo".split()
+)
+# Whole names, without signs, of what holds an article's text.
+STRONG_NAMES = frozenset(
+    "main mainbody maincontent contentmain article articlebody articlecontent articletext post postbody "
+    "postcontent posttext entry entrybody entrycontent entrytext hentry story storybody storycontent "
+    "storytext singlepost blogpost prose".split()
+)
+# How firmly a word marks an element as other: what is inside becomes content again by any content word, by
+# a strong name, only as the main element, or never.
+LOOSE, NAMED, LISTED, SHUT = range(4)
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -89,6 +112,7 @@ class Element:
     by_word: bool = False
     hidden: bool = False
     chars: int = 0
+    firm: int = LOOSE
 
 
 @dataclass
@@ -101,27 +125,50 @@ class Block:
     features: np.ndarray = field(default=None)
 
 
+def _names(attributes: str) -> tuple[set[str], set[str], int | None]:
+    """(words, whole names without signs, how firmly they mark an element as other) of its attributes."""
+    words, names, firm = set(), set(), None
+    for found in _NAMED.findall(attributes):
+        for name in "".join(found).split():
+            own = {w.lower() for w in _WORD.findall(name)}
+            words |= own
+            names.add(re.sub(r"[^a-z0-9]", "", name.lower()))
+            if own & OTHER_WORDS and not own & STATE_WORDS:
+                level = (
+                    SHUT if own & SHUT_WORDS else LISTED if own & LIST_WORDS
+                    else LOOSE if own & LAYOUT_WORDS else NAMED
+                )
+                firm = level if firm is None else max(firm, level)
+    return words, names, firm
+
+
 def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
-    words = {
-        w.lower() for m in _NAMED.findall(attributes) for w in _WORD.findall("".join(m))
-    } if attributes else set()
+    words, names, firm = _names(attributes) if attributes else (set(), set(), None)
     found = Element(
         name, number, parent.depth + 1, parent.place, parent.by_name, parent.by_word,
-        parent.hidden or bool(attributes and _HIDDEN.search(attributes)),
+        parent.hidden or bool(attributes and _HIDDEN.search(attributes)), firm=parent.firm,
     )
-    other_word = bool(words & OTHER_WORDS)
-    if name == "header" and parent.place > 0:
-        # The head of an article is part of it.
-        other_name = False
-    else:
-        other_name = name in OTHER_NAMES
-    if other_name or other_word:
+    if name in ("html", "body"):
+        # Their names tell of the whole page.
+        return found
+    # The head of an article is part of it.
+    other_name = name in OTHER_NAMES and not (name == "header" and parent.place > 0)
+    if name in CONTENT_NAMES and firm in (LOOSE, NAMED):
+        firm = None
+    if other_name or firm is not None:
         found.place = -1
-        found.by_name, found.by_word = other_name, other_word
-    elif name in CONTENT_NAMES or words & CONTENT_WORDS and name != "body":
-        # Nothing inside a comment or an advert becomes content again.
-        if parent.place >= 0:
-            found.place, found.by_name, found.by_word = 1, False, False
+        found.by_name, found.by_word = other_name, firm is not None
+        own = SHUT if other_name else firm
+        found.firm = max(own, parent.firm) if parent.place < 0 else own
+    elif name in CONTENT_NAMES or words & CONTENT_WORDS:
+        if parent.place >= 0 or parent.firm == LOOSE:
+            again = True
+        elif parent.firm == NAMED:
+            again = name in CONTENT_NAMES or bool(names & STRONG_NAMES)
+        else:
+            again = parent.firm == LISTED and (name == "main" or bool(names & {"main", "articlebody"}))
+        if again:
+            found.place, found.by_name, found.by_word, found.firm = 1, False, False, LOOSE
     return found
 
 

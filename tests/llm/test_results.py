@@ -322,6 +322,30 @@ def test_pages_of_other_makes():
     assert extract.main_text(page, extract.PRIOR) == expected
 
 
+@pytest.mark.parametrize("around", [
+    '<body class="has-sidebar single-post">{}</body>', "<body class='no-sidebar'>{}</body>",
+    '<html class="no-js menu-open"><body class="comments-open">{}</body></html>',
+    '<div class="sidebar-layout">{}</div>', '<div class="page-header-fixed">{}</div>',
+    '<div class="with-ads"><div class="nav-wrapper">{}</div></div>',
+])
+@pytest.mark.parametrize("inner", [
+    "<article>{}</article>", "<main class='header-offset'>{}</main>", '<div class="entry-content">{}</div>',
+])
+def test_names_of_wrappers_dont_mark_the_article(around, inner):
+    from boxline.llm import extract
+
+    body = " ".join(["A long sentence, with commas and a full stop at its end."] * 4)
+    other = f'<section class="comments"><article><p>{body}</p></article></section>'
+    page = around.format(
+        f'{inner.format(f"<p>{body}</p>{other}<p>{body}</p>")}<div class="advert"><article>{body}</article></div>'
+        f'<div class="related-posts"><article><p>{body}</p></article></div>'
+        f'<div class="sidebar"><ul><li>{body}</ul></div><form><main>{body}</main></form>'
+    )
+    assert extract.main_text(page, extract.PRIOR) == f"{body}\n{body}"
+    # Training takes the article's blocks as content.
+    assert sum(b.parent.place > 0 for b in extract.page_blocks(page)) == 2
+
+
 def test_jaccard(spark, folder, texts):
     got = by_id(queries.op10_jaccard_join(spark, folder))
     check_links(texts, got)
