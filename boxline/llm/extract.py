@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +32,9 @@ TRAIN_PAGES = 2_000
 MOST_ODDS, NEAR, PARENT = 8.0, 1.0, 0.5
 
 #: Element names by the part they play in HTML.
-RAW = "script|style|noscript|template|textarea|title|select|iframe|svg|object|canvas|math|audio|video"
+RAW = frozenset("script style textarea title".split())
+# What is inside isn't text of the page, from the start tag to its own end tag.
+INNER = frozenset("noscript template select iframe svg object canvas math audio video".split())
 BLOCKS = frozenset(
     "html body div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot "
     "tr td th caption h1 h2 h3 h4 h5 h6 p blockquote pre form fieldset legend figure figcaption address hr "
@@ -77,10 +79,11 @@ STRONG_NAMES = frozenset(
 LOOSE, NAMED, LISTED, SHUT = range(4)
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*+>",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _NAMED = re.compile(
     r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I
 )
@@ -172,6 +175,59 @@ def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
     return found
 
 
+def _tags(page: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, name, "/" of an end tag, attributes) of what isn't text; comments and such have no name.
+
+    Scripts, styles and titles reach to their end tag or else to the end of the page. Pictures and players
+    reach to their end tag within the element around them; without one only the tag itself isn't text.
+    """
+    found: list[tuple[int, int, str, str, str]] = []
+    at, drawing = 0, 0
+    while (match := TOKEN.search(page, at)) is not None:
+        closing, name, attributes = match.group(1) or "", (match.group(2) or "").lower(), match.group(3) or ""
+        at = match.end()
+        alone = attributes.rstrip().endswith("/")
+        if name in ("svg", "math") and not (alone and not closing):
+            drawing = max(0, drawing - 1) if closing else drawing + 1
+        elif name in CONTAINERS:
+            drawing = 0
+        # Within a drawing these may be empty elements.
+        if name in RAW and not closing and not (alone and drawing):
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            name = ""
+        found.append((match.start(), at, name, closing, attributes))
+    # The tag that ends each picture or player.
+    ends: dict[int, int] = {}
+    stack: list[int] = []
+    open_names: Counter = Counter()
+    for k, (_, _, name, closing, attributes) in enumerate(found):
+        if name not in CONTAINERS and name not in INNER:
+            continue
+        if not closing:
+            if not attributes.rstrip().endswith("/"):
+                stack.append(k)
+                open_names[name] += 1
+        elif open_names[name]:
+            while True:
+                top = stack.pop()
+                open_names[found[top][2]] -= 1
+                if found[top][2] == name:
+                    break
+            if name in INNER:
+                ends[top] = k
+    out, k = [], 0
+    while k < len(found):
+        start, end, name, closing, attributes = found[k]
+        if k in ends:
+            k = ends[k]
+            out.append((start, found[k][1], "", "", ""))
+        else:
+            out.append((start, end, name, closing, attributes))
+        k += 1
+    return out
+
+
 def page_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order, without those that are hidden."""
     root = Element("", 0, 0)
@@ -192,18 +248,15 @@ def page_blocks(page: str) -> list[Block]:
                                  tuple(e.number for e in stack)))
         links, name = 0, ""
 
-    for match in TOKEN.finditer(page):
-        if match.start() > last:
-            piece = page[last:match.start()]
+    for start, end, tag, closing, attributes in _tags(page):
+        if start > last:
+            piece = page[last:start]
             pieces.append(piece)
             if link:
                 links += len(piece.strip())
-        last = match.end()
-        tag = match.group(3)
-        if tag is None:
+        last = end
+        if not tag:
             continue
-        tag = tag.lower()
-        closing = match.group(2)
         if tag == "a":
             link = 0 if closing else 1
         elif tag == "br":
@@ -224,8 +277,8 @@ def page_blocks(page: str) -> list[Block]:
                         if stack[-1].name == tag:
                             stack.pop()
                     number += 1
-                    if not match.group(4).rstrip().endswith("/"):
-                        stack.append(_open(tag, match.group(4), stack[-1], number))
+                    if not attributes.rstrip().endswith("/"):
+                        stack.append(_open(tag, attributes, stack[-1], number))
                         if tag == "head":
                             stack[-1].hidden = True
             elif not closing:

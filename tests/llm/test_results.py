@@ -346,6 +346,25 @@ def test_names_of_wrappers_dont_mark_the_article(around, inner):
     assert sum(b.parent.place > 0 for b in extract.page_blocks(page)) == 2
 
 
+@pytest.mark.parametrize("tag", [
+    "<video-js id=v></video-js>", "<audio-player src=a></audio-player>",
+    "<select-menu>", "<style-guide></style-guide>", "<title-bar></title-bar>",
+    "<svg class=x />", "<math/>", "<object data=x />", "<canvas/>",
+    "<video src=x>", "<audio src=x>", "<svg><path d=x>",
+    "<svg><title/><style/><path/></svg>", "<svg><title>t</title><text>gone</text></svg>",
+    "<object><div>gone</div><video>gone</object>", "<script>if (a</b) '</p>'</script x>",
+    "<object><object>gone</object>gone</object>", "<select><option>gone</select>",
+])
+def test_only_what_is_inside_players_and_scripts_is_dropped(tag):
+    from boxline.llm import extract
+
+    page = (f"<article><p>One {tag}two.</p><p>Three.</p></article><div><p>Four.</p>"
+            "<video>gone</video><svg>gone</svg></div><p>Five.</p>")
+    assert [b.text for b in extract.page_blocks(page)] == ["One two.", "Three.", "Four.", "Five."]
+    # Scripts without an end reach to the end of the page.
+    assert [b.text for b in extract.page_blocks(f"{page}<script>x<p>gone")][-1] == "Five."
+
+
 def test_jaccard(spark, folder, texts):
     got = by_id(queries.op10_jaccard_join(spark, folder))
     check_links(texts, got)
