@@ -297,11 +297,11 @@ def features(block: Block) -> np.ndarray:
     text, parent = block.text, block.parent
     n, words = len(text), text.count(" ") + 1
     signs = sum(text.count(c) for c in ".,;:!?")
-    upper = sum(1 for c in text[:400] if c.isupper())
+    upper = sum(map(str.isupper, text))
     return np.array([
         1.0, np.log1p(n), np.log1p(words), min(1.0, block.links / n), min(1.0, signs / words),
         text[-1] in ".!?:\"'”»", block.name in ("h1", "h2", "h3", "h4", "h5", "h6"), block.name == "p",
-        block.name in ("li", "td", "th", "dt", "dd", "button"), n < 25, upper / min(n, 400),
+        block.name in ("li", "td", "th", "dt", "dd", "button"), n < 25, upper / n,
         "©" in text or "copyright" in text.lower(), np.log1p(parent.chars),
         parent.place > 0, parent.place < 0, parent.by_name, parent.by_word,
     ], float)

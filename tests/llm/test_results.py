@@ -365,6 +365,13 @@ def test_only_what_is_inside_players_and_scripts_is_dropped(tag):
     assert [b.text for b in extract.page_blocks(f"{page}<script>x<p>gone")][-1] == "Five."
 
 
+def test_capitals_are_counted_over_the_whole_block():
+    from boxline.llm import extract
+
+    block, = extract.page_blocks(f"<pre>{'a' * 500}{'B' * 1500}</pre>")
+    assert block.features[extract.FEATURES.index("capitals")] == 0.75
+
+
 def test_jaccard(spark, folder, texts):
     got = by_id(queries.op10_jaccard_join(spark, folder))
     check_links(texts, got)
