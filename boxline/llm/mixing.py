@@ -8,6 +8,10 @@ gap has one number per domain, so a pass only sums a few numbers per partition,
 follows from its posterior and the steps so far. Steps are scaled by the domains' Gram matrix and
 halved while they don't lower the gap.
 
+``bounds`` may give domains a least and a largest rate. They hold for every document whose posterior is
+largest for that domain (the first of equal ones), and the steps are projected onto them; targets that no
+rates within the bounds meet are approached as far as these allow.
+
 Null or empty texts have no tokens: they don't bear on the fit and get the rate of their posterior.
 Repeated rows are documents of their own with equal rates. Labels that are null or have no document
 are left out. Without any label, all domains are alike and every rate is the total over its present
@@ -107,11 +111,16 @@ def domain_posteriors(docs: DataFrame, model: Posterior, text: str = "text") ->
     return docs.select(W.text_bytes(text).alias("_text_bytes"), *carried).mapInArrow(apply, schema)
 
 
-def rates_of(posteriors: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps, each clipped at zero."""
-    rates = np.full(len(posteriors), start)
+def rates_of(
+    posteriors: np.ndarray, start: float, steps: list[np.ndarray], bounds: np.ndarray | None = None,
+) -> np.ndarray:
+    """Rates after the given steps, each held within the document's bounds (from zero on without any)."""
+    low, high = 0.0, np.inf
+    if bounds is not None:
+        low, high = bounds[posteriors.argmax(axis=1)].T
+    rates = np.clip(np.full(len(posteriors), start), low, high)
     for step in steps:
-        rates = np.maximum(0.0, rates - posteriors @ step)
+        rates = np.clip(rates - posteriors @ step, low, high)
     return rates
 
 
@@ -119,15 +128,23 @@ def _posterior_rows(batch: pa.RecordBatch, at: int, domains: int) -> np.ndarray:
     return batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
 
 
-def _pass(members: DataFrame, start: float, steps: list[np.ndarray], domains: int):
-    """(expected tokens of each domain, Gram matrix of the documents with a rate above zero)."""
+def _pass(
+    members: DataFrame, start: float, steps: list[np.ndarray], domains: int,
+    bounds: np.ndarray | None = None,
+):
+    """(expected tokens of each domain, Gram matrix of the documents that aren't held at a bound)."""
     def sums(batches):
         total, gram = np.zeros(domains), np.zeros((domains, domains))
         for batch in batches:
             n, p = batch.column(0).to_numpy().astype(float), _posterior_rows(batch, 1, domains)
-            rates = rates_of(p, start, steps)
+            rates = rates_of(p, start, steps, bounds)
             total += (rates * n) @ p
-            live = p * (n * (rates > 0))[:, None]
+            free = rates > 0
+            if bounds is not None:
+                low, high = bounds[p.argmax(axis=1)].T
+                # Before the first step it isn't known which way a rate will go.
+                free = (rates > low) & (rates < high) if steps else np.ones(len(p), bool)
+            live = p * (n * free)[:, None]
             gram += live.T @ p
         flat = np.concatenate([total, gram.ravel()])
         yield pa.RecordBatch.from_arrays(
@@ -144,11 +161,12 @@ def _pass(members: DataFrame, start: float, steps: list[np.ndarray], domains: in
 
 def fit_rates(
     members: DataFrame, weights: np.ndarray, total: float | None = None,
-    tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS,
+    tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS, bounds: np.ndarray | None = None,
 ) -> tuple[float, list[np.ndarray]]:
-    """(first rate, steps): ``rates_of`` gives every document's rate from them.
+    """(first rate, steps): ``rates_of`` gives every document's rate from them and ``bounds``.
 
-    ``weights`` are shares of the target ``total`` (all present tokens when not given).
+    ``weights`` are shares of the target ``total`` (all present tokens when not given). ``bounds``: the least
+    and the largest rate of each domain.
     """
     domains = len(weights)
     now, gram = _pass(members, 1.0, [], domains)
@@ -160,32 +178,40 @@ def fit_rates(
     targets = np.asarray(weights, float) / np.sum(weights) * total
     steps: list[np.ndarray] = []
     now = now * start
+    if bounds is not None and start != 1.0:
+        now, gram = _pass(members, start, [], domains, bounds)
     gap, scale = (now - targets) / total, 1.0
     for _ in range(most_steps):
         if np.abs(gap).max() <= tolerance:
             break
         ridge = 1e-9 * np.trace(gram) / domains * np.eye(domains)
         step = scale * np.linalg.lstsq(gram + ridge, (now - targets), rcond=None)[0]
-        after, after_gram = _pass(members, start, [*steps, step], domains)
+        after, after_gram = _pass(members, start, [*steps, step], domains, bounds)
+        if bounds is not None and np.allclose(after, now, rtol=1e-9, atol=0):
+            break  # the bounds hold every rate that would move
         if np.linalg.norm((after - targets) / total) >= np.linalg.norm(gap):
             scale /= 2
             if scale < 1e-4:
                 break
             continue
+        last = np.linalg.norm(gap)
         steps, now, gram, scale = [*steps, step], after, after_gram, min(1.0, 2 * scale)
         gap = (now - targets) / total
+        if bounds is not None and np.linalg.norm(gap) > 0.99 * last:
+            break  # the bounds keep the targets out of reach
     return start, steps
 
 
 def mix(
     docs: DataFrame, marks: DataFrame, targets: dict[str, float], domain: str = "domain",
     key: str = "doc_id", text: str = "text", total: float | None = None,
-    train_rows: int = TRAIN_ROWS,
+    train_rows: int = TRAIN_ROWS, bounds: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """``docs`` with _tokens, _posterior (in the order of ``targets``), _rate and _copies.
 
     ``marks``: the label table, with ``key`` and ``domain`` (a name in ``targets``). ``_copies`` is the rate
-    rounded up or down by a hash of the document, so that its mean is the rate.
+    rounded up or down by a hash of the document, so that its mean is the rate. ``bounds``: the least and
+    the largest rate of documents that the posterior gives to a domain; a least rate of one keeps them all.
     """
     names = list(targets)
     numbered = marks.select(key, F.array_position(
@@ -197,14 +223,17 @@ def mix(
     )
     model = fit_posterior(rows, labels, len(names))
     members = pin(domain_posteriors(docs, model, text))
-    start, steps = fit_rates(members, np.array([targets[x] for x in names], float))
+    held = None if bounds is None else np.array([bounds.get(x, (0.0, np.inf)) for x in names], float)
+    start, steps = fit_rates(
+        members, np.array([targets[x] for x in names], float), bounds=held
+    )
     count, carried = len(names), members.columns
 
     def apply(batches):
         for batch in batches:
             p = _posterior_rows(batch, batch.num_columns - 1, count)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(rates_of(p, start, steps))], [*carried, "_rate"]
+                [*batch.columns, pa.array(rates_of(p, start, steps, held))], [*carried, "_rate"]
             )
 
     rated = members.mapInArrow(

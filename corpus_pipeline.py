@@ -10,8 +10,10 @@ from boxline.session import shared_path
 
 # A document below this probability of being marked good is rejected.
 LEAST_QUALITY = 0.3
-# Shares of all tokens after mixing.
+# Shares of all tokens after mixing; where less is toxic already, everything stays once.
 TARGETS = {"clean": 0.97, "toxic": 0.03}
+# Least and largest rate of a document, by what the posterior calls it.
+RATES = {"clean": (1.0, float("inf")), "toxic": (0.0, 1.0)}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: toxic text less often, clean text at least once."""
+    """Each document as often as its rate says: toxic text once at most, clean text at least once."""
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         "doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
         .alias("domain"),
     )
-    rated = mixing.mix(docs, marks, TARGETS)
+    rated = mixing.mix(docs, marks, TARGETS, bounds=RATES)
     copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     return rated.where("_copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
 

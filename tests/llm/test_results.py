@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from boxline.llm import decontaminate, jaccard, pseudonyms, queries, rules, shards, tokens
 from boxline.llm import words as W
@@ -428,6 +429,38 @@ def test_mixing_meets_its_targets(spark):
     assert all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) < 1 for r in rows)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.1])
+def test_mixing_loses_no_clean_document(spark, tmp_path, share):
+    import corpus_pipeline
+    from boxline.llm import mixing
+
+    r, rows, marks = np.random.default_rng(5), [], []
+    for i in range(1_500):
+        toxic = i < 1_500 * share
+        # Every sixth clean text has some words of toxic ones.
+        odd = 0.9 if toxic else 0.3 if i % 6 == 0 else 0.02
+        own = [f"{'bad' if r.random() < odd else 'good'}{r.integers(40)}" for _ in range(60)]
+        rows.append((i, " ".join(own)))
+        if i % 2:
+            marks.append((i, 1, int(toxic)))
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect())
+    domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    rated = mixing.mix(
+        docs, spark.read.parquet(f"{tmp_path}/labels.parquet").select("doc_id", domain.alias("domain")),
+        corpus_pipeline.TARGETS,
+    ).collect()
+    clean = {r["doc_id"] for r in rated if r["_posterior"][0] >= r["_posterior"][1]}
+    assert len(clean) >= 1_500 * (1 - share) - 5
+    assert all(got[i] >= 1 for i in clean)
+    assert all(got[i] <= 1 for i in range(1_500) if i not in clean)
+    left = sum(got[i] for i in range(1_500) if i not in clean)
+    assert left == 1_500 - len(clean) if share <= 0.01 else left < 0.6 * (1_500 - len(clean))
+
+
 def test_hashed_words_and_shapes():
     texts = [b"The the  THE\tend", b"", b"ab cd!", b"x" * 10]
     block = next(W.blocks(pa.array(texts, pa.binary())))
