@@ -1,14 +1,14 @@
 """Log-bilinear language model, trained with noise-contrastive estimation, scoring whole texts.
 
 Tokens are words (A-Z folded, split at ASCII white space) and one end per text. The model predicts
-units: the ``UNITS`` most frequent words, the end, and ``CLASSES`` classes of all other words by their last
+units: the most frequent words (``UNITS`` at least, more as the vocabulary grows), the end, and ``CLASSES`` classes of all other words by their last
 three bytes. The vectors of the two units before, each through its own matrix, add up to the vector that
 is matched with every unit's; a softmax over all units gives a normalised probability. Within a class a
 word has (count + 1) / (class tokens + class words + 1), which leaves a share for words never seen.
 
-Word counts cover all training texts. Training runs on every partition: minibatches of positions (every
-``STRIDE``-th of each text, another phase each round) against shared noise units drawn from the unigram
-distribution; after a round the partitions' parameters are averaged, weighted by their positions. Scoring
+Word counts cover all training texts. Training runs on every partition: minibatches of positions against
+shared noise units drawn from the unigram distribution. Each of ``ROUNDS`` rounds takes every ``ROUNDS``-th
+position of each text, another phase each round, so that every token is learned from once; after a round the partitions' parameters are averaged, weighted by their positions. Scoring
 works out the normaliser once for each distinct context of a batch, as products of matrices.
 
 Counts of the ``LOOKUP`` most frequent words go to every task (a bounded table); tokens of all other words
@@ -31,10 +31,11 @@ from boxline.llm import words as W
 from boxline.llm.worker import ship
 from boxline.session import pin
 
-UNITS, CLASSES = 512, 256
+# Words with a unit of their own: this many at least, and so many times the cube root of the vocabulary's size.
+UNITS, UNITS_PER_ROOT, CLASSES = 512, 8, 256
 SIZE = 24
 LOOKUP = 1 << 18
-STRIDE, ROUNDS = 8, 2
+ROUNDS = 2
 BATCH, NOISE = 256, 96
 RATE = 0.15
 # Bytes of text whose contexts are looked at together, and contexts per product.
@@ -97,9 +98,17 @@ class Vocabulary:
     types: int
     unigram: np.ndarray
 
+    #: Frequent words with a unit; the end and the classes follow.
+    frequent: int = UNITS
+
     @property
     def size(self) -> int:
-        return UNITS + 1 + CLASSES
+        return self.frequent + 1 + CLASSES
+
+
+def frequent_words(types: int) -> int:
+    """Words that get a unit of their own in a vocabulary of ``types`` words."""
+    return min(LOOKUP, max(UNITS, int(UNITS_PER_ROOT * np.cbrt(types))))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -107,23 +116,25 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     totals = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")
     ).collect()}
+    types = int(sum(t[1] for t in totals.values()))
+    frequent = frequent_words(types)
     top = counts.where(F.col("class") >= 0).orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()
     words = top.column("word").to_numpy().view(np.uint64)
     n, classes = top.column("n").to_numpy(), top.column("class").to_numpy()
     class_tokens = np.array([totals.get(k, (0, 0))[0] for k in range(CLASSES)], np.int64)
     class_words = np.array([totals.get(k, (0, 0))[1] for k in range(CLASSES)], np.int64)
-    np.subtract.at(class_tokens, classes[:UNITS], n[:UNITS])
-    np.subtract.at(class_words, classes[:UNITS], 1)
-    units = np.where(np.arange(len(words)) < UNITS, np.arange(len(words)), UNITS + 1 + classes)
+    np.subtract.at(class_tokens, classes[:frequent], n[:frequent])
+    np.subtract.at(class_words, classes[:frequent], 1)
+    units = np.where(np.arange(len(words)) < frequent, np.arange(len(words)), frequent + 1 + classes)
     end = totals.get(-1, (0, 0))[0]
-    weights = np.zeros(UNITS + 1 + CLASSES)
-    weights[:min(UNITS, len(n))], weights[UNITS] = n[:UNITS], end
-    weights[UNITS + 1:] = class_tokens
+    weights = np.zeros(frequent + 1 + CLASSES)
+    weights[:min(frequent, len(n))], weights[frequent] = n[:frequent], end
+    weights[frequent + 1:] = class_tokens
     order = np.argsort(words, kind="stable")
     return Vocabulary(
         words[order], n[order], units[order].astype(np.int32), class_tokens, class_words, int(end),
-        int(sum(t[0] for t in totals.values())), int(sum(t[1] for t in totals.values())),
-        (weights + 1) / (weights + 1).sum(),
+        int(sum(t[0] for t in totals.values())), types,
+        (weights + 1) / (weights + 1).sum(), frequent,
     )
 
 
@@ -153,13 +164,13 @@ def tokens(block: W.Block, known: Vocabulary) -> Tokens:
     found = W.words(block)
     at = np.minimum(np.searchsorted(known.words, found.hashes), max(0, len(known.words) - 1))
     hit = known.words[at] == found.hashes if len(known.words) else np.zeros(len(at), bool)
-    units = UNITS + 1 + endings(block, found)
+    units = known.frequent + 1 + endings(block, found)
     counts = np.full(len(at), -1, np.int64)
     if hit.any():
         units[hit], counts[hit] = known.units[at[hit]], known.counts[at[hit]]
     ends = found.offsets[1:]
     return Tokens(
-        np.insert(units, ends, UNITS), np.insert(counts, ends, known.end_count),
+        np.insert(units, ends, known.frequent), np.insert(counts, ends, known.end_count),
         np.insert(found.hashes, ends, END_HASH), found.offsets + np.arange(len(found.offsets)),
     )
 
@@ -208,11 +219,12 @@ def learn(
             total += gradient**2
             part -= rate * gradient / np.sqrt(total)
             return
-        gathered = np.zeros((part.shape[0], *part.shape[1:]))
-        np.add.at(gathered, rows, gradient)
-        touched = np.unique(rows)
-        total[touched] += gathered[touched] ** 2
-        part[touched] -= rate * gathered[touched] / np.sqrt(total[touched])
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        touched, gathered = ordered[first], np.add.reduceat(gradient[order], first, axis=0)
+        total[touched] += gathered ** 2
+        part[touched] -= rate * gathered / np.sqrt(total[touched])
 
     for units, near, far in batches:
         for low in range(0, len(units), BATCH):
@@ -255,10 +267,10 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int =
                         t = tokens(block, words)
                         near, far = t.contexts(words.size)
                         # The phase differs from text to text and from round to round.
-                        phase = (t.offsets[:-1] * 5 + number * (STRIDE // ROUNDS)) % STRIDE
+                        phase = (t.offsets[:-1] * 5 + number) % rounds
                         place = np.arange(len(t.units)) - np.repeat(t.offsets[:-1], np.diff(t.offsets))
                         pick = np.flatnonzero(
-                            (place + np.repeat(phase, np.diff(t.offsets))) % STRIDE == 0
+                            (place + np.repeat(phase, np.diff(t.offsets))) % rounds == 0
                         )
                         pick = np.random.default_rng(len(pick)).permutation(pick)
                         yield t.units[pick], near[pick], far[pick]
@@ -321,8 +333,8 @@ def score(
                 n = np.diff(t.offsets)
                 owner = np.repeat(np.arange(len(block)), n)
                 logs = log_probabilities(own, t, words.size) / np.log(10)
-                rare = t.units > UNITS
-                logs[rare] -= class_total[t.units[rare] - UNITS - 1]
+                rare = t.units > words.frequent
+                logs[rare] -= class_total[t.units[rare] - words.frequent - 1]
                 # log10(count + 1) of words in the lookup; the others get theirs by the join.
                 plain = np.where(t.counts >= 0, np.log10(np.maximum(t.counts, 0) + 1.0), 0.0)
                 sums = [np.bincount(owner, x, len(block)) for x in (

@@ -75,6 +75,42 @@ def test_unit_probabilities_add_up_to_one():
     assert total == pytest.approx(1.0, abs=1e-5)
 
 
+@pytest.mark.parametrize("rounds", [None, 1, 3])
+def test_every_token_is_learned_from_once(spark, rounds):
+    from boxline.llm import lblm
+
+    docs = spark.createDataFrame([(f"w{i} a b c d e f g h i j k",) for i in range(40)] + [("one",), ("",)],
+                                 "text string")
+    known = lblm.vocabulary(lblm.word_counts(docs))
+    times = spark.sparkContext.accumulator(0)
+    learn = lblm.learn
+
+    def counted(model, batches, *args, **named):
+        after, seen = learn(model, batches, *args, **named)
+        times.add(seen)
+        return after, seen
+
+    lblm.learn = counted
+    try:
+        lblm.train(docs, known, **({} if rounds is None else {"rounds": rounds}))
+    finally:
+        lblm.learn = learn
+    assert times.value == known.tokens == 40 * 13 + 2 + 1
+
+
+def test_units_grow_with_the_vocabulary(spark, monkeypatch):
+    from boxline.llm import lblm
+
+    assert lblm.frequent_words(10) == lblm.UNITS < lblm.frequent_words(1 << 20) < lblm.frequent_words(1 << 24)
+    monkeypatch.setattr(lblm, "UNITS", 16)
+    docs = spark.createDataFrame(
+        [(" ".join(f"w{i}" for i in range(k, k + 100)),) for k in range(0, 90_000, 100)], "text string"
+    )
+    known = lblm.vocabulary(lblm.word_counts(docs))
+    assert known.units[known.units < known.frequent].size == known.frequent > 300
+    assert known.size == len(known.unigram) and known.class_words.sum() == 90_000 - known.frequent
+
+
 def test_rules(spark, folder, texts, labels):
     got = by_id(queries.op3_weak_supervision(spark, folder))
     right = 0
