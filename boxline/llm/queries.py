@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxline.llm import (
-    decontaminate, extract, jaccard, lblm, mixing, pseudonyms, quality, rules, shards, tokens,
+    decontaminate, extract, jaccard, lblm, mixing, pseudonyms, quality, rules, runs, shards, spelling,
+    tokens, topk,
 )
 from boxline.session import shared_path
 
@@ -114,9 +115,43 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words' count, its form and its root."""
+    return spelling.spelling_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    found = topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document's words, one text in ten with a repeated tail."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return runs.periodic_runs(docs, repeat_tails=True, whole=False).drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_soft_mixing, op2_log_bilinear_model, op3_weak_supervision, op4_decontamination,
     op5_pseudonyms, op6_quality_classifier, op7_token_files, op8_histogram_shards, op9_main_text,
-    op10_jaccard_join,
+    op10_jaccard_join, op11_spelling_groups, op12_top_k, op13_periodic_runs,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_top_k": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.r AS q_r, q.vec_id AS query_id, v.r, v.vec_id,
+         CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.r <> v.r WHERE q.vec_id % 20 = 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY q_r ORDER BY score DESC, vec_id, r) AS n FROM p
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM o WHERE n <= 20
+""",
+}
