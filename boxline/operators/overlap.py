@@ -12,7 +12,7 @@ from boxline.operators.hot import (
     BROADCAST_ROWS, HOT_ROWS, hot_keys, lookup_join, null_safe_join, split_hot,
 )
 from boxline.operators.ordered import first_rows
-from boxline.session import pin
+from boxline.session import Rounds
 
 MATCH_IOU = 0.8
 NMS_IOU, NMS_KEEP = 0.45, 300
@@ -140,8 +140,9 @@ def nms(
         return _opened(_suppress(rows, keys, min_iou, keep), keys)
     light, remaining = split_hot(rows, crowded, keys)
     result = _opened(_suppress(light, keys, min_iou, keep), keys)
-    remaining = pin(remaining)
-    standing = None
+    spark = detections.sparkSession
+    left, stood = Rounds(spark, "nms-left"), Rounds(spark, "nms-kept")
+    remaining, standing = left.write(remaining), None
     rank = [F.col("confidence").desc(), F.col("det_id")]
     while not remaining.isEmpty():
         head = first_rows(remaining, keys, rank, limit).drop("rank")
@@ -158,13 +159,13 @@ def nms(
             ).drop("_old")
             done = null_safe_join(standing, kept.select(*keys), keys, "left_anti")
             kept = kept.unionByName(done.select(*kept.columns))
-        standing = pin(kept)
+        standing = stood.write(kept)
         # One row of at most ``keep`` boxes per crowded key.
         state = F.broadcast(standing) if standing.count() * keep <= BROADCAST_ROWS else standing
         behind = F.struct((-F.col("confidence")).alias("neg"), "det_id") > F.col("_last")
         box = F.struct(*G.BOX)
         hidden = F.exists("_kept", lambda k: _overlaps(k, box) > min_iou)
-        remaining = pin(
+        remaining = left.write(
             null_safe_join(remaining, state, keys, "inner")
             .where((F.size("_kept") < keep) & behind & ~hidden)
             .select(*rows.columns)
