@@ -185,3 +185,18 @@ def timings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("item_id"), F.col("event_id").alias("call_id"), "ts",
         F.col("value").alias("elapsed_ms"), (F.col("value") > 1.0).alias("ok"),
     )
+
+
+def gray_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding of 64 numbers as a gray image of 8 x 8 pixels."""
+    gray = F.transform(
+        "embedding", lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("int")
+    )
+    data = F.unhex(F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("image_id"),
+        F.struct(
+            F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"),
+            data.alias("data"),
+        ).alias("image"),
+    )

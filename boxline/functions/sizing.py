@@ -93,10 +93,14 @@ def effective_width(
     return F.when(inked > 0, F.least(used + 20, wide)).otherwise(wide)
 
 
+# Edge densities below which an image is simple, and from which it is dense.
+SIMPLE_EDGES, DENSE_EDGES = 0.1, 0.3
+
+
 def line_method(edge_density: Column) -> Column:
     """Line splitter for an image of this edge density."""
     return (
-        F.when(edge_density < 0.1, "projection")
-        .when(edge_density < 0.3, "component")
+        F.when(edge_density < SIMPLE_EDGES, "projection")
+        .when(edge_density < DENSE_EDGES, "component")
         .otherwise("contour")
     )

@@ -96,10 +96,16 @@ def compare_modes(timings: DataFrame, keys: list[str], baseline: str, improved:
 
 
 def worker_stats(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Regions and times per worker."""
-    return results.groupBy(*keys, "worker_id").agg(
-        F.count(F.lit(1)).alias("n_regions"), *_spread("time_ms")
-    ).drop("std_ms")
+    """Regions and times per worker. Times are added as decimals of six places, in any order the same."""
+    timed = results.groupBy(*keys, "worker_id").agg(
+        F.count(F.lit(1)).alias("n_regions"), F.count("time_ms").alias("_timed"),
+        F.min("time_ms").alias("min_ms"), F.max("time_ms").alias("max_ms"),
+        F.sum(F.col("time_ms").cast("decimal(18,6)")).cast("double").alias("total_ms"),
+    )
+    return timed.select(
+        *keys, "worker_id", "n_regions", F.try_divide("total_ms", "_timed").alias("avg_ms"), "min_ms",
+        "max_ms", "total_ms",
+    )
 
 
 def worker_efficiency(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -101,35 +101,41 @@ def recognise(
     return source.mapInPandas(run, schema)
 
 
-def crop_regions(images: DataFrame, regions: DataFrame, crops: int = CROPS_PER_ROW) -> DataFrame:
-    """(image_id, region_idx, crop, crop_height, crop_width, channels, mean_gray).
+def image_boxes(
+    images: DataFrame, regions: DataFrame, crops: int = CROPS_PER_ROW, carry: list[str] = [],
+) -> DataFrame:
+    """(image_id, height, width, nChannels, data, boxes): pixels beside at most ``crops`` boxes of their image.
 
-    ``images`` has image_id and the ``image`` struct of Spark's reader; ``regions`` has image_id,
-    a dense 0-based region_idx and a box. Boxes travel to the image, at most ``crops`` per copy of
-    it; an empty or unreadable crop has a null ``crop``.
+    A box has region_idx, x1, y1, x2, y2 and the columns ``carry``. Boxes travel to the image; a crowded image
+    is copied, so that its boxes spread over several tasks.
     """
     boxes = regions.withColumn("_part", F.floor(F.col("region_idx") / crops).cast("long"))
     grouped = boxes.groupBy("image_id", "_part").agg(
-        F.collect_list(F.struct("region_idx", *G.BOX)).alias("boxes")
+        F.collect_list(F.struct("region_idx", *G.BOX, *carry)).alias("boxes")
     )
     pixels = images.select(
         "image_id", "image.height", "image.width", "image.nChannels", "image.data"
     )
     crowded = hot_keys(regions.select("image_id"), ["image_id"], crops * PARTS_PER_COPY)
     if crowded is None:
-        paired = grouped.join(pixels, "image_id", "left")
-    else:
-        # Crowded images are copied, so that their boxes spread over several tasks.
-        share = F.ceil(F.col("_rows") / (crops * PARTS_PER_COPY)).cast("int")
-        copies = small(crowded.select("image_id", share.alias("_copies")))
-        pixels = pixels.join(copies, "image_id", "left").withColumn(
-            "_copy",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies") - 1, F.lit(0)))),
-        ).drop("_copies")
-        grouped = grouped.withColumn(
-            "_copy", F.floor(F.col("_part") / PARTS_PER_COPY).cast("int")
-        )
-        paired = grouped.join(pixels, ["image_id", "_copy"], "left")
+        return grouped.join(pixels, "image_id", "left")
+    share = F.ceil(F.col("_rows") / (crops * PARTS_PER_COPY)).cast("int")
+    copies = small(crowded.select("image_id", share.alias("_copies")))
+    copied = F.sequence(F.lit(0), F.coalesce(F.col("_copies") - 1, F.lit(0)))
+    pixels = pixels.join(copies, "image_id", "left").withColumn("_copy", F.explode(copied)).drop("_copies")
+    # Counts are estimates, so parts are dealt to however many copies there are.
+    turn = F.floor(F.col("_part") / PARTS_PER_COPY) % F.coalesce("_copies", F.lit(1))
+    grouped = grouped.join(copies, "image_id", "left").withColumn("_copy", turn.cast("int")).drop("_copies")
+    return grouped.join(pixels, ["image_id", "_copy"], "left")
+
+
+def crop_regions(images: DataFrame, regions: DataFrame, crops: int = CROPS_PER_ROW) -> DataFrame:
+    """(image_id, region_idx, crop, crop_height, crop_width, channels, mean_gray).
+
+    ``images`` has image_id and the ``image`` struct of Spark's reader; ``regions`` has image_id,
+    a dense 0-based region_idx and a box. An empty or unreadable crop has a null ``crop``.
+    """
+    paired = image_boxes(images, regions, crops)
     schema = (
         "image_id long, region_idx long, crop binary, crop_height int, crop_width int, "
         "channels int, mean_gray double"

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "detections", "labels", "lines", "packs", "texts", "overlaps", "repeats", "readings",
-    "timings", "streams", "sources",
+    "screens", "timings", "streams", "sources",
 ]
 
 

@@ -37,7 +37,8 @@ def _worker_results(spark, folder):
 
 
 def worker_stats(spark, folder):
-    return _rounded(M.worker_stats(_worker_results(spark, folder), ["config"]))
+    # Not rounded: a mean of few times may lie half way between two roundings.
+    return M.worker_stats(_worker_results(spark, folder), ["config"])
 
 
 def worker_efficiency(spark, folder):
@@ -96,8 +97,10 @@ FROM t GROUP BY {keys}"""
 
 
 _WORKERS = """w AS (SELECT config, elapsed_ms AS time_ms, item_id AS worker_id FROM timings),
-stats AS (SELECT config, worker_id, count(*) AS n_regions, avg(time_ms) AS avg_ms,
-    min(time_ms) AS min_ms, max(time_ms) AS max_ms, sum(time_ms) AS total_ms
+stats AS (SELECT config, worker_id, count(*) AS n_regions,
+    CAST(sum(CAST(time_ms AS DECIMAL(18, 6))) AS DOUBLE) / count(time_ms) AS avg_ms,
+    min(time_ms) AS min_ms, max(time_ms) AS max_ms,
+    CAST(sum(CAST(time_ms AS DECIMAL(18, 6))) AS DOUBLE) AS total_ms
   FROM w GROUP BY config, worker_id)"""
 
 SQL = {
@@ -113,8 +116,7 @@ SELECT engine, round(avg(u), 4) AS uncached_avg_ms, round(min(u), 4) AS uncached
   round(avg(u) / avg(c), 4) AS speedup
 FROM m GROUP BY engine""",
     "worker_stats": V.using(V.TIMINGS, _WORKERS) + """
-SELECT config, worker_id, n_regions, round(avg_ms, 4) AS avg_ms, round(min_ms, 4) AS min_ms,
-  round(max_ms, 4) AS max_ms, round(total_ms, 4) AS total_ms FROM stats""",
+SELECT config, worker_id, n_regions, avg_ms, min_ms, max_ms, total_ms FROM stats""",
     "worker_efficiency": V.using(V.TIMINGS, _WORKERS) + """
 SELECT config, count(*) AS workers, CAST(sum(n_regions) AS BIGINT) AS n_regions,
   round(sum(total_ms), 4) AS serial_ms, round(max(total_ms), 4) AS parallel_ms,
