@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxline.session import pin
+from boxline.session import Rounds, pin
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable over ``edges`` (a, b); nodes without edges are absent.
 
     Each round takes the least label of all neighbours, then follows the label's own label, so the
-    distance that a label travels doubles. Only counts come to the driver; each round is pinned.
+    distance that a label travels doubles. Only counts come to the driver; each round is written as a table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = pin(both.where("a <> b").distinct())
-    labels = pin(both.groupBy(F.col("a").alias("node")).agg(
+    rounds = Rounds(edges.sparkSession, "components")
+    labels = rounds.write(both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.first("a")).alias("label")
     ))
     while True:
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
         )
         jump = labels.select(F.col("node").alias("_at"), F.col("label").alias("_next"))
-        after = pin(lower.join(jump, F.col("label") == F.col("_at"), "left").select(
+        after = rounds.write(lower.join(jump, F.col("label") == F.col("_at"), "left").select(
             "node", "_old", F.least("label", F.coalesce("_next", "label")).alias("label")
         ))
         changed = not after.where("label <> _old").isEmpty()

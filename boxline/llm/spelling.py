@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxline.llm import words as W
-from boxline.session import pin
+from boxline.session import Rounds, pin
 
 LEAST_LETTERS, LEAST_COUNT = 6, 5
 # One word in so many is misspelt.
@@ -237,10 +237,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def last_forms(forms: DataFrame) -> DataFrame:
     """(word, root): forms (word, form) followed to the last. Each form is more frequent, so paths end."""
-    roots = pin(forms.select("word", F.col("form").alias("root")))
+    rounds = Rounds(forms.sparkSession, "roots")
+    roots = rounds.write(forms.select("word", F.col("form").alias("root")))
     while True:
         onward = roots.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        after = pin(roots.join(onward, F.col("root") == F.col("_at"), "left").select(
+        after = rounds.write(roots.join(onward, F.col("root") == F.col("_at"), "left").select(
             "word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")
         ))
         moved = not after.where("_moved").isEmpty()

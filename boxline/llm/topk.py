@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxline.llm.worker import ship
-from boxline.session import pin
+from boxline.session import Rounds, pin
 
 SCALE = 64
 PIVOTS, SAMPLE, LLOYD = 64, 2048, 6
@@ -283,7 +283,7 @@ def top_k(
         keyed.where(is_query).repartitionByRange("cell", "away", "row")
         .sortWithinPartitions("cell", "away", "row").select("row", "id", "vec")
     )
-    low, high, best = 0, first, None
+    low, high, best, rounds = 0, first, None, Rounds(spark, "top-k")
     while low < len(rings):
         state = asked.withColumn("least", F.lit(None).cast("double"))
         if best is not None:
@@ -294,7 +294,7 @@ def top_k(
         found = _search(_bundles(state, bounds, dim, low, high), blocks, dim, k)
         if best is not None:
             found = found.union(best.select("query", "id", "row", "score"))
-        best = pin(_best(found, k))
+        best = rounds.write(_best(found, k))
         low, high = high, high * GROWTH
     names = asked.select(F.col("row").alias("query"), F.col("id").alias("query_id"))
     return best.join(names, "query").select("query_id", "rank", "id", "score")
