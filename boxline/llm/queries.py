@@ -100,7 +100,7 @@ def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return shards.assign(docs, with_text=False).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

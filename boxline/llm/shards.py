@@ -1,7 +1,8 @@
 """Shards of near equal bytes by histogram sort.
 
 Rows are ordered by a 64-bit key: 40 bits hash the text, so that equal texts stand together, and 24
-bits hash the id and the row, so that a group of copies of any size can be cut. Splitters are found
+bits hash the id and the row, so that a group of copies of any size can be cut. Only groups too large for that are: a
+splitter inside a group moves to the nearer end of it when that is within ``GROUP_SLACK`` of a shard. Splitters are found
 by counting: each round, every partition counts the exact bytes below all candidate boundaries, and
 the interval around each splitter shrinks to the candidates on both sides of its target, until the
 bytes below a splitter are within the tolerance or no key is left in between. Then rows are
@@ -30,6 +31,8 @@ SHARDS = 40
 ROW_BYTES = 16
 # A splitter may be off its target by this share of a shard; inside a shard by a tenth of a bucket.
 TOLERANCE = 1e-3
+# A splitter moves out of a group of equal texts by up to this share of a shard; larger groups are cut.
+GROUP_SLACK = 0.1
 # Candidate boundaries of one round for all splitters together, and for one splitter.
 POINTS = 20_000
 LEAST_PROBES, MOST_PROBES = 3, 63
@@ -37,6 +40,8 @@ LEAST_PROBES, MOST_PROBES = 3, 63
 BUCKET_BYTES = 128 << 20
 LEAST_BUCKETS = 8
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+# The bits of a key that tell rows of one text apart.
+_ROWS = (1 << 24) - 1
 
 
 def row_bytes(text: str) -> Column:
@@ -118,10 +123,34 @@ def splitters(
     ).reshape(n, 2)
 
 
+def _between_texts(
+    keys: DataFrame, found: np.ndarray, below: np.ndarray, targets: np.ndarray, slack: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters moved out of groups of equal texts, where one end of the group is within ``slack`` of the target."""
+    inside = np.flatnonzero(found & _ROWS)
+    if not len(inside):
+        return found, below
+    start = found[inside] & ~_ROWS
+    # Behind the last group of all lies the highest key.
+    end = np.where(start > _HIGH - _ROWS - 1, _HIGH, start | _ROWS) + (start <= _HIGH - _ROWS - 1)
+    probes = np.unique(np.concatenate([start, end]))
+    counts = _counts_below(keys, probes)
+    for i, a, b in zip(inside.tolist(), start.tolist(), end.tolist()):
+        choices = [(abs(counts[p, 1] - targets[i]), p) for p in np.searchsorted(probes, [a, b]).tolist()]
+        off, p = min(choices)
+        if off <= slack:
+            found[i], below[i] = probes[p], counts[p]
+    order = np.maximum.accumulate(found)
+    return order, np.maximum.accumulate(below, axis=0)
+
+
 class Plan:
     """Boundaries of all buckets: ``bounds`` between them, rows below each, shard of each bucket."""
 
-    def __init__(self, keys: DataFrame, shards: int, bucket_bytes: int, tolerance: float):
+    def __init__(
+        self, keys: DataFrame, shards: int, bucket_bytes: int, tolerance: float,
+        group_slack: float = GROUP_SLACK,
+    ):
         total = keys.agg(F.sum("size")).first()[0] or 0
         each = max(1.0, total / shards)
         self.per_shard = max(LEAST_BUCKETS, int(-(-each // bucket_bytes)))
@@ -130,6 +159,15 @@ class Plan:
         edge = np.arange(1, count) % self.per_shard == 0
         slack = np.where(edge, tolerance * each, 0.1 * each / self.per_shard)
         found, below = splitters(keys, targets, slack)
+        ends = np.flatnonzero(edge)
+        found[ends], below[ends] = _between_texts(keys, found[ends], below[ends], targets[ends], group_slack * each)
+        # Boundaries inside a shard stay between those of the shard.
+        for low, high in zip([-1, *ends.tolist()], [*ends.tolist(), count - 1]):
+            own = slice(low + 1, high)
+            for end, past in ((low, np.less), (high, np.greater)):
+                if 0 <= end < len(found):
+                    out = past(found[own], found[end])
+                    found[own][out], below[own][out] = found[end], below[end]
         self.bounds = np.maximum.accumulate(found)
         self.rows_below = np.concatenate([[0], np.maximum.accumulate(below[:, 0])])
         self.shard = np.arange(count) // self.per_shard

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxline.llm import decontaminate, jaccard, pseudonyms, queries, rules, shards, tokens
 from boxline.llm import words as W
+from boxline.session import pin
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -286,16 +287,52 @@ def test_one_document_is_read_alone():
 
 
 def test_shards(spark, folder, texts):
-    rows = queries.op8_histogram_shards(spark, folder).collect()
+    frame = queries.op8_histogram_shards(spark, folder)
+    kinds = dict(frame.dtypes)
+    assert kinds == {
+        "doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int",
+        "slot": "bigint", "grown_shard": "int",
+    }
+    rows = frame.collect()
     assert {r["doc_id"] for r in rows} == set(texts) and len(rows) == len(texts)
-    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    slots = collections.defaultdict(list)
     for r in rows:
         data = texts[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"]) == (len(data) + 16, zlib.crc32(data))
-        sizes[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert set(sizes) <= set(range(40))
+    assert set(slots) <= set(range(40))
+    held_together(rows, texts, 40)
+
+
+def held_together(rows, texts, count):
+    """Shards have near equal bytes, and groups of equal texts that fit the slack lie in one shard."""
+    each = sum(r["size"] for r in rows) / count
+    groups, sizes = collections.defaultdict(lambda: [set(), 0]), collections.Counter()
+    for r in rows:
+        groups[texts[r["doc_id"]]][0].add(r["shard"])
+        groups[texts[r["doc_id"]]][1] += r["size"]
+        sizes[r["shard"]] += r["size"]
+    largest = max(r["size"] for r in rows)
+    # Each end of a shard is off by half a row, or by the slack for groups.
+    most = 2 * max(largest / 2 + shards.TOLERANCE * each, shards.GROUP_SLACK * each)
+    assert all(abs(sizes[s] - each) <= most for s in range(count))
+    small = [g for g, size in groups.values() if size <= 2 * shards.GROUP_SLACK * each - 2 * largest]
+    assert all(len(g) == 1 for g in small)
+    return [g for g, _ in groups.values()]
+
+
+def test_groups_stay_in_one_shard(spark):
+    r = np.random.default_rng(6)
+    texts = {i: f"text {i} " + "x" * int(r.integers(20, 400)) for i in range(3_000)}
+    texts |= {10_000 + i: f"copied {i // 8} " + "y" * 150 for i in range(800)}
+    # A third of all bytes is one text, which has to be cut.
+    texts |= {20_000 + i: "z" * 300 for i in range(1_500)}
+    docs = pin(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(6))
+    rows = shards.assign(docs, shards=12).collect()
+    assert len(rows) == len(texts)
+    cut = [g for g in held_together(rows, texts, 12) if len(g) > 1]
+    assert len(cut) == 1 and len(cut[0]) >= 3
 
 
 def test_splitters_meet_their_targets(spark):
