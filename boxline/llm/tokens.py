@@ -12,13 +12,14 @@ Images are rows of a Parquet table, next to the ids of their documents, so Spark
 or not at all, on any file system; a folder also holds the dictionary and a manifest with the ids before
 each shard. One document is read by two index entries and one small decompression.
 
-Null and empty texts have the end id only. Null document ids sort first; rows with one id sort by their
+Null and empty texts have the end id only. Null document ids sort first; rows with one id sort by a hash of their
 serialized ids, and equal rows are documents of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from dataclasses import dataclass
@@ -42,19 +43,101 @@ DICTIONARY_ARRAY = 1 << 16
 LEVEL = 3
 # Compressed bytes after which a shard is closed.
 SHARD_BYTES = 4 << 20
-# Distinct words that a worker remembers.
+# Distinct cores and signs that a worker remembers.
 REMEMBERED = 900_000
 MAGIC, VERSION = b"BXID", 1
 HEADER = "<4sHH32sI"
+# Signs that are cut off a word's end.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# What ends a word's last token, and the pieces that a tokenizer must part words into.
+WORD_END = "</w>"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Units:
+    """What is known of byte strings by hash: the ids of each, in one array, found through a table of two places."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = self.used = 0
+        self.hashes = np.zeros(1 << 16, W.U64)
+        # Where the ids of each string start, and one end more.
+        self.starts = np.zeros((1 << 16) + 1, np.int64)
+        self.ids = np.zeros(1 << 18, self.kind)
+        self.table = [np.full(self.SLOTS, -1, np.int32) for _ in range(2)]
+        self.rest: dict[int, int] = {}
+
+    def _slots(self, hashes: np.ndarray, turn: int) -> np.ndarray:
+        return ((hashes >> W.U64(24 * turn)) & W.U64(self.SLOTS - 1)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
+        for turn, table in enumerate(self.table):
+            at = table[self._slots(hashes[left], turn)]
+            hit = (at >= 0) & (self.hashes[at] == hashes[left])
+            out[left[hit]] = at[hit]
+            left = left[~hit]
+        if self.rest and len(left):
+            out[left] = [self.rest.get(h, -1) for h in hashes[left].tolist()]
+        return out
+
+    def add(self, hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """New strings with their ids in a row."""
+        count, used = self.count + len(hashes), self.used + len(ids)
+        for name, size in (("hashes", count), ("starts", count + 1), ("ids", used)):
+            held = getattr(self, name)
+            if size > len(held):
+                grown = np.zeros(2 * size, held.dtype)
+                grown[:len(held)] = held
+                setattr(self, name, grown)
+        self.hashes[self.count:count] = hashes
+        self.starts[self.count + 1:count + 1] = self.used + np.cumsum(lengths)
+        self.ids[self.used:used] = ids
+        numbers = np.arange(self.count, count)
+        for turn, table in enumerate(self.table):
+            slots = self._slots(hashes, turn)
+            free = table[slots] < 0
+            table[slots[free]] = numbers[free]
+            placed = table[slots] == numbers
+            hashes, numbers = hashes[~placed], numbers[~placed]
+        self.rest.update(zip(hashes.tolist(), numbers.tolist()))
+        self.count, self.used = count, used
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings in a row, how many each has)."""
+        first = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - first
+        at = np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+        return self.ids[at + np.arange(len(at))], lengths
+
+
+def _bytes_of(characters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer(characters.encode("latin-1"), np.uint8)] = True
+    return table
+
+
+_SIGN, _ALNUM = _bytes_of(_SIGNS), _bytes_of("abcdefghijklmnopqrstuvwxyz0123456789")
+_LETTER = _bytes_of("abcdefghijklmnopqrstuvwxyz")
+# UTF-8 of the letters U+00C0 to U+00FF: this byte, then another one, but for the signs of two products.
+_LEAD, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes; equal words are encoded once.
+    """Ids of texts as little-endian bytes; equal parts of words are encoded once.
 
-    The tokenizer never joins what ASCII white space parts, so a text's ids are those of its words in a
-    row. Plain words are encoded many at a time: each ends with an id whose token ends a word, which
-    tells them apart again. All other words are encoded one by one.
+    A tokenizer that lowers case, drops white space and parts letters from signs gives a text the ids of its
+    words in a row, and a word those of its core and of the signs behind it. All cores and signs of a block of texts
+    are hashed and looked up together. New ones of letters only are encoded many at a time: each ends with an id whose
+    token ends a word, which tells them apart again. Other new ones are encoded one by one, and with other
+    tokenizers (``by_words`` false) whole texts are.
     """
 
     def __init__(self, path: str):
@@ -65,8 +148,9 @@ class Encoder:
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
+        self.units = Units(self.kind)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -80,52 +164,106 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in got]
 
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
-
-    def learn(self, new: list[bytes]) -> None:
-        cores, plain, other = {}, [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(_SIGNS)
-            # Letters below U+0250 keep their form when normalised, but for one.
-            if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-                signs, core = text[len(core):], core.lower()
-                cores.setdefault(core, self.known.get(core.encode()))
-                cores.setdefault(signs, self.known.get(signs.encode()))
-                plain.append((word, core, signs))
-            else:
-                other.append((word, text))
-        cores.pop("", None)
-        # The tokenizer folds case, and what a word's letters give is known if they were met alone.
-        parts = [core for core, ids in cores.items() if ids is None]
-        for low in range(0, len(parts), 512):
-            part = parts[low:low + 512]
-            ids = np.asarray(self._ids([" ".join(part)])[0])
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes the strings at ``starts`` to ``ends`` of ``data``; each is new."""
+        # Letters only, by the bytes that aren't letters before each place.
+        letter = _LETTER[data]
+        follows = np.zeros(len(data), bool)
+        follows[1:] = data[:-1] == _LEAD
+        letter |= (data == _LEAD) | (follows & ~np.isin(data, _NO_LETTERS))
+        other = np.concatenate([[0], np.cumsum(~letter)])
+        plain = other[ends] == other[starts]
+        raw = data.tobytes()
+
+        def texts(which):
+            return [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[which].tolist(), ends[which].tolist())]
+
+        which = np.flatnonzero(plain)
+        for low in range(0, len(which), 512):
+            part = which[low:low + 512]
+            words = texts(part)
+            ids = np.asarray(self._ids([" ".join(words)])[0], self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and len(cuts) and cuts[-1] == len(ids):
-                pieces = np.split(ids, cuts[:-1])
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                self.units.add(hashes[part], np.diff(cuts, prepend=0), ids)
             else:
-                pieces = self._ids(part)
-            for core, piece in zip(part, pieces):
-                cores[core] = self._bytes(piece)
-        cores[""] = b""
-        for word, core, signs in plain:
-            self.known[core.encode()] = cores[core]
-            self.known[word] = cores[core] + cores[signs]
-        for (word, _), ids in zip(other, self._ids([text for _, text in other])):
-            self.known[word] = self._bytes(ids)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for ws in split for w in ws}
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+                self._one_by_one(hashes[part], words)
+        which = np.flatnonzero(~plain)
+        for low in range(0, len(which), 4096):
+            part = which[low:low + 4096]
+            self._one_by_one(hashes[part], texts(part))
+
+    def _one_by_one(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = self._ids(words)
+        flat = np.fromiter((i for own in ids for i in own), self.kind)
+        self.units.add(hashes, np.array([len(own) for own in ids], np.int64), flat)
+
+    def _cut(self, block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-cased bytes, starts, ends of cores and signs, how many of them each text has)."""
+        found = W.words(block, lower=False)
+        data = W._LOWER[block.data]
+        starts, ends = found.starts, found.ends
+        # The last byte of each word that is no sign; a word of signs has none.
+        last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data))))[ends - 1] if len(ends) else ends
+        # Before the signs stands a letter or digit, else the word is left whole.
+        ahead = data[np.maximum(last - 1, 0)]
+        final = data[np.maximum(last, 0)]
+        fits = (last >= starts) & (
+            _ALNUM[final] | ((ahead == _LEAD) & (last > starts) & ~np.isin(final, _NO_LETTERS) & (final >= 128))
+        )
+        cut = np.where(fits, last + 1, ends)
+        bar = np.flatnonzero((block.data[:-1] == ord("<")) & (block.data[1:] == ord("|")))
+        for word in np.unique(np.searchsorted(starts, bar, "right") - 1).tolist():
+            # Special tokens are matched before case is lowered.
+            low, high = int(starts[word]), int(ends[word])
+            data[low:high], cut[word] = block.data[low:high], high
+        pairs = np.stack([starts, cut, cut, ends], axis=1).reshape(-1, 2)
+        full = pairs[:, 0] < pairs[:, 1]
+        before = np.concatenate([[0], np.cumsum(full)])
+        counts = np.diff(before[2 * found.offsets])
+        return data, pairs[full, 0], pairs[full, 1], counts
+
+    def encode(self, block: W.Block) -> list[bytes]:
+        """Ids of each text of a block, as bytes."""
+        if not self.by_words:
+            texts = [block.text(i).decode("utf-8", "replace") for i in range(len(block))]
+            return [np.asarray(ids, self.kind).tobytes() for ids in self._ids(texts)]
+        data, starts, ends, counts = self._cut(block)
+        hashes = W.span_hashes(data, starts, ends)
+        numbers = self.units.find(hashes)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            _, first = np.unique(hashes[new], return_index=True)
+            if self.units.count + len(first) > REMEMBERED:
+                self.units.clear()
+                _, new = np.unique(hashes, return_index=True)
+                first = np.arange(len(new))
+            one = new[first]
+            self._learn(data, hashes[one], starts[one], ends[one])
+            numbers = self.units.find(hashes)
+        ids, lengths = self.units.gather(numbers)
+        size = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])] * self.width
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(size[:-1].tolist(), size[1:].tolist())]
+
+
+def splits_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that ``Encoder`` can go by words with."""
+    def steps(part: dict | None, name: str) -> list[dict]:
+        return part[name] if part and part["type"] == "Sequence" else [part] if part else []
+
+    model = settings["model"]
+    forms = steps(settings["normalizer"], "normalizers")
+    cuts = steps(settings["pre_tokenizer"], "pretokenizers")
+    return (
+        [f["type"] for f in forms] == ["NFC", "Replace", "Lowercase"]
+        and (forms[1]["pattern"], forms[1]["content"]) == ({"Regex": "\\s+"}, " ")
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": PIECES} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["dropout"]
+        and not settings["truncation"] and not settings["padding"]
+    )
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, key: str, text: str, dictionary: bytes | None):
@@ -140,7 +278,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, key: str, text: str, dicti
         for batch in batches:
             counts, out = [], []
             for block in W.blocks(batch.column(1)):
-                for ids in encoder.encode([block.text(i) for i in range(len(block))]):
+                for ids in encoder.encode(block):
                     ids += end
                     counts.append(len(ids) // encoder.width)
                     out.append(pack(ids))
@@ -259,9 +397,11 @@ def write_tokens(
         if arrays:
             yield close()
 
-    ordered = rows.repartitionByRange(F.col("_doc").asc_nulls_first(), "_ids").sortWithinPartitions(
-        F.col("_doc").asc_nulls_first(), "_ids"
-    )
+    # Range bounds are sampled, so whole arrays aren't among their keys.
+    ordered = rows.withColumn("_hash", F.xxhash64("_ids"))
+    ordered = ordered.repartitionByRange(F.col("_doc").asc_nulls_first(), "_hash").sortWithinPartitions(
+        F.col("_doc").asc_nulls_first(), "_hash", "_ids"
+    ).drop("_hash")
     packed = ordered.mapInArrow(
         pack, f"number int, docs array<{kind.simpleString()}>, tokens bigint, image binary"
     ).withColumn("part", F.spark_partition_id())

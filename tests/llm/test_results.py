@@ -259,7 +259,7 @@ def test_token_files(spark, folder, texts):
         start += len(ids)
 
 
-def test_odd_words_are_encoded_as_by_the_tokenizer():
+def test_odd_words_are_encoded_as_by_the_tokenizer(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -269,9 +269,46 @@ def test_odd_words_are_encoded_as_by_the_tokenizer():
         "It's we'll I'M don't", "İstanbul ŉ ǅ Straße", "été é", "a\x1cb c d e f", "½ ² 10,000.5",
         "<|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y", "日本語 and 🙂🙂", "__a_b__ c--d \"q\" ...", "́x Å",
     ]
-    for text in odd:
-        ids = np.frombuffer(own.encode([text.encode()])[0], own.kind).tolist()
-        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+    rng = np.random.default_rng(8)
+    letters = list("abcsStTdl''\"\".,!-<|>é×÷ÀßIİſK½²3 \u00a0\u0301\u2026ö中🙂") + ["<|", "'s", "'re", "<|endoftext|>"]
+    odd += ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
+    # All in one block, one at a time, and with so little memory that words are forgotten.
+    for held in (tokens.REMEMBERED, 500):
+        monkeypatch.setattr(tokens, "REMEMBERED", held)
+        for part in (odd, *([t] for t in odd[:200]), odd[100:400]):
+            block = next(W.blocks(pa.array([t.encode() for t in part], pa.binary())))
+            for text, ids in zip(part, own.encode(block)):
+                want = tokenizer.encode(text, add_special_tokens=False).ids
+                assert np.frombuffer(ids, own.kind).tolist() == want, text
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert not own.by_words and tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_words
+    texts = ["Two  words\n", "", "It's  10,5 "]
+    got = own.encode(next(W.blocks(pa.array([t.encode() for t in texts], pa.binary()))))
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_units_with_full_places(monkeypatch):
+    monkeypatch.setattr(tokens.Units, "SLOTS", 8)
+    units, rng = tokens.Units("<u2"), np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    lengths = rng.integers(0, 4, len(hashes))
+    for low in range(0, len(hashes), 90):
+        part = slice(low, low + 90)
+        units.add(hashes[part], lengths[part], np.repeat(np.arange(len(hashes))[part], lengths[part]))
+    numbers = units.find(hashes)
+    assert numbers.tolist() == list(range(len(hashes)))
+    assert units.find(hashes + np.uint64(1))[0] == -1
+    ids, got = units.gather(numbers[::-1])
+    assert got.tolist() == lengths[::-1].tolist()
+    assert ids.tolist() == np.repeat(numbers[::-1], lengths[::-1]).tolist()
 
 
 def test_one_document_is_read_alone():
