@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxline.functions import geometry as G
-from boxline.operators.hot import lookup_join
+from boxline.operators.hot import hot_keys, lookup_join, null_safe_join, split_hot
+from boxline.operators.ordered import ranked
 from boxline.operators.overlap import PAIR_ROWS, close_pairs
+from boxline.session import Rounds
 
 # IoU levels of the mean average precision.
 IOU_LEVELS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -39,6 +41,127 @@ def match_truth(
     )
 
 
+_Q = [f"q_{c}" for c in G.BOX]
+
+
+def _assigned_groups(
+    predictions: DataFrame, truths: DataFrame, keys: list[str], levels: list[float]
+) -> DataFrame:
+    """Assignment of groups of bounded size: one row per key with sorted arrays, folded once per level."""
+    rank = F.struct((-F.col("confidence")).alias("neg"), "det_id", "confidence", *G.BOX)
+    left = predictions.groupBy(*keys).agg(F.array_sort(F.collect_list(rank)).alias("_p"))
+    right = truths.groupBy(*keys).agg(F.collect_list(F.struct("truth_id", *G.BOX)).alias("_t"))
+    least = min(levels)
+
+    def options(p: Column) -> Column:
+        shared = F.transform("_t", lambda t: F.struct(
+            (-G.iou_of(*(p[c] for c in G.BOX), *(t[c] for c in G.BOX))).alias("neg"),
+            *(t[c].alias(c) for c in G.BOX), t["truth_id"].alias("truth_id"),
+        ))
+        return F.array_sort(F.filter(shared, lambda o: -o["neg"] >= least))
+
+    both = null_safe_join(left, right, keys, "inner").withColumn("_p", F.transform("_p", lambda p: F.struct(
+        p["det_id"].alias("det_id"), p["confidence"].alias("confidence"), options(p).alias("options"),
+    ))).withColumn("_p", F.filter("_p", lambda p: F.size(p["options"]) > 0)).where(F.size("_p") > 0)
+
+    def taken(p: Column, o: Column) -> Column:
+        return F.struct(
+            p["det_id"].alias("det_id"), o["truth_id"].alias("truth_id"), (-o["neg"]).alias("iou"),
+            p["confidence"].alias("confidence"),
+        )
+
+    some = F.transform("_p", lambda p: taken(p, p["options"][0]))
+
+    def fold(level: Column) -> Column:
+        def step(done: Column, p: Column) -> Column:
+            free = F.filter(p["options"], lambda o: (-o["neg"] >= level) & ~F.exists(
+                done, lambda m: m["truth_id"] == o["truth_id"]
+            ))
+            return F.when(F.size(free) > 0, F.concat(done, F.array(taken(p, free[0])))).otherwise(done)
+
+        return F.aggregate("_p", F.filter(some, lambda m: F.lit(False)), step)
+
+    per_level = F.transform(F.array(*[F.lit(v) for v in levels]), lambda level: F.struct(
+        level.alias("level"), fold(level).alias("matches")
+    ))
+    return both.select(*keys, F.explode(per_level).alias("_l")).select(
+        *keys, F.col("_l.level").alias("level"), F.explode("_l.matches").alias("m")
+    ).select(*keys, "level", "m.*")
+
+
+def _assigned_in_rounds(
+    predictions: DataFrame, truths: DataFrame, keys: list[str], levels: list[float], limit: int
+) -> DataFrame:
+    """Assignment of crowded groups: all predictions propose to a truth, its losers go on to their next one.
+
+    Truths of one box stand as one with as many places. A truth prefers the more confident prediction, so the
+    rounds end in the same assignment as one prediction after another.
+    """
+    spark = predictions.sparkSession
+    shapes = predictions.select(*keys, *G.BOX).distinct()
+    boxes = truths.withColumnsRenamed(dict(zip(G.BOX, _Q)))
+    marks = boxes.groupBy(*keys, *_Q).agg(F.count(F.lit(1)).alias("_places"))
+    near = close_pairs(shapes, marks, keys, min(levels), limit)
+    at = F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("iou")))
+    met = null_safe_join(
+        predictions.select(*keys, "det_id", "confidence", *G.BOX), near, [*keys, *G.BOX], "inner"
+    ).drop(*G.BOX).withColumn("level", at)
+    one = [*keys, "level", "det_id"]
+    # A prediction overlaps few boxes beside the rows of its group.
+    own = Window.partitionBy(*one)
+    met = met.withColumns({
+        "_turn": F.row_number().over(own.orderBy(F.col("iou").desc(), *_Q)), "_turns": F.count(F.lit(1)).over(own),
+    })
+    met = Rounds(spark, "wishes").write(met)
+    rounds = Rounds(spark, "proposals")
+    now = met.where("_turn = 1")
+    while True:
+        order = [F.col("confidence").desc(), F.col("det_id")]
+        placed = rounds.write(ranked(now, [*keys, "level", *_Q], order, "_place"))
+        onward = (F.col("_place") > F.col("_places")) & (F.col("_turn") < F.col("_turns"))
+        if placed.where(onward).isEmpty():
+            break
+        turn = F.when(F.col("_place") > F.col("_places"), F.col("_turn") + 1).otherwise(F.col("_turn"))
+        wanted = placed.select(*one, turn.alias("_turn"))
+        now = null_safe_join(met, wanted, [*one, "_turn"], "left_semi")
+    numbered = ranked(boxes, [*keys, *_Q], ["truth_id"], "_place").select(*keys, *_Q, "_place", "truth_id")
+    won = placed.where(F.col("_place") <= F.col("_places"))
+    return null_safe_join(won, numbered, [*keys, *_Q, "_place"], "inner").select(
+        *keys, "level", "det_id", "truth_id", "iou", "confidence"
+    )
+
+
+def assign_truths(
+    predictions: DataFrame, truths: DataFrame, levels: list[float] = IOU_LEVELS[:1],
+    keys: list[str] = ["image_id", "class"], limit: int = PAIR_ROWS, hot: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, level, det_id, truth_id, iou, confidence): predictions and truths matched one to one, at each IoU level.
+
+    From the most confident prediction on (equal ones by det_id), each takes the free truth of its key with the
+    highest IoU, at the level at least; of equal ones the first by box and truth_id. One whose best truth is taken
+    goes on to the next best. Groups with more than about ``limit`` boxes on either side are matched in rounds.
+    """
+    sides = [predictions.select(*keys, "det_id", "confidence", *G.BOX), truths.select(*keys, "truth_id", *G.BOX)]
+    crowded = hot
+    if crowded is None:
+        crowded = hot_keys(sides[0].select(*keys).unionByName(sides[1].select(*keys)), keys, limit)
+    if crowded is None:
+        return _assigned_groups(*sides, keys, levels)
+    (light_p, heavy_p), (light_t, heavy_t) = (split_hot(side, crowded, keys) for side in sides)
+    return _assigned_groups(light_p, light_t, keys, levels).unionByName(
+        _assigned_in_rounds(heavy_p, heavy_t, keys, levels, limit)
+    )
+
+
+def assigned_positives(
+    predictions: DataFrame, truths: DataFrame, levels: list[float] = IOU_LEVELS, limit: int = PAIR_ROWS
+) -> DataFrame:
+    """(class, level, bucket, tp): matched predictions per IoU level and confidence (three digits)."""
+    return assign_truths(predictions, truths, levels, limit=limit).groupBy(
+        "class", "level", _bucket("confidence").alias("bucket")
+    ).agg(F.count(F.lit(1)).alias("tp"))
+
+
 def true_positives(matches: DataFrame, levels: list[float] = IOU_LEVELS) -> DataFrame:
     """(class, level, bucket, tp): per truth and IoU level the most confident match counts."""
     order = F.struct("confidence", -F.col("det_id"))
@@ -75,7 +198,7 @@ def precision_curve(
         F.count(F.lit(1)).alias("n")
     )
     grid = counts.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    tp = true_positives(match_truth(predictions, truths, levels[0], limit), levels)
+    tp = assigned_positives(predictions, truths, levels, limit)
     totals = truths.groupBy("class").agg(F.count(F.lit(1)).alias("n_truth"))
     down = (
         Window.partitionBy("class", "level").orderBy(F.col("bucket").desc())

@@ -57,8 +57,15 @@ def evaluate_detections(spark, folder):
     return scores.select("class", *[F.round(c, 6).alias(c) for c in names])
 
 
+def assigned_truths(spark, folder):
+    """Predictions and truths of any class matched one to one at two levels, where many contest a truth."""
+    found = E.assign_truths(*_sides(spark, folder), levels=[0.1, 0.3], keys=["image_id"])
+    return found.withColumn("iou", F.round("iou", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     overlap_match, nms, nms_agnostic, truth_matches, evaluation_counts, evaluate_detections,
+    assigned_truths,
 )}
 
 _SIDES = """p AS (SELECT * FROM detections WHERE x2 > x1 AND y2 > y1),
@@ -126,6 +133,24 @@ SELECT image_id, query_id, det_id, round(iou, 6) AS iou FROM (SELECT b.image_id,
 WHERE iou > 0.8""",
     "truth_matches": V.using(V.DETECTIONS, _SIDES, _MATCHES) + """
 SELECT image_id, class, det_id, truth_id, round(iou, 6) AS iou, confidence FROM matches""",
+    "assigned_truths": V.using(V.DETECTIONS, _SIDES).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+pairs AS (SELECT p.image_id, p.det_id, t.truth_id, p.confidence, {V.iou('p.', 't.t')} AS iou,
+    tx1, ty1, tx2, ty2
+  FROM p JOIN t ON p.image_id = t.image_id),
+wishes AS (SELECT image_id, level, det_id, confidence,
+    list(struct_pack(truth_id := truth_id, iou := iou) ORDER BY iou DESC, tx1, ty1, tx2, ty2, truth_id) AS options
+  FROM pairs, (VALUES (0.1::DOUBLE), (0.3::DOUBLE)) l(level) WHERE iou >= level GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY image_id, level ORDER BY confidence DESC, det_id) AS turn
+  FROM wishes),
+taken AS (SELECT image_id, level, turn, det_id, confidence, options[1] AS pick, [options[1].truth_id] AS gone
+  FROM turns WHERE turn = 1
+  UNION ALL SELECT image_id, level, turn, det_id, confidence, pick,
+    CASE WHEN pick IS NULL THEN gone ELSE list_append(gone, pick.truth_id) END
+  FROM (SELECT t.image_id, t.level, t.turn, t.det_id, t.confidence, k.gone,
+      list_filter(t.options, lambda o: NOT list_contains(k.gone, o.truth_id))[1] AS pick
+    FROM taken k JOIN turns t ON t.image_id = k.image_id AND t.level = k.level AND t.turn = k.turn + 1))
+SELECT image_id, level, det_id, pick.truth_id AS truth_id, round(pick.iou, 6) AS iou, confidence
+FROM taken WHERE pick IS NOT NULL""",
     "evaluation_counts": V.using(V.DETECTIONS, _SIDES, _MATCHES, _TP) + "SELECT * FROM tp",
     "evaluate_detections": V.using(V.DETECTIONS, _SIDES, _MATCHES, _TP, _CURVE) + """
 SELECT class, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95, round(prec, 6) AS precision,

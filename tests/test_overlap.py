@@ -107,6 +107,37 @@ def test_evaluation_against_a_loop(spark):
         assert {(r["class"], r.level, r.bucket): r.tp for r in tp.collect()} == expected
 
 
+@pytest.mark.parametrize("limit", [5, 1_000])
+def test_one_to_one_assignment(spark, limit):
+    rows = [r for r in _boxes(9, 150) if r[5] > r[3] and r[6] > r[4]]
+    # Copies on both sides, so that predictions contest truths and go on to their next best.
+    rows += [(*r[:2], r[2] + 5000 * k, *r[3:7], round(r[7] - k / 50, 3)) for r in rows[:25] for k in (1, 2, 3)]
+    truth = _truth(rows[::2])
+    truth += [(i, c, t + 70_000, *box) for i, c, t, *box in truth[:30]]
+    # A null class is a class of its own.
+    rows, truth = rows + [(1, None, 1, 0, 0, 9, 9, 0.5)], truth + [(1, None, 2, 0, 0, 9, 8)]
+    levels, expected, contested = [0.2, 0.6], set(), 0
+    for key in {p[:2] for p in rows}:
+        for level in levels:
+            free = {t[2]: t for t in truth if t[:2] == key}
+            for p in sorted((p for p in rows if p[:2] == key), key=lambda p: (-p[7], p[2])):
+                options = sorted(
+                    (-_iou(p[3:7], t[3:7]), t[3:7], t[2]) for t in truth
+                    if t[:2] == key and _iou(p[3:7], t[3:7]) >= level
+                )
+                open_ = [o for o in options if o[2] in free]
+                contested += bool(open_) and open_[0] != options[0]
+                if open_:
+                    del free[open_[0][2]]
+                    expected.add((*key, level, p[2], open_[0][2]))
+    assert contested > 20
+    got = E.assign_truths(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(truth, TRUTH), levels, limit=limit
+    ).collect()
+    assert len(got) == len(expected)
+    assert {(r.image_id, r["class"], r.level, r.det_id, r.truth_id) for r in got} == expected
+
+
 def test_perfect_predictions_score_one(spark):
     rows = [(1, "a", i, 50 * i, 0, 50 * i + 20, 20, 0.9) for i in range(5)]
     truth = [(1, "a", i, 50 * i, 0, 50 * i + 20, 20) for i in range(5)]
