@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxline.functions.fingerprint import hamming, similarity
-from boxline.operators.hot import HOT_ROWS, hot_keys, lookup_join
-from boxline.session import pin
+from boxline.operators.hot import HOT_ROWS, hot_keys, lookup_join, split_hot
+from boxline.session import Rounds, pin
 
 # Rows per band bucket compared directly; larger buckets are split by further bits.
 BAND_ROWS = 1_000
+# Bits that are not cut again; 2 ** FEW_BITS fingerprints at most share a bucket then.
+FEW_BITS = 10
 
 
 def first_seen(items: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -77,26 +79,17 @@ def with_added(table: DataFrame, added: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.min_by("text", F.struct("_turn", "text")).alias("text"))
 
 
-def _pieces(bits: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
-    """Splits bit ranges (start, width) into ``parts`` pieces of nearly equal size."""
-    flat = [b for start, width in bits for b in range(start, start + width)]
-    cut = [len(flat) * i // parts for i in range(parts + 1)]
-    pieces = []
-    for lo, hi in zip(cut, cut[1:]):
-        ranges: list[tuple[int, int]] = []
-        for b in flat[lo:hi]:
-            if ranges and sum(ranges[-1]) == b:
-                ranges[-1] = (ranges[-1][0], ranges[-1][1] + 1)
-            else:
-                ranges.append((b, 1))
-        pieces.append(ranges)
-    return pieces
+def _cuts(used: int, bands: int) -> list[int] | None:
+    """Masks that cut the bits not in ``used`` into ``bands`` bands of nearly equal size; None when few bits are left."""
+    free = [b for b in range(64) if not used >> b & 1]
+    if len(free) <= max(bands, FEW_BITS):
+        return None
+    edges = [len(free) * i // bands for i in range(bands + 1)]
+    return [sum(1 << b for b in free[low:high]) for low, high in zip(edges, edges[1:])]
 
 
-def _piece_value(value: Column, piece: list[tuple[int, int]]) -> Column:
-    mask = sum(((1 << width) - 1) << start for start, width in piece)
-    mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-    return value.bitwiseAND(F.lit(mask).cast("long"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def near_duplicates(
@@ -104,63 +97,45 @@ def near_duplicates(
 ) -> DataFrame:
     """Pairs of distinct 64-bit fingerprints within ``max_distance`` bits, with similarity.
 
-    Equal fingerprints are first folded to one row with their count. Bits are cut into
-    ``max_distance + 1`` bands, of which a close pair shares at least one. Buckets that hold many
-    fingerprints are cut again by the bits not yet used: the differing bits all lie there, so a
-    close pair shares one of those smaller bands too.
+    Equal fingerprints are first folded to one row with their count. Bits are cut into ``max_distance + 1`` bands,
+    of which a close pair shares at least one. Buckets that hold many fingerprints are cut again by the bits not
+    yet used: the differing bits all lie there, so a close pair shares one of those smaller bands too. A row carries
+    the mask of its used bits, so a level is one frame, one search for crowded buckets and one join, however
+    many ways of cutting it holds. Buckets are hashes; fingerprints that only share a hash are compared too.
     """
-    bands = max_distance + 1
+    spark, bands = items.sparkSession, max_distance + 1
     distinct = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    value = F.col("h")
-    # Two numbers per distinct fingerprint, read several times below.
-    rows = pin(distinct.select(F.col(key).alias("h"), F.col("n")))
-
-    def banded(frame: DataFrame, path: str, pieces: list) -> DataFrame:
-        entries = F.array(*[
-            F.struct(F.lit(f"{path}{i}").alias("band"), _piece_value(value, p).alias("value"))
-            for i, p in enumerate(pieces)
-        ])
-        return frame.withColumn("e", F.explode(entries))
-
-    def pairs(frame: DataFrame) -> DataFrame:
-        left = frame.alias("a")
-        right = frame.alias("b")
-        return left.join(
-            right, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.h") < F.col("b.h"))
-        ).where(hamming(F.col("a.h"), F.col("b.h")) <= max_distance).select(
+    rounds = Rounds(spark, "bands")
+    level = distinct.select(
+        F.col(key).cast("long").alias("h"), "n", F.lit(0).cast("long").alias("bucket"),
+        F.lit(0).cast("long").alias("used"),
+    )
+    found, masks = None, {0}
+    while True:
+        cuts = {used: _cuts(used, bands) for used in masks}
+        # bands ** level rows at most, and each level leaves a smaller share of the bits.
+        table = spark.createDataFrame(
+            [(_signed(used), i, _signed(mask)) for used, own in cuts.items() for i, mask in enumerate(own)],
+            "used long, band int, mask long",
+        )
+        value = F.col("h").bitwiseAND(F.col("mask"))
+        cut = rounds.write(level.join(F.broadcast(table), "used").select(
+            "h", "n", F.xxhash64("bucket", "band", value).alias("bucket"),
+            F.col("used").bitwiseOR(F.col("mask")).alias("used"),
+        ))
+        masks = {used | mask for used, own in cuts.items() for mask in own}
+        more = all(_cuts(used, bands) for used in masks)
+        crowded = hot_keys(cut, ["bucket"], limit) if more else None
+        light, level = (cut, None) if crowded is None else split_hot(cut, crowded, ["bucket"])
+        a, b = light.alias("a"), light.alias("b")
+        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.h") < F.col("b.h"))).where(
+            hamming(F.col("a.h"), F.col("b.h")) <= max_distance
+        ).select(
             F.col("a.h").alias("left"), F.col("b.h").alias("right"),
             F.col("a.n").alias("n_left"), F.col("b.n").alias("n_right"),
         )
-
-    found = None
-    level = [("", [(0, 64)], rows.withColumn("bucket", F.lit("")))]
-    while level:
-        deeper = []
-        for path, free, frame in level:
-            pieces = _pieces(free, bands)
-            cut = banded(frame, path, pieces).select(
-                "h", "n",
-                F.concat_ws(":", "bucket", "e.band", F.hex("e.value")).alias("bucket"),
-                F.col("e.band").alias("band"),
-            )
-            crowded = None
-            if all(sum(w for _, w in p) < sum(w for _, w in free) for p in pieces):
-                crowded = hot_keys(cut, ["bucket"], limit)
-            if crowded is None:
-                part = pairs(cut)
-            else:
-                names = crowded.select("bucket")
-                part = pairs(cut.join(names, "bucket", "left_anti"))
-                heavy = cut.join(names, "bucket", "left_semi")
-                for i, piece in enumerate(pieces):
-                    used = {b for s, w in piece for b in range(s, s + w)}
-                    rest = [(b, 1) for s, w in free for b in range(s, s + w) if b not in used]
-                    deeper.append((
-                        f"{path}{i}", rest,
-                        heavy.where(F.col("band") == f"{path}{i}").drop("band"),
-                    ))
-            found = part if found is None else found.unionByName(part)
-        level = deeper
-    return found.distinct().withColumn(
-        "similarity", similarity(F.col("left"), F.col("right"))
-    )
+        # A level's files last until the next but one is written, so its pairs are written before.
+        pairs = pairs if found is None and level is None else pin(pairs.distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        if level is None:
+            return found.distinct().withColumn("similarity", similarity(F.col("left"), F.col("right")))

@@ -40,6 +40,24 @@ def test_near_duplicates_are_complete(spark, limit):
     assert len(got) == len(expected)
 
 
+def test_clustered_fingerprints(spark):
+    rng = random.Random(8)
+    centers = [rng.getrandbits(63) for _ in range(3)]
+    # Most bits of a cluster are equal, so its buckets are crowded at every level but the last.
+    values = sorted({
+        (c ^ sum(1 << b for b in rng.sample(range(16 + 9 * i), rng.randint(2, 8)))) - 2**62
+        for i, c in enumerate(centers) for _ in range(1_200)
+    })
+    assert len(values) > 2_500
+    expected = {
+        (a, b) for i, a in enumerate(values) for b in values[i + 1:] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3
+    }
+    frame = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    got = R.near_duplicates(frame, limit=200).collect()
+    assert len(got) == len(expected)
+    assert {(r.left, r.right) for r in got} == expected
+
+
 def test_average_hash(spark):
     pixels = [float(i) for i in range(64)]
     row = spark.createDataFrame([(pixels,)], "t array<double>").select(
