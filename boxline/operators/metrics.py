@@ -78,6 +78,39 @@ def latency_summary(
     })
 
 
+# Size of a quantile sketch: its values are off by about 0.4 % of the ranks at most.
+SKETCH_SIZE = 800
+
+
+def latency_sketches(timings: DataFrame, keys: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """(keys, calls, timed, sketch): partials of timings (elapsed_ms, ok) to be stored, of a few kB per key.
+
+    Partials of days or runs merge into those of longer spans (``merge_sketches``) without the rows they came from.
+    Times of failed calls do not enter.
+    """
+    value = F.when(F.col("ok"), F.col("elapsed_ms"))
+    return timings.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"), F.count(value).alias("timed"),
+        F.kll_sketch_agg_double(value, size).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of finer keys merged to one per ``keys``; they can be merged again."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("calls").alias("calls"), F.sum("timed").alias("timed"),
+        F.kll_merge_agg_double(F.when(F.col("timed") > 0, F.col("sketch"))).alias("sketch"),
+    )
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Adds the quantiles of each sketch; null where no call succeeded."""
+    return sketches.withColumns({
+        name: F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(share)))
+        for name, share in quantiles.items()
+    })
+
+
 def compare_modes(timings: DataFrame, keys: list[str], baseline: str, improved: str) -> DataFrame:
     """Mean, minimum and maximum time of two modes and the speedup of the second."""
     def stats(mode: str) -> list[Column]:

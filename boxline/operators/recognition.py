@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxline.functions import geometry as G
 from boxline.functions.text import split_lines, stem
 from boxline.operators.hot import hot_keys, small
+from boxline.session import shared_path
 
 # Regions cropped from one copy of an image; crowded images are sent in several copies.
 CROPS_PER_ROW = 256
@@ -399,4 +400,33 @@ def timed(function: Callable, rounds: int = 1) -> Callable[[Iterator], Iterator]
     return run
 
 
+def measured_calls(
+    items: DataFrame, factory: Callable, rounds: int = 1, name: str = "measured"
+) -> tuple[DataFrame, DataFrame, dict]:
+    """(timings, counts, observed): calls ``factory()`` on every item for some rounds and tells what was called.
+
+    ``items`` has (engine, config, item_id, item). The timings are written as a table, so every call is made once
+    however often they are read; tasks that run again count once. ``counts`` has calls, items, rounds and failures per
+    engine and config. ``observed`` has the calls and failures of all tasks, known at once without reading; it counts
+    those of repeated tasks too.
+    """
+    spark = items.sparkSession
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return timed(_model(name, factory), rounds)(batches)
+
+    seen = Observation()
+    path = shared_path(spark, "timings")
+    called = items.select("engine", "config", "item_id", "item").mapInPandas(run, TIMINGS)
+    called.observe(
+        seen, F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures")
+    ).write.parquet(path)
+    timings = spark.read.parquet(path)
+    counts = timings.groupBy("engine", "config").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("round") == 0).alias("items"),
+        (F.max("round") + 1).alias("rounds"), F.count_if(~F.col("ok")).alias("failures"),
+    )
+    return timings, counts, seen.get
+
+
 TIMINGS = "engine string, config string, item_id long, round int, elapsed_ms double, ok boolean"

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from boxline import fixtures as X
 from boxline.operators import metrics as M
+from boxline.operators import recognition as R
 from boxline.plans.catalog import views as V
+from boxline.session import shared_path
 
 
 def _rounded(frame, digits: int = 4):
@@ -78,9 +80,48 @@ def scaling_sweep(spark, folder):
     return _rounded(M.scaling_sweep(X.timings(spark, folder), "view"))
 
 
+def merged_quantiles(spark, folder):
+    """Daily sketches, stored and merged: whether each quantile lies within one per cent of the exact ranks."""
+    timings = X.timings(spark, folder).withColumn("day", F.col("ts").cast("date"))
+    path = shared_path(spark, "sketches")
+    M.latency_sketches(timings, ["config", "day"]).write.parquet(path)
+    daily = spark.read.parquet(path)
+    days = daily.groupBy("config").agg(F.count(F.lit(1)).alias("days"))
+    merged = M.merge_sketches(daily, ["config"]).join(days, "config")
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = M.sketch_quantiles(merged, shares)
+    bounds = {
+        f"{name}_{side}": min(1.0, max(0.0, share + step))
+        for name, share in shares.items() for side, step in (("low", -0.01), ("high", 0.01))
+    }
+    exact = M.exact_quantiles(timings.where("ok"), ["config"], "elapsed_ms", bounds)
+    return found.join(exact, "config").select("config", "days", "calls", "timed", *[
+        F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")).alias(f"{name}_holds") for name in shares
+    ])
+
+
+def slow_or_failing():
+    """A measured function of a text, which fails on texts of an odd number of lines."""
+    def call(text):
+        if text is None or text.count("\n") % 2:
+            raise ValueError("odd")
+        return len(text)
+
+    return call
+
+
+def measured_calls(spark, folder):
+    """Calls of a function on every document, three rounds each: how many there were and how many failed."""
+    docs = X.table(spark, folder, "documents").select(
+        F.lit("lengths").alias("engine"), F.col("lang").alias("config"), F.col("doc_id").alias("item_id"),
+        F.col("text").alias("item"),
+    )
+    return R.measured_calls(docs, slow_or_failing, rounds=3)[1]
+
+
 QUERIES = {f.__name__: f for f in (
     latency_summary, latency_by_worker, mode_comparison, worker_stats, worker_efficiency,
-    extraction_report, call_log_stats, stage_shares, scaling_sweep,
+    extraction_report, call_log_stats, stage_shares, scaling_sweep, merged_quantiles, measured_calls,
 )}
 
 
@@ -146,6 +187,14 @@ SELECT engine, round(t, 4) AS total_ms, n AS n_regions, round(c, 4) AS concat_ms
   round(o, 4) AS ocr_ms, round(p, 4) AS split_ms, round(t - (c + o + p), 4) AS other_ms,
   round(c / t, 4) AS concat_share, round(o / t, 4) AS ocr_share, round(p / t, 4) AS split_share,
   round(t / n, 4) AS ms_per_region, round(n / (t / 1000), 4) AS regions_per_second FROM s""",
+    "merged_quantiles": V.using(V.TIMINGS) + """
+SELECT config, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) AS calls, count(*) FILTER (ok) AS timed,
+  true AS median_holds, true AS p95_holds, true AS p99_holds
+FROM timings GROUP BY config""",
+    "measured_calls": """
+SELECT 'lengths' AS engine, lang AS config, 3 * count(*) AS calls, count(*) AS items, 3 AS rounds,
+  3 * count(*) FILTER (text IS NULL OR (length(text) - length(replace(text, chr(10), ''))) % 2 = 1) AS failures
+FROM documents GROUP BY lang""",
     "scaling_sweep": V.using(V.TIMINGS, """per AS (SELECT config, count(*) AS runs,
     avg(elapsed_ms) AS a FROM timings GROUP BY config)""") + """
 SELECT config, runs, round(a, 4) AS avg_ms, round(1000 / a, 4) AS per_second,

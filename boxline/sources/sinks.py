@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxline.sources.label_files import LabelFiles
+
 
 def write_label_files(lines: DataFrame, images: DataFrame, folder: str) -> None:
-    """Writes label lines as text below ``split=.../image_stem=...``; images without a line get
-    an empty file.
+    """Writes label lines as ``split/image_stem.txt``, one file per image; images without a line get an empty file.
 
-    Lines are streamed to the files of their folder, so no image is gathered into one row.
-    ``lines`` has image_stem, line_no, line; ``images`` has image_stem and split.
+    Lines are streamed to their files, so no image is gathered into one row, and all files of the job appear or none
+    (see ``label_files``). Earlier files of the folder are replaced. ``lines`` has image_stem, line_no, line;
+    ``images`` has image_stem and split. ``folder`` is mounted on the driver and all executors.
     """
+    images.sparkSession.dataSource.register(LabelFiles)
     rows = images.select("image_stem", "split").join(lines, "image_stem", "left")
     (
-        rows.select("split", "image_stem", "line_no", F.coalesce("line", F.lit("")).alias("line"))
+        rows.select("split", "image_stem", "line_no", "line")
         .repartition("split", "image_stem")
         .sortWithinPartitions("split", "image_stem", "line_no")
-        .select("line", "split", "image_stem")
-        .write.mode("overwrite").partitionBy("split", "image_stem").text(folder)
+        .select("split", "image_stem", "line")
+        .write.format("label_files").mode("overwrite").save(folder)
     )
 
 

@@ -186,8 +186,21 @@ def test_writers(spark, tmp_path):
     lines = spark.createDataFrame([("a", 1, "l1"), ("a", 0, "l0")], "image_stem string, line_no int, line string")
     images = spark.createDataFrame([("a", "train"), ("b", "val")], "image_stem string, split string")
     S.write_label_files(lines, images, str(tmp_path / "labels"))
-    back = spark.read.text(str(tmp_path / "labels"), wholetext=True).collect()
-    assert {(r.split, r.image_stem): r.value.strip() for r in back} == {("train", "a"): "l0\nl1", ("val", "b"): ""}
+
+    def files():
+        root = tmp_path / "labels"
+        return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+
+    assert files() == {"train/a.txt": "l0\nl1\n", "val/b.txt": ""}
+    assert not (tmp_path / "labels" / "_jobs").exists()
+    # A job with a failing task changes nothing and leaves nothing behind.
+    bad = images.union(spark.createDataFrame([("up/../c", "train")], images.schema))
+    with pytest.raises(Exception, match="not a file name"):
+        S.write_label_files(lines.unionByName(lines.withColumn("line", F.lit("other"))), bad, str(tmp_path / "labels"))
+    assert files() == {"train/a.txt": "l0\nl1\n", "val/b.txt": ""}
+    assert not (tmp_path / "labels" / "_jobs").exists()
+    S.write_label_files(lines, images.where("split = 'train'"), str(tmp_path / "labels"))
+    assert files() == {"train/a.txt": "l0\nl1\n"}
     S.write_dataset(images, str(tmp_path / "set"))
     assert spark.read.parquet(str(tmp_path / "set")).where("split = 'val'").count() == 1
     stats = spark.createDataFrame([(2, 4, 10.0)], "calls int, regions int, total_ms double")
