@@ -38,6 +38,16 @@ def stable_text_stream(spark, folder):
     )
 
 
+def stable_text_states(spark, folder):
+    """The same with list state and timers."""
+    events = X.zoned(S.stream_table(spark, f"{folder}/events.parquet"))
+    stream = S.stable_text_states(X.frame_regions(events), BOX)
+    out = S.run_available(stream, "update", "states", rocks=True)
+    return S.latest_output(out, ["stream_id"]).where(F.col("text").isNotNull()).select(
+        "stream_id", "text", "n"
+    )
+
+
 def reuse_stream(spark, folder):
     """Frames whose text is new on their stream; the delay spans the whole table."""
     hashed = _stream(spark, folder).withColumn("hash", F.md5("text"))
@@ -67,7 +77,7 @@ def process_frames_stream(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    recent_frames, stable_text, stable_text_stream, reuse_stream, running_latency_stream,
+    recent_frames, stable_text, stable_text_stream, stable_text_states, reuse_stream, running_latency_stream,
     process_frames_stream,
 )}
 
@@ -84,6 +94,7 @@ SQL = {
     "recent_frames": V.using(V.FRAME_REGIONS, _RECENT) + "SELECT stream_id, frame_id FROM recent",
     "stable_text": _STABLE,
     "stable_text_stream": _STABLE,
+    "stable_text_states": _STABLE,
     "reuse_stream": V.using(V.FRAMES) + """
 SELECT DISTINCT stream_id, md5(text) AS hash FROM frames""",
     "running_latency_stream": V.using(V.FRAMES) + """

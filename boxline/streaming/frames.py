@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -72,6 +73,29 @@ def latest_per_batch(frames: DataFrame, count: int) -> DataFrame:
     return frames.mapInPandas(keep, frames.schema)
 
 
+def most_stable(
+    frames: pd.DataFrame, box: list[int], at_least: int, min_iou: float
+) -> tuple[str | None, int]:
+    """The most common text of regions that overlap ``box``, and how often; (None, 0) when none is stable."""
+    x1, y1, x2, y2 = (frames[c] for c in G.BOX)
+    bx1, by1, bx2, by2 = box
+    wide, high = x2.clip(upper=bx2) - x1.clip(lower=bx1), y2.clip(upper=by2) - y1.clip(lower=by1)
+    shared = wide * high
+    union = (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - shared
+    value = (shared / union.where(union > 0)).where((wide >= 0) & (high >= 0), 0.0).fillna(0.0)
+    near = frames[value > min_iou]
+    counts: dict[str, int] = {}
+    first: dict[str, tuple] = {}
+    for text, when, frame in zip(near["text"], near["ts"], near["frame_id"]):
+        counts[text] = counts.get(text, 0) + 1
+        first.setdefault(text, (when, frame))
+    # As in the batch form: the text seen first, then the least one, wins among equals.
+    best = min(counts, key=lambda t: (-counts[t], first[t], t)) if counts else None
+    if best is None or counts[best] < at_least:
+        return None, 0
+    return best, counts[best]
+
+
 def stable_text_stream(
     frames: DataFrame, box: list[int], count: int = RECENT, at_least: int = OCCURRENCES,
     min_iou: float = MATCH_IOU, delay: str = "10 minutes", idle_ms: int = 3_600_000,
@@ -85,19 +109,9 @@ def stable_text_stream(
     """
     buffer = max(buffer, count)
     wanted = latest_per_batch(frames.select("stream_id", *_ROW), buffer).withWatermark("ts", delay)
-    bx1, by1, bx2, by2 = box
     state_schema = "ts array<timestamp>, frame_id array<long>, " + ", ".join(
         f"{n} array<int>" for n in G.BOX
     ) + ", text array<string>"
-    output = "stream_id long, text string, n long, last_ts timestamp"
-
-    def overlaps(x1, y1, x2, y2) -> pd.Series:
-        wide = x2.clip(upper=bx2) - x1.clip(lower=bx1)
-        high = y2.clip(upper=by2) - y1.clip(lower=by1)
-        shared = wide * high
-        union = (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - shared
-        value = shared / union.where(union > 0)
-        return value.where((wide >= 0) & (high >= 0), 0.0).fillna(0.0)
 
     def update(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -116,25 +130,84 @@ def stable_text_stream(
         last = held["ts"].iloc[-1]
         end = int(last.timestamp() * 1000) + idle_ms
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        seen = last_frames(held, count)
-        near = seen[overlaps(seen["x1"], seen["y1"], seen["x2"], seen["y2"]) > min_iou]
-        counts: dict[str, int] = {}
-        first: dict[str, tuple] = {}
-        for text, when, frame in zip(near["text"], near["ts"], near["frame_id"]):
-            counts[text] = counts.get(text, 0) + 1
-            first.setdefault(text, (when, frame))
-        # As in the batch form: the text seen first, then the least one, wins among equals.
-        best = min(counts, key=lambda t: (-counts[t], first[t], t)) if counts else None
-        found = best is not None and counts[best] >= at_least
-        yield pd.DataFrame({
-            "stream_id": [key[0]],
-            "text": [best if found else None],
-            "n": [counts[best] if found else 0],
-            "last_ts": [last],
-        })
+        text, n = most_stable(last_frames(held, count), box, at_least, min_iou)
+        yield pd.DataFrame({"stream_id": [key[0]], "text": [text], "n": [n], "last_ts": [last]})
 
     return wanted.groupBy("stream_id").applyInPandasWithState(
-        update, output, state_schema, "update", GroupStateTimeout.EventTimeTimeout
+        update, _OUTPUT, state_schema, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+_OUTPUT = "stream_id long, text string, n long, last_ts timestamp"
+
+
+class StableText(StatefulProcessor):
+    """Keeps the regions of a stream's last frames as a list that batches append to.
+
+    The list is cut back to the last ``buffer`` frames once it holds twice as many regions as it had then, so a region
+    is rewritten a bounded number of times however small the batches are. A timer forgets silent streams.
+    """
+
+    def __init__(self, box: list[int], count: int, at_least: int, min_iou: float, buffer: int, idle_ms: int):
+        self.box, self.count, self.at_least, self.min_iou = box, count, at_least, min_iou
+        self.buffer, self.idle_ms = buffer, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kinds = ", ".join(f"{n} int" for n in G.BOX)
+        self.handle = handle
+        self.frames = handle.getListState("frames", f"ts timestamp, frame_id long, {kinds}, text string")
+        self.limit = handle.getValueState("limit", "regions long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([r[_ROW] for r in rows], ignore_index=True)
+        held = [tuple(r) for r in self.frames.get()] if self.frames.exists() else []
+        own = [tuple(_plain(v) for v in r) for r in last_frames(new, self.buffer).itertuples(index=False)]
+        every = pd.DataFrame(held + own, columns=_ROW)
+        limit = self.limit.get()[0] if self.limit.exists() else 0
+        if held and len(every) <= limit:
+            self.frames.appendList(own)
+        else:
+            every = last_frames(every, self.buffer)
+            self.frames.put([tuple(_plain(v) for v in r) for r in every.itertuples(index=False)])
+            self.limit.update((2 * len(every) + self.buffer,))
+        seen = last_frames(every, self.count)
+        last = seen["ts"].iloc[-1]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        end = int(last.timestamp() * 1000) + self.idle_ms
+        self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+        text, n = most_stable(seen, self.box, self.at_least, self.min_iou)
+        yield pd.DataFrame({"stream_id": [key[0]], "text": [text], "n": [n], "last_ts": [last]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.frames.clear()
+        self.limit.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """Values that list state can hold."""
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
+
+def stable_text_states(
+    frames: DataFrame, box: list[int], count: int = RECENT, at_least: int = OCCURRENCES,
+    min_iou: float = MATCH_IOU, delay: str = "10 minutes", idle_ms: int = 3_600_000,
+    buffer: int = BUFFER,
+) -> DataFrame:
+    """``stable_text_stream`` with list state and timers: a batch appends its frames instead of writing all anew.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``), which ``run_available`` sets.
+    """
+    buffer = max(buffer, count)
+    wanted = latest_per_batch(frames.select("stream_id", *_ROW), buffer).withWatermark("ts", delay)
+    return wanted.groupBy("stream_id").transformWithStateInPandas(
+        StableText(box, count, at_least, min_iou, buffer, idle_ms), _OUTPUT, "Update", "EventTime"
     )
 
 
@@ -171,22 +244,37 @@ def running_latency(
     )
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+# The state store that list state and timers need.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(
+    stream: DataFrame, mode: str, name: str, folder: str | None = None, rocks: bool = False
+) -> DataFrame:
     """Runs a stream over the input at hand and returns its output with ``batch_id``.
 
-    Each micro-batch is written under its own number, so a repeated batch replaces itself.
+    Each micro-batch is written under its own number, so a repeated batch replaces itself. With a ``folder`` of an
+    earlier run, the stream goes on from that run's progress and state. ``rocks`` takes the RocksDB state store.
     """
     spark = stream.sparkSession
-    target, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-progress")
+    folder = folder or shared_path(spark, name)
+    target, checkpoint = f"{folder}/rows", f"{folder}/progress"
+    before = spark.conf.get(STORE)
+    if rocks:
+        spark.conf.set(STORE, ROCKS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(write).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    try:
+        query = (
+            stream.writeStream.foreachBatch(write).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(target)
 

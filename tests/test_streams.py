@@ -37,6 +37,47 @@ def test_stable_text_stream_equals_batch(spark, folder, tmp_path):
     assert batch.count() > 0
 
 
+def test_list_state_survives_a_restart(spark, folder, tmp_path):
+    events, path = _split_input(spark, folder, tmp_path, parts=4)
+    place = str(tmp_path / "run")
+    # The first run sees two of the files, the second goes on with the state that it finds.
+    files = sorted((tmp_path / "events").glob("*.parquet"), key=lambda p: p.stat().st_mtime)
+    later = tmp_path / "later"
+    later.mkdir()
+    for file in files[2:]:
+        file.rename(later / file.name)
+
+    def run():
+        stream = X.frames_of(S.stream_table(spark, path, files_per_batch=1))
+        states = S.stable_text_states(stream, BOX, idle_ms=10**12, delay="3650 days", buffer=12)
+        return S.run_available(states, "update", "t-states", place, rocks=True)
+
+    first = run().select("batch_id").distinct().count()
+    for file in files[2:]:
+        (later / file.name).rename(file)
+    out = run()
+    assert out.select("batch_id").distinct().count() > first >= 2
+    last = S.latest_output(out, ["stream_id"]).where("text IS NOT NULL")
+    columns = ["stream_id", "text", "n"]
+    assert _rows(last, columns) == _rows(S.stable_text(X.frames_of(events), BOX), columns)
+
+
+def test_silent_streams_are_forgotten(spark, tmp_path):
+    path = str(tmp_path / "silent")
+    schema = "stream_id long, frame_id long, ts timestamp, x1 int, y1 int, x2 int, y2 int, text string"
+    # Stream 1 falls silent for a day; what it showed before doesn't count afterwards.
+    for number, (stream, hour) in enumerate([(1, 0), (2, 30), (2, 31), (2, 32), (1, 33)]):
+        rows = [(stream, 10 * number + i, hour * 3600 + i, *BOX, "same") for i in range(3)]
+        spark.createDataFrame(rows, schema.replace("ts timestamp", "ts long")).withColumn(
+            "ts", F.timestamp_seconds("ts")
+        ).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for states, rocks in ((S.stable_text_states, True), (S.stable_text_stream, False)):
+        out = S.run_available(states(stream, BOX, delay="1 minute"), "update", "t-silent", rocks=rocks)
+        got = {r.stream_id: r.n for r in S.latest_output(out, ["stream_id"]).collect()}
+        assert got == {1: 3, 2: 9}
+
+
 def test_last_frames_by_hand(spark):
     rows = [(1, i, f"2024-01-01 00:00:{i:02d}", 0, 0, 100, 100, "a" if i < 9 else "b") for i in range(14)]
     rows += [(2, i, f"2024-01-01 00:00:{i:02d}", 0, 0, 100, 100, t) for i, t in enumerate("xyxyz")]
