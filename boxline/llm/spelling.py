@@ -43,6 +43,8 @@ PREFIX = 6
 SHRINK = 0.1
 # Words whose texts are sent on at once.
 SIGNED = 2_000
+# Bytes of text cut into words at once; a worker needs some fifty times as many.
+BLOCK_BYTES = 1 << 19
 # Words that a task counts before it sends them on.
 HELD = 200_000
 
@@ -122,7 +124,7 @@ def vocabulary(
         held: dict[bytes, int] = {}
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for block in W.blocks(batch.column(1)):
+            for block in W.blocks(batch.column(1), BLOCK_BYTES):
                 own = keys[block.first:block.first + len(block)]
                 for word, n in block_words(own, block, letters):
                     held[word] = held.get(word, 0) + n
