@@ -3,7 +3,8 @@
 Values are found by pattern and validated (check digits, calendar, ranges). A valid one is read as a number
 below the size of its format, and a keyed Feistel network permutes the numbers of that format; the result is
 written back in the same layout. Equal values thus get equal pseudonyms in all documents, however their
-separators are set, different values get different ones, and who holds the key can go back.
+separators are set, different values get different ones, and who holds the key can go back. What follows a value,
+as digits behind a card number or capitals behind an IBAN, is no part of it and is looked through in turn.
 
 Null text stays null; empty text, and text without valid values, stays as it is. Ids, repeated rows and other
 columns don't bear on the result. Whole texts are read.
@@ -32,18 +33,31 @@ PATTERN = re.compile(
   | (?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b["']?\s*[=:]\s*["']?)
       [A-Za-z0-9_+/-]{8,})
   | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-  | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
+  | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
   | (?P<date>(?<![\d./-])(?:\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}
       |\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<card>(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]))
-  | (?P<phone>(?<![\w.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w)
+  | (?P<phone>(?<![\w.])\+\d{1,3}(?:[ .-]?\(0\))?[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w)
       |(?<![\w.])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)
       |(?<![\w.+-])(?:\d{3}-\d{3}-\d{4}|\d{3}[.]\d{3}[.]\d{4}|\d{3}[ ]\d{3}[ ]\d{4})(?![\w-])
       |(?<![\w.])\+\d{7,15}(?!\w))
     """,
     re.VERBOSE,
 )
+#: IBAN lengths of countries, and the calling codes of one and two digits; all others have three.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98"
+).split()
+_IBAN_LENGTH = {country: n for n, names in IBAN_LENGTHS.items() for country in names.split()}
+_CODES = frozenset(CALLING_CODES)
 # Every value holds one of these.
 HINT = re.compile(r"[0-9@=:]")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -88,6 +102,18 @@ def _lay(template: str, characters: str, which: Callable[[str], bool]) -> str:
     return "".join(next(fresh) if which(c) else c for c in template)
 
 
+def _first(text: str, count: int, which: Callable[[str], bool], within: bool = False) -> str:
+    """The start of ``text`` with ``count`` characters that ``which`` picks, if none follows at once; else "".
+
+    With ``within`` others may follow.
+    """
+    for i, c in enumerate(text):
+        count -= which(c)
+        if not count:
+            return "" if not within and which(text[i + 1:i + 2]) else text[:i + 1]
+    return ""
+
+
 def _radix(c: str) -> tuple[int, str]:
     if c.isdigit():
         return 10, "0"
@@ -141,8 +167,9 @@ class Pseudonyms:
         return text[:at] + _mixed(text[at:], self._permute("secret"))
 
     def iban(self, text: str) -> str | None:
+        text = _first(text, _IBAN_LENGTH.get(text[:2], 0), str.isalnum)
         plain = text.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
+        if not plain or _iban_rest(plain) != 1:
             return None
         body = _mixed(plain[4:], self._permute("iban" + plain[:2]))
         check = 98 - _iban_rest(plain[:2] + "00" + body)
@@ -195,42 +222,69 @@ class Pseudonyms:
 
     def card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
-        if luhn(digits) or not int(digits):
+        # The number may end at any separator; the shortest valid start is it.
+        ends = [n for n in range(13, len(digits) + 1) if _first(text, n, str.isdigit)]
+
+        def valid(start: str) -> bool:
+            return not luhn(start) and int(start) > 0
+
+        size = next((n for n in ends if valid(digits[:n])), None)
+        if size is None:
             return None
-        # The first digit tells the kind of card and stays, the last is the check digit.
-        size = 10 ** (len(digits) - 2)
-        body = self._permute("card" + digits[0])(int(digits[1:-1]), size)
-        start = f"{digits[0]}{body:0{len(digits) - 2}d}"
-        return _lay(text, start + str(-luhn(start + "0") % 10), str.isdigit)
+        shorter = [n for n in ends if n < size]
+
+        def whole(body: int) -> str:
+            # The first digit tells the kind of card and stays, the last is the check digit.
+            start = f"{digits[0]}{body:0{size - 2}d}"
+            return start + str(-luhn(start + "0") % 10)
+
+        def allowed(body: int) -> bool:
+            return not any(valid(whole(body)[:n]) for n in shorter)
+
+        permute = self._permute("card" + digits[0], allowed if shorter else None)
+        new = whole(permute(int(digits[1:size - 1]), 10 ** (size - 2)))
+        return _lay(_first(text, size, str.isdigit), new, str.isdigit)
 
     def phone(self, text: str) -> str | None:
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        at = code.end() if code else 1 + (len(text) > 8) * 2 if text[0] == "+" else 0
-        digits = re.sub(r"\D", "", text[at:])
-        if not 6 <= len(digits) <= 14:
+        digits, at, code = re.sub(r"\D", "", text), 0, ""
+        if text[0] == "+":
+            code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+            at = len(_first(text, len(code), str.isdigit, True))
+            trunk = re.match(r"[ .-]?\(0\)", text[at:])
+            at += trunk.end() if trunk else 0
+        rest = re.sub(r"\D", "", text[at:])
+        ends = [n for n in range(6, min(14, len(rest)) + 1) if _first(text[at:], n, str.isdigit)]
+        # Numbers of this code have ten digits; others are as long as can be.
+        size = 10 if code == "1" and 10 in ends else max(ends, default=0)
+        if not size:
             return None
-        size = 10 ** len(digits)
-        new = f"{self._permute('phone')(int(digits), size):0{len(digits)}d}"
-        return text[:at] + _lay(text[at:], new, str.isdigit)
+        # The number is the same with and without separators, so only its digits bear on its pseudonym.
+        new = f"{self._permute('phone')(int(rest[:size]), 10 ** size):0{size}d}"
+        return text[:at] + _lay(_first(text[at:], size, str.isdigit), new, str.isdigit)
 
     def replace(self, text: str, counts: dict[str, int]) -> str:
         """``text`` with pseudonyms; ``counts`` gets the values of each kind."""
         if not HINT.search(text):
             return text
 
-        def one(match: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while match := PATTERN.search(text, at):
             kind, value = match.lastgroup, match.group()
             known = self.memory.get((kind, value), self)
             if known is self:
                 known = getattr(self, kind)(value)
                 if len(self.memory) < 100_000:
                     self.memory[kind, value] = known
+            at = match.end()
             if known is None:
-                return value
+                continue
+            if kind in ("iban", "card", "phone"):
+                # The layout stays, so the value is as long as its pseudonym.
+                at = match.start() + len(known)
+            out += [text[done:match.start()], known]
+            done = at
             counts[kind] += 1
-            return known
-
-        return PATTERN.sub(one, text)
+        return "".join([*out, text[done:]])
 
 
 def pseudonymise(

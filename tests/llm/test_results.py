@@ -220,13 +220,63 @@ def test_formats(value):
 
 
 @pytest.mark.parametrize("value", [
-    "4111 1111 1111 1112", "300.1.2.3", "2023-02-29", "000-12-3456", "1234567", "3.14", "v1.2.3", "a@b",
+    "4111 1111 1111 1112", "300.1.2.3", "2023-02-29", "000-12-3456", "1234567", "3.14", "v1.2.3", "v1.2.3.4", "a@b",
 ])
 def test_invalid_values_stay(value):
     counts = dict.fromkeys(pseudonyms.KINDS, 0)
     assert pseudonyms.Pseudonyms(b"k").replace(f"see {value} now", counts) == f"see {value} now"
 
 
+@pytest.mark.parametrize("text, hidden, kept", [
+    ("pay 4111 1111 1111 1111 123 now", ["4111 1111 1111 1111"], " 123 now"),
+    ("pay 4111 1111 1111 1111 12/26", ["4111 1111 1111 1111"], " 12/26"),
+    ("4111111111111111 43.21.141.162", ["4111111111111111", "43.21.141.162"], ""),
+    ("to BE68 5390 0754 7034 USD 5", ["5390 0754 7034"], " USD 5"),
+    ("to BE68 5390 0754 7034 EURO", ["5390 0754 7034"], " EURO"),
+    ("to BE68539007547034", ["539007547034"], ""),
+    ("+1 (826) 555-4081 190.137.223.204", ["(826) 555-4081", "190.137.223.204"], ""),
+    ("+1 555 123 4567 +44 20 7946 0958", ["555 123 4567", "20 7946 0958"], ""),
+    ("4111 1111 1111 1111 555-123-4567", ["4111 1111 1111 1111", "555-123-4567"], ""),
+])
+def test_values_next_to_others_are_found(text, hidden, kept):
+    for key in (b"a", b"b", b"c"):
+        counts = dict.fromkeys(pseudonyms.KINDS, 0)
+        new = pseudonyms.Pseudonyms(key).replace(text, counts)
+        assert sum(counts.values()) == len(hidden)
+        assert not any(h in new for h in hidden) and new.endswith(kept)
+        assert pseudonyms.Pseudonyms(key, back=True).replace(new, dict(counts)) == text
+
+
+def test_one_phone_number_has_one_pseudonym():
+    there = pseudonyms.Pseudonyms(b"k")
+    for written in (
+        ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567"],
+        ["+44 20 7946 0958", "+442079460958", "+44 (0) 20 7946 0958", "+44 (0)20 7946 0958"],
+        ["+353 1 234 5678", "+35312345678"], ["555-123-4567", "555.123.4567", "(555) 123-4567"],
+    ):
+        digits = set()
+        for w in written:
+            new = there.replace(w, dict.fromkeys(pseudonyms.KINDS, 0))
+            assert new != w
+            digits.add(re.sub(r"\D", "", new.replace("(0)", "")))
+        assert len(digits) == 1, written
+
+
+@pytest.mark.parametrize("size", [15, 16, 17, 18, 19])
+def test_cards_in_any_layout_go_back(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        start = "".join(map(str, rng.integers(0, 10, size - 1)))
+        number = start + str(-pseudonyms.luhn(start + "0") % 10)
+        cuts = sorted(set(rng.integers(1, size, 4).tolist()))
+        text = "-".join(number[a:b] for a, b in zip([0, *cuts], [*cuts, size])).replace("-", " ")
+        text = f"x {text} 77 y"
+        counts = dict.fromkeys(pseudonyms.KINDS, 0)
+        new = pseudonyms.Pseudonyms(b"k").replace(text, counts)
+        assert pseudonyms.Pseudonyms(b"k", back=True).replace(new, dict(counts)) == text
+        assert counts["card"] >= 1
+
+
 def test_permutation_is_one_to_one():
     p = pseudonyms.Permutation(b"k")
     for size in (1, 2, 10, 97, 1000):
