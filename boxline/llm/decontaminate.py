@@ -5,12 +5,13 @@ item that is rare for its words: the product of its words' shares of all corpus
 ``RARE``. Rarity is thus judged by what a chance hit would be, not by how often the n-gram occurs, so
 an item that leaked into a third of all documents keeps its seeds. Every item has its ``LEAST_SEEDS``
 rarest n-grams as seeds in any case. Each place where a document holds seeds of an item is aligned
-with the whole item; the score is the alignment's share of a perfect one.
+with the whole item; the score is the alignment's share of a perfect one. An item is held when the share is at least
+the threshold, or when an alignment of ``LONG`` words or more has that share of its own words, however long the item is.
+An item of fewer than ``n`` words is held by a document that has a line of just its words (score 1, no seeds).
 
 Test items are a query set: they are searched in blocks of at most ``ITEM_BYTES``, each against all
 documents. Null texts and ids are allowed: a document without words matches nothing, and so does an
-item of fewer than ``n`` words, which can't be told from chance. Repeated items count once for each
-id; repeated documents are scored each.
+item without words. Repeated items count once for each id; repeated documents are scored each.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ WORDS = 3
 RARE = 1e-8
 LEAST_SEEDS = 4
 THRESHOLD = 0.5
+# Words of an alignment that are enough for themselves.
+LONG = 50
 # Bytes of test items that one block may hold; a longer item is a block of its own.
 ITEM_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 22
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
-    """(score, start, end) of the best local alignment of ``item`` within ``window``."""
+def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
+    """(score, start, end, words of the item) of the best local alignment of ``item`` within ``window``."""
     def best(a, b):
         steps = np.arange(len(b) + 1) * -GAP
         row, top, end, depth = np.zeros(len(b) + 1, np.int64), 0, 0, 0
@@ -53,8 +56,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
         return top, end, depth
 
     score, end, depth = best(item, window)
-    _, length, _ = best(item[:depth][::-1], window[:end][::-1])
-    return score, end - length, end
+    _, length, covered = best(item[:depth][::-1], window[:end][::-1])
+    return score, end - length, end, covered
 
 
 class Items:
@@ -63,12 +66,17 @@ class Items:
     def __init__(self, ids: list, texts: list[bytes], n: int):
         column = pa.array(texts, pa.large_binary())
         self.ids, self.words, self.n = [], [], n
+        # Ids of items of so many words with such a hash, for those below n words.
+        self.short: dict[tuple[int, int], list] = {}
         for block in W.blocks(column):
             found = W.words(block, punctuation=True)
             for i in range(len(block)):
-                if len(found.of(i)) >= n:
-                    self.ids.append(ids[block.first + i])
-                    self.words.append(found.of(i).copy())
+                own, name = found.of(i), ids[block.first + i]
+                if len(own) >= n:
+                    self.ids.append(name)
+                    self.words.append(own.copy())
+                elif len(own):
+                    self.short.setdefault((len(own), int(W.ngrams(own, len(own))[0])), []).append(name)
         every = np.concatenate(self.words) if self.words else np.zeros(0, W.U64)
         self.vocabulary = np.unique(every)
 
@@ -113,9 +121,10 @@ class Items:
                     continue
                 first = max(0, found[begin] - size)
                 window = own[first:found[k - 1] + self.n + size]
-                score, start, end = align(item, window)
+                score, start, end, covered = align(item, window)
                 share = score / (MATCH * size)
-                if share >= threshold and (best is None or share > best[1]):
+                held = share >= threshold or covered >= LONG and score >= threshold * MATCH * covered
+                if held and (best is None or share > best[1]):
                     best = (self.ids[owner], share, k - begin, first + start, first + end)
                 begin = k
             if best:
@@ -123,6 +132,18 @@ class Items:
         return out
 
 
+    def short_matches(self, own: np.ndarray, lines: np.ndarray) -> list[tuple]:
+        """The same for items below n words; ``lines`` numbers the line of each word."""
+        starts = np.flatnonzero(np.diff(lines, prepend=-1))
+        lengths, out = np.diff(np.append(starts, len(own))), {}
+        for m in {m for m, _ in self.short}:
+            places = starts[lengths == m]
+            for place, gram in zip(places.tolist(), W.ngrams(own, m)[places].tolist()):
+                for name in self.short.get((m, gram), ()):
+                    out.setdefault(name, (name, 1.0, 0, place, place + m))
+        return list(out.values())
+
+
 def _blocks(items: DataFrame, key: str, text: str, n: int, limit: int):
     """Blocks of test items, each fetched within ``limit`` bytes."""
     rows = items.select(F.col(key).alias("_id"), W.text_bytes(text).alias("_text")).distinct()
@@ -137,6 +158,8 @@ def _blocks(items: DataFrame, key: str, text: str, n: int, limit: int):
 
 def _word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """Corpus tokens of every word of a block's vocabulary, and of all words."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), 0
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
@@ -182,7 +205,7 @@ def benchmark_matches(
     fields = [docs.schema[c] for c in carried]
     names = []
     for k, block in enumerate(_blocks(items, item_key, item_text, n, item_bytes)):
-        if not block.words:
+        if not block.words and not block.short:
             continue
         block.choose_seeds(*_word_counts(docs, text, block.vocabulary), rare)
         share = ship(docs.sparkSession, block)
@@ -195,6 +218,11 @@ def benchmark_matches(
                 for part in W.blocks(batch.column(0)):
                     grams = W.words(part, punctuation=True)
                     found += [own.matches(grams.of(i), threshold) for i in range(len(part))]
+                    if own.short:
+                        line = np.cumsum(part.data == ord("\n"))[grams.starts]
+                        for i in range(len(part)):
+                            words = slice(grams.offsets[i], grams.offsets[i + 1])
+                            found[part.first + i] += own.short_matches(grams.hashes[words], line[words])
                 found = [
                     [dict(zip(("item", "score", "seeds", "start", "end"), m)) for m in ms]
                     for ms in found

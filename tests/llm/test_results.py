@@ -192,6 +192,39 @@ def test_edited_passages_are_found(spark):
     assert next(r for r in rows if r["doc_id"] == 1)["matches"][0]["start"] in range(398, 406)
 
 
+def test_long_and_short_items(spark):
+    rng = np.random.default_rng(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+
+    long, other = prose(500), prose(300)
+    part = " ".join(long.split()[120:320])
+    edited = " ".join(w if k % 9 else "changed" for k, w in enumerate(part.split()))
+    brief = " ".join(long.split()[40:75])
+    twice = " ".join(other.split()[:280])
+    docs = spark.createDataFrame([
+        (1, f"{prose(30)} {part} {prose(40)}"), (2, f"{prose(80)} {edited}"), (3, f"{prose(20)} {brief} {prose(9)}"),
+        (4, prose(400)), (5, f"{prose(5)} {twice} {prose(700)} {twice}"), (6, "one\n\nTwo  words!\nmore lines here"),
+        (7, "two words in a longer line"), (8, "Two\nwords"), (9, "42"),
+    ], "doc_id long, text string")
+    items = spark.createDataFrame(
+        [("long", long), ("other", other), ("two", "two words"), ("same", "Two, words."), ("one", "42"), ("none", " ! ")],
+        "item_id string, text string",
+    )
+    got = {}
+    for r in decontaminate.benchmark_matches(docs, items).collect():
+        got[r["doc_id"]] = {m["item"]: (m["score"], m["seeds"], m["start"], m["end"]) for m in r["matches"]}
+    assert {k: set(v) for k, v in got.items()} == {
+        1: {"long"}, 2: {"long"}, 3: set(), 4: set(), 5: {"other"}, 6: {"two", "same"}, 7: set(), 8: set(), 9: {"one"},
+    }
+    # A passage of 200 of 500 words has its own share of the item's score.
+    assert got[1]["long"][0] == pytest.approx(0.4) and got[1]["long"][2:] == (30, 230)
+    # Of two equal passages the first is given.
+    assert got[5]["other"][2] == 5
+    assert got[6]["two"] == (1.0, 0, 1, 3)
+
+
 def test_pseudonyms_round_trip(spark, folder, texts):
     got = by_id(queries.op5_pseudonyms(spark, folder))
     back = pseudonyms.Pseudonyms(queries.PSEUDONYM_KEY, back=True)
