@@ -31,7 +31,8 @@ def flat_objects(response: Column, classes: list[str] = CLASSES) -> Column:
     found = F.regexp_extract_all(response, F.lit(FLAT_PATTERN), F.lit(0))
 
     def parts(match: Column) -> Column:
-        numbers = F.split(F.regexp_extract(match, "\\[(.*)\\]", 1), ",\\s*")
+        # A hit ends in its numbers; casts drop the spaces around them.
+        numbers = F.split(F.rtrim(F.substring_index(match, "[", -1), F.lit("]")), ",")
         return F.struct(
             F.regexp_extract(match, "(?U)(\\w+)", 1).alias("class"),
             F.transform(numbers, lambda n: n.try_cast("int")).alias("bbox"),

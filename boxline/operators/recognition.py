@@ -276,11 +276,14 @@ def recognise_elements(
     return source.mapInPandas(run, schema)
 
 
-def realign(inputs: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per input position: text and confidence, blank where nothing was recognised."""
-    joined = inputs.select(*keys).join(results.select(*keys, "text", "confidence"), keys, "left")
+def realign(
+    inputs: DataFrame, results: DataFrame, keys: list[str], carry: list[str] = []
+) -> DataFrame:
+    """One row per input position: text, confidence and the results' columns ``carry``, blank where nothing was
+    recognised."""
+    joined = inputs.select(*keys).join(results.select(*keys, *carry, "text", "confidence"), keys, "left")
     return joined.select(
-        *keys,
+        *keys, *carry,
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     )

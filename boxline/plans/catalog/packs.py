@@ -49,20 +49,17 @@ def pack_efficiency(spark, folder):
 
 
 def strategy_sweep(spark, folder):
-    """Calls per strategy over all images; a call counts 10 ms plus 1 ms per line."""
+    """Calls per strategy over all images."""
     lines = X.text_lines(spark, folder)
     long_images = hot_keys(lines, ["image_id"], K.SLICE)
     runs = None
     for strategy in STRATEGIES:
         packed = K.pack_lines(lines, strategy=strategy, hot=long_images, detect=False)
         per = K.pack_efficiency(packed, ["image_id"]).select(
-            F.lit(strategy).alias("strategy"), "lines", "calls",
-            (F.col("calls") * 10 + F.col("lines")).alias("time_ms"),
+            F.lit(strategy).alias("strategy"), "lines", "calls"
         )
         runs = per if runs is None else runs.unionByName(per)
-    return K.best_strategy(runs).withColumns({
-        "avg_efficiency": F.round("avg_efficiency", 6), "avg_time_ms": F.round("avg_time_ms", 6),
-    })
+    return K.best_strategy(runs).withColumn("avg_efficiency", F.round("avg_efficiency", 6))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -105,7 +102,8 @@ def _packed(strategy: str) -> str:
     AND abs(l.char_height * p.n - p.sh) < p.sh AS fits))"""
 
 
-def _recursive(*strategies: str) -> str:
+def packed_lines(*strategies: str) -> str:
+    """The lines of documents with their packs, as tables ``packed_<strategy>``."""
     parts = [V.TEXT_LINES]
     for s in strategies:
         parts += [_limits(s), _packed(s)]
@@ -132,20 +130,20 @@ FROM b""",
     "pack_limit": V.using(V.TEXT_LINES, *[_limits(s) for s in STRATEGIES]) + "\nUNION ALL ".join(
         f"SELECT image_id, pack_limit, '{s}' AS strategy FROM limits_{s}" for s in STRATEGIES
     ),
-    "pack_lines": _recursive("adaptive") + """
+    "pack_lines": packed_lines("adaptive") + """
 SELECT image_id, line_no, CAST(scaled_width AS BIGINT) AS scaled_width, char_height, pack,
   pack_limit
 FROM packed_adaptive JOIN text_lines USING (image_id, line_no)
 JOIN limits_adaptive USING (image_id)""",
-    "pack_efficiency": _recursive("adaptive") + f"""
+    "pack_efficiency": packed_lines("adaptive") + f"""
 SELECT image_id, lines, calls, lines / calls AS efficiency, lines - calls AS calls_saved
 FROM {_efficiency('adaptive')}""",
-    "strategy_sweep": _recursive(*STRATEGIES) + """, per AS (
-  SELECT strategy, avg(lines / calls) AS e, avg(calls * 10 + lines) AS t,
+    "strategy_sweep": packed_lines(*STRATEGIES) + """, per AS (
+  SELECT strategy, avg(lines / calls) AS e,
     sum(calls) AS c, sum(lines) AS n
   FROM (""" + " UNION ALL ".join(f"SELECT * FROM {_efficiency(s)}" for s in STRATEGIES) + """)
   GROUP BY strategy)
-SELECT strategy, round(e, 6) AS avg_efficiency, round(t, 6) AS avg_time_ms,
+SELECT strategy, round(e, 6) AS avg_efficiency,
   CAST(c AS BIGINT) AS total_calls, CAST(n AS BIGINT) AS total_lines,
   e = max(e) OVER () AS is_best FROM per""",
 }

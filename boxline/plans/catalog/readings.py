@@ -13,6 +13,7 @@ from boxline.functions import geometry as G
 from boxline.operators import recognition as R
 from boxline.plans import page_text as P
 from boxline.plans.catalog import views as V
+from boxline.plans.catalog.packs import packed_lines
 
 
 def size_reader():
@@ -191,8 +192,9 @@ FROM sized""",
 SELECT image_id, det_id, class, route, CASE route WHEN 'empty' THEN '' WHEN 'known' THEN 'send'
   WHEN 'multi_line' THEN 'area ' || w * h ELSE w || 'x' || h END AS text
 FROM routed""",
-    "recognise_packs": V.using(V.TEXT_LINES) + """
-SELECT image_id, line_no, md5(line) AS text, CAST(0.9 AS DOUBLE) AS confidence FROM text_lines""",
+    "recognise_packs": packed_lines("adaptive") + """
+SELECT image_id, line_no, pack, md5(line) AS text, CAST(0.9 AS DOUBLE) AS confidence
+FROM packed_adaptive JOIN text_lines USING (image_id, line_no)""",
     "read_lines": V.using(V.DETECTIONS) + """
 SELECT image_id, det_id, reading_no, '<' || class || '>' AS text,
   length(class) / 16.0::DOUBLE AS confidence

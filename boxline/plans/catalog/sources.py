@@ -52,14 +52,11 @@ def image_validity(spark, folder):
 
 
 def character_classes(spark, folder):
-    """A dictionary from the first letters of parts; blank lines don't count."""
-    lines = X.table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("pos"),
-        F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(
-            F.concat(F.lit(" "), F.substring("n_name", 1, 1))
-        ).alias("char"),
-    )
-    return L.character_dictionary(lines)
+    """A dictionary of all characters of documents, the frequent ones first; white space doesn't count."""
+    letters = X.table(spark, folder, "documents").select(F.explode(F.split("text", "")).alias("char"))
+    # One row per character of a script after counting.
+    counted = letters.groupBy("char").agg(F.count(F.lit(1)).alias("n"))
+    return L.character_dictionary(counted.select("char", F.struct(-F.col("n"), F.col("char")).alias("pos")))
 
 
 def attached_results(spark, folder):
@@ -115,8 +112,10 @@ SELECT image_id || '-' || det_id AS image_stem, class, x1 || ',' || y1 || ',' ||
     "image_validity": """
 SELECT page_id, coalesce(length(url) BETWEEN 8 AND 4096 AND length(html) BETWEEN 8 AND 4096, false)
   AS is_valid FROM pages""",
-    "character_classes": """WITH c AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INT) AS class_idx,
-    n_name[1] AS char FROM nation WHERE n_nationkey % 5 <> 0)
+    "character_classes": r"""WITH l AS (SELECT unnest(regexp_extract_all(text, '(?s).')) AS char FROM documents),
+  n AS (SELECT char, count(*) AS n FROM l WHERE unicode(char) NOT IN (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8232,
+      8233, 8239, 8287, 12288) AND unicode(char) NOT BETWEEN 8192 AND 8202 GROUP BY char),
+  c AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, char) AS INT) AS class_idx, char FROM n)
 SELECT * FROM c UNION ALL SELECT 0, '<blank>' UNION ALL SELECT coalesce(max(class_idx), 0) + 1, ' ' FROM c""",
     "attached_results": V.using(V.TEXT_LINES) + """
 SELECT image_id, line_no, CASE WHEN length(line) > 40 THEN md5(line) END AS text,

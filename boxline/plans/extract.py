@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxline.functions import geometry as G
 from boxline.operators.hot import HOT_ROWS, hot_keys, null_safe_join, small, split_hot
-from boxline.operators.nearest import best_per_image, nearest_avatar
+from boxline.operators.nearest import nearest_avatar
 from boxline.operators.ordered import first_rows, ranked
 from boxline.session import pin
 
@@ -57,18 +57,12 @@ def message_rows(
     )
 
 
-def image_fields(
-    detections: DataFrame, min_confidence: float = 0.5, limit: int = HOT_ROWS
-) -> DataFrame:
-    """One row per image, whatever its size: receiver, avatar, input box and top contacts.
+def _heads(kept: DataFrame, limit: int, hot: DataFrame | None) -> DataFrame:
+    """Receiver, avatar, input box and top contacts per image.
 
     All of them come from one grouping by image; only the avatar, which depends on the receiver, meets
     the image again.
     """
-    kept = detections.where(
-        (F.col("confidence") >= min_confidence) & F.col("class").isNotNull()
-    )
-    hot = hot_keys(kept, ["image_id"], limit)
     best = F.struct(F.col("confidence"), -F.col("det_id"))
     payload = F.struct("det_id", *G.BOX, "confidence")
 
@@ -81,10 +75,18 @@ def image_fields(
     avatars = nearest_avatar(kept, limit=limit, hot=hot, detect=False).select("image_id", "avatar")
     for fields in (avatars, top_contacts(kept)):
         heads = null_safe_join(heads, fields, ["image_id"], "left")
-    return heads.select(
-        "image_id", "receiver", "avatar", "input_box",
-        F.coalesce("contacts", F.array()).alias("contacts"),
+    return heads.withColumn("contacts", F.coalesce("contacts", F.array()))
+
+
+def image_fields(
+    detections: DataFrame, min_confidence: float = 0.5, limit: int = HOT_ROWS
+) -> DataFrame:
+    """One row per image, whatever its size: receiver, avatar, input box and top contacts."""
+    kept = detections.where(
+        (F.col("confidence") >= min_confidence) & F.col("class").isNotNull()
     )
+    hot = hot_keys(kept, ["image_id"], limit)
+    return _heads(kept, limit, hot).select("image_id", "receiver", "avatar", "input_box", "contacts")
 
 
 def extract_fields(
@@ -98,22 +100,12 @@ def extract_fields(
     kept = detections.where(
         (F.col("confidence") >= min_confidence) & F.col("class").isNotNull()
     )
+    # The hot images found here serve all steps.
     hot = hot_keys(kept, ["image_id"], limit)
-    names = best_per_image(kept, "receiver_name", "receiver")
-    inputs = best_per_image(kept, "input_box", "input_box")
-    # The avatar step reuses the hot images found above instead of counting again.
-    avatars = nearest_avatar(kept, limit=limit, hot=hot, detect=False).select(
-        "image_id", "avatar"
-    )
-    heads = kept.select("image_id").distinct()
-    for fields in (names, avatars, inputs, top_contacts(kept)):
-        heads = null_safe_join(heads, fields, ["image_id"], "left")
     parts = message_parts(kept, limit=limit, hot=hot, detect=False)
-    return _with_parts(heads, parts, hot).select(
+    return _with_parts(_heads(kept, limit, hot), parts, hot).select(
         "image_id", F.coalesce("part", F.lit(0)).alias("part"), "receiver", "avatar",
-        "input_box",
-        F.coalesce("contacts", F.array()).alias("contacts"),
-        F.coalesce("messages", F.array()).alias("messages"),
+        "input_box", "contacts", F.coalesce("messages", F.array()).alias("messages"),
     )
 
 

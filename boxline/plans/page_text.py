@@ -89,10 +89,10 @@ def read_packed_lines(
     lines: DataFrame, column: str, factory: Callable, keys: list[str] = ["image_id"],
     strategy: str = "adaptive",
 ) -> DataFrame:
-    """Multi-line text with few recogniser calls: pack, recognise, split, realign."""
+    """Multi-line text with few recogniser calls: pack, recognise, split, realign. Each line names its pack."""
     packed = pack_lines(lines, keys, strategy)
     content = lines.select(*keys, "line_no", column)
     read = recognise_packs(
         packed.join(content, [*keys, "line_no"]), keys, column, factory, name="packs"
     )
-    return realign(lines, read, [*keys, "line_no"])
+    return realign(lines, read, [*keys, "line_no"], ["pack"])

@@ -26,8 +26,10 @@ def write_label_files(lines: DataFrame, images: DataFrame, folder: str) -> None:
     )
 
 
-def write_json(rows: DataFrame, folder: str) -> None:
-    """Predictions, reports or session records as JSON lines."""
+def write_json(rows: DataFrame, folder: str, stamped: bool = False) -> None:
+    """Predictions, reports or session records as JSON lines; ``stamped`` adds ``run_stamp``, when the job began."""
+    if stamped:
+        rows = rows.withColumn("run_stamp", F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
     rows.write.mode("overwrite").json(folder)
 
 

@@ -1,5 +1,6 @@
 """Images, crops and recognisers on tiny files written here."""
 
+import re
 import struct
 import zlib
 
@@ -210,6 +211,9 @@ def test_writers(spark, tmp_path):
     assert "- regions: 4" in text and "chat 1/0: hi (confidence 0.500)" in text
     S.write_json(results, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
+    S.write_json(results.union(results), str(tmp_path / "session"), stamped=True)
+    stamps = {r.run_stamp for r in spark.read.json(str(tmp_path / "session")).collect()}
+    assert len(stamps) == 1 and re.fullmatch(r"\d{8}_\d{6}", stamps.pop())
 
 
 def test_packed_reading(spark):
