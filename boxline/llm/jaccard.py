@@ -224,8 +224,51 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray
     return np.rint(total[rows, columns]).astype(np.int64)
 
 
-def _verified(groups: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Links of classes in groups: rows (a, b, texts, documents).
+def _survivors(signs: np.ndarray, part: np.ndarray, whole: bool, rule: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a unit that survive the pruning: all of them, or those of different parts."""
+    rows, columns = [], []
+    for i in range(len(signs)):
+        others = np.arange(i + 1, len(signs))
+        if not whole:
+            others = others[part[i + 1:] != part[i]]
+        near = others[unpruned(signs[i], signs[others], rule)]
+        rows.append(np.full(len(near), i))
+        columns.append(near)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _unit_signs(unit: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(unit.column("_sig").to_pylist()), np.uint8).reshape(unit.num_rows, HASHES)
+
+
+_UNIT = ["_group", "_low", "_high", "_part", "_set", "_sig", "_copies"]
+
+
+def _needed(groups: DataFrame, threshold: float) -> DataFrame:
+    """``_UNIT`` rows of the classes that have a pair to verify in their unit, found by signatures alone.
+
+    A group's units grow with the square of its parts, but a text goes only to those that this names.
+    """
+    rule = least_matches(threshold)
+
+    def apply(batches):
+        for unit in sorted_groups(batches, ["_group", "_low", "_high"]):
+            whole = unit.column("_low")[0].as_py() == unit.column("_high")[0].as_py()
+            rows, columns = _survivors(_unit_signs(unit), unit.column("_part").to_numpy(), whole, rule)
+            if len(rows):
+                some = np.zeros(unit.num_rows, bool)
+                some[rows] = some[columns] = True
+                yield from unit.filter(pa.array(some)).to_batches()
+
+    units = _parts(groups, "_size", GROUP_PART, ["_group"]).select(*_UNIT)
+    return (
+        units.repartition("_group", "_low", "_high").sortWithinPartitions("_group", "_low", "_high")
+        .mapInArrow(apply, units.schema)
+    )
+
+
+def _verified(units: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Links of classes in units: rows (a, b, texts, documents).
 
     Rows with ``b`` connect what links that hold connect, as stars; rows without give, for class ``a``, how
     many classes and documents it links to within one unit of work.
@@ -241,16 +284,7 @@ def _verified(groups: DataFrame, texts: DataFrame, threshold: float, n: int) ->
             for block in W.blocks(unit.column("_bytes").combine_chunks()):
                 found = W.words(block)
                 sets += [W.shingles(found.of(i), n) for i in range(len(block))]
-            signs = np.frombuffer(b"".join(unit.column("_sig").to_pylist()), np.uint8)
-            signs = signs.reshape(len(keys), HASHES)
-            rows, columns = [], []
-            for i in range(len(keys)):
-                others = np.arange(i + 1, len(keys))
-                if low != high:
-                    others = others[part[i + 1:] != part[i]]
-                near = others[unpruned(signs[i], signs[others], rule)]
-                rows.append(np.full(len(near), i)), columns.append(near)
-            rows, columns = np.concatenate(rows), np.concatenate(columns)
+            rows, columns = _survivors(_unit_signs(unit), part, low == high, rule)
             if not len(rows):
                 continue
             both = _intersections(sets, rows, columns)
@@ -291,10 +325,7 @@ def _verified(groups: DataFrame, texts: DataFrame, threshold: float, n: int) ->
                 pa.array(np.concatenate([np.zeros(m, np.int64), docs[seen]])),
             ], ["a", "b", "texts", "documents"])
 
-    units = _parts(groups, "_size", GROUP_PART, ["_group"]).join(texts, "_set")
-    keyed = units.select(
-        "_group", "_low", "_high", "_part", "_set", "_sig", "_copies", "_bytes"
-    )
+    keyed = units.join(texts, "_set").select(*_UNIT, "_bytes")
     return (
         keyed.repartition("_group", "_low", "_high")
         .sortWithinPartitions("_group", "_low", "_high")
@@ -323,16 +354,15 @@ def jaccard_classes(
         near.join(sizes, "label").withColumnsRenamed({"label": "_group", "node": "_set"})
         .join(classes.select("_set", "_copies", "_sig", "_first"), "_set")
     )
+    units = pin(_needed(grouped.select("_group", "_size", "_set", "_copies", "_sig"), threshold))
     # One row of each class: copies have the text in common, so the id is part of the key.
-    wanted = grouped.select(
+    wanted = grouped.join(units.select("_set").distinct(), "_set", "left_semi").select(
         "_set", F.col("_first._doc").alias("_id"), F.col("_first._text_key").alias("_key")
     )
     texts = docs.select(F.col(key).alias("_doc"), _text_key(text), W.text_bytes(text).alias("_bytes")).join(
         wanted, (F.col("_text_key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))
     ).select("_set", "_bytes").dropDuplicates(["_set"])
-    links = pin(_verified(
-        grouped.select("_group", "_size", "_set", "_copies", "_sig"), texts, threshold, n
-    ))
+    links = pin(_verified(units, texts, threshold, n))
     counts = links.where("b IS NULL").groupBy(F.col("a").alias("_set")).agg(
         F.sum("texts").alias("_text_links"), F.sum("documents").alias("_links")
     )
