@@ -11,8 +11,8 @@ from boxline.session import pin
 HOT_ROWS = 1_000_000
 # Rows that a group at the limit leaves in the sample searched for hot groups.
 SEEN = 100
-# Tables at or below this many rows may be broadcast (keys, a few numbers per row).
-BROADCAST_ROWS = 1_000_000
+# Tables within both bounds may be broadcast; bytes are those of the rows as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | None:
@@ -49,8 +49,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a pinned frame whose counted size is within ``BROADCAST_ROWS``."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast hint for a frame whose counted rows and bytes are within the bounds."""
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    ).first()
+    fits = size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
 
 
 def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +90,5 @@ def lookup_join(
     per_key = pin(per_key)
     light, heavy = split_hot(big, hot, keys)
     wanted = null_safe_join(per_key, small(hot.select(*keys)), keys, "left_semi")
-    # One row per hot key, so it is as small as the counted hot-key table.
-    partner = F.broadcast(wanted) if hot.count() <= BROADCAST_ROWS else wanted
-    return join(light, per_key).unionByName(join(heavy, partner))
+    # One row per hot key, but of any width.
+    return join(light, per_key).unionByName(join(heavy, small(wanted)))
