@@ -70,6 +70,13 @@ def test_projection():
     assert L.projection(np.zeros((30, 10), bool), 15, 20) == []
 
 
+@pytest.mark.parametrize("rows, span", [([2, 1, 7, 4, 2, 5, 5, 2], (1, 8)), ([6, 6, 2, 4, 4, 4, 2, 1], (0, 8))])
+def test_projection_adds_rows_from_top_to_bottom(rows, span):
+    # One row of each lies at 0.3 of the mean; the order of addition decides, as in the SQL.
+    ink = np.arange(8) < np.array(rows)[:, None]
+    assert [(y1, y2) for _, y1, _, y2, _ in L.projection(ink, 2, 2)] == [span]
+
+
 def test_merged_and_names():
     lines = [(0, 0, 5, 10, 0.1), (2, 14, 9, 20, 0.7), (0, 25, 4, 30, 0.2)]
     assert L.merged(lines) == [(0, 0, 9, 20, 0.7), (0, 25, 4, 30, 0.2)]
