@@ -47,39 +47,32 @@ _Q = [f"q_{c}" for c in G.BOX]
 def _assigned_groups(
     predictions: DataFrame, truths: DataFrame, keys: list[str], levels: list[float]
 ) -> DataFrame:
-    """Assignment of groups of bounded size: one row per key with sorted arrays, folded once per level."""
-    rank = F.struct((-F.col("confidence")).alias("neg"), "det_id", "confidence", *G.BOX)
-    left = predictions.groupBy(*keys).agg(F.array_sort(F.collect_list(rank)).alias("_p"))
-    right = truths.groupBy(*keys).agg(F.collect_list(F.struct("truth_id", *G.BOX)).alias("_t"))
-    least = min(levels)
-
-    def options(p: Column) -> Column:
-        shared = F.transform("_t", lambda t: F.struct(
-            (-G.iou_of(*(p[c] for c in G.BOX), *(t[c] for c in G.BOX))).alias("neg"),
-            *(t[c].alias(c) for c in G.BOX), t["truth_id"].alias("truth_id"),
-        ))
-        return F.array_sort(F.filter(shared, lambda o: -o["neg"] >= least))
-
-    both = null_safe_join(left, right, keys, "inner").withColumn("_p", F.transform("_p", lambda p: F.struct(
-        p["det_id"].alias("det_id"), p["confidence"].alias("confidence"), options(p).alias("options"),
-    ))).withColumn("_p", F.filter("_p", lambda p: F.size(p["options"]) > 0)).where(F.size("_p") > 0)
-
-    def taken(p: Column, o: Column) -> Column:
-        return F.struct(
-            p["det_id"].alias("det_id"), o["truth_id"].alias("truth_id"), (-o["neg"]).alias("iou"),
-            p["confidence"].alias("confidence"),
-        )
+    """Assignment of groups of bounded size: one row per key with its close pairs, folded once per level.
+
+    Most predictions overlap no truth closely, or a single one that nobody else wants, so pairs are joined and
+    filtered before anything is gathered into arrays, and a key with one pair needs no fold.
+    """
+    boxes = truths.withColumnsRenamed(dict(zip(G.BOX, _Q)))
+    pairs = null_safe_join(predictions, boxes, keys, "inner").withColumn("iou", G.iou())
+    # The order of turns: by prediction, then by its wishes.
+    turn = F.struct(
+        (-F.col("confidence")).alias("neg"), "det_id", "confidence", (-F.col("iou")).alias("apart"), *_Q, "truth_id"
+    )
+    both = pairs.where(F.col("iou") >= min(levels)).groupBy(*keys).agg(F.collect_list(turn).alias("_w"))
 
-    some = F.transform("_p", lambda p: taken(p, p["options"][0]))
+    def taken(w: Column) -> Column:
+        return F.struct(w["det_id"], w["truth_id"], (-w["apart"]).alias("iou"), w["confidence"])
 
     def fold(level: Column) -> Column:
-        def step(done: Column, p: Column) -> Column:
-            free = F.filter(p["options"], lambda o: (-o["neg"] >= level) & ~F.exists(
-                done, lambda m: m["truth_id"] == o["truth_id"]
+        def step(done: Column, w: Column) -> Column:
+            met = F.exists(done, lambda m: m["truth_id"].eqNullSafe(w["truth_id"]) | (
+                m["det_id"].eqNullSafe(w["det_id"]) & m["confidence"].eqNullSafe(w["confidence"])
             ))
-            return F.when(F.size(free) > 0, F.concat(done, F.array(taken(p, free[0])))).otherwise(done)
+            return F.when((-w["apart"] >= level) & ~met, F.concat(done, F.array(taken(w)))).otherwise(done)
 
-        return F.aggregate("_p", F.filter(some, lambda m: F.lit(False)), step)
+        none = F.filter(F.transform("_w", taken), lambda m: F.lit(False))
+        single = F.filter(F.transform("_w", taken), lambda m: m["iou"] >= level)
+        return F.when(F.size("_w") == 1, single).otherwise(F.aggregate(F.array_sort("_w"), none, step))
 
     per_level = F.transform(F.array(*[F.lit(v) for v in levels]), lambda level: F.struct(
         level.alias("level"), fold(level).alias("matches")

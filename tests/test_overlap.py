@@ -158,6 +158,24 @@ def test_overlap_match_is_strict(spark):
     assert [r.det_id for r in got.collect()] == [1]
 
 
+def test_only_close_pairs_are_gathered(spark):
+    box = "x1 int, y1 int, x2 int, y2 int"
+    sides = [
+        spark.createDataFrame(
+            [(1, "a", i, *rest, 10 * i, 0, 10 * i + 8, 8) for i in range(50)],
+            f"image_id long, class string, {name}, {box}",
+        )
+        for name, rest in (("det_id long, confidence double", (0.5,)), ("truth_id long", ()))
+    ]
+    found = E.assign_truths(*sides, levels=[0.5, 0.9])
+    assert sorted((r.level, r.det_id, r.truth_id) for r in found.collect()) == [
+        (level, i, i) for level in (0.5, 0.9) for i in range(50)
+    ]
+    # One gathering, above the filter by overlap.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and plan.index("collect_list(") < plan.index("Join")
+
+
 def test_error_rate(spark):
     frame = spark.createDataFrame([("e", "kitten", "sitting"), ("e", "abc", "abc")], "engine string, predicted string, truth string")
     row = E.character_error_rate(frame, ["engine"]).first()
