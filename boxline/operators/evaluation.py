@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -246,6 +247,36 @@ def evaluate(
     return both.withColumn("class", F.coalesce("class", F.lit("all"))).withColumn("f1", _f1())
 
 
+def _edits(one: str, two: str) -> int:
+    """Edit distance, a column of the table at a time: its steps up and down are the bits of two integers (Hyyrö)."""
+    text, pattern = sorted((one, two), key=len)
+    places: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(pattern)) - 1
+    last = every ^ every >> 1
+    up, down, distance = every, 0, len(pattern)
+    for c in text:
+        same = places.get(c, 0)
+        kept = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up), up & across
+        distance += bool(more & last) - bool(less & last)
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(kept | more)) & every, more & kept & every
+    return distance
+
+
+def with_edits(pairs: DataFrame, output: str = "edits") -> DataFrame:
+    """Adds the edit distance of ``predicted`` and ``truth``, as ``levenshtein`` does, with 64 cells or more a step."""
+    @F.pandas_udf("int")
+    def edits(predicted: pd.Series, truth: pd.Series) -> pd.Series:
+        found = [None if p is None or t is None else _edits(p, t) for p, t in zip(predicted, truth)]
+        return pd.Series(found, dtype="Int32")
+
+    return pairs.withColumn(output, edits("predicted", "truth"))
+
+
 def character_error_rate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Edit distance summed over (predicted, truth) texts, divided by the truth length.
 
@@ -254,7 +285,7 @@ def character_error_rate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = pairs.groupBy(*keys, "predicted", "truth").agg(F.count(F.lit(1)).alias("_n"))
-    return distinct.repartition(parts).groupBy(*keys).agg(
-        F.sum(F.levenshtein("predicted", "truth") * F.col("_n")).alias("edits"),
+    return with_edits(distinct.repartition(parts), "_edits").groupBy(*keys).agg(
+        F.sum(F.col("_edits") * F.col("_n")).alias("edits"),
         F.sum(F.length("truth") * F.col("_n")).alias("chars"),
     ).withColumn("cer", F.try_divide("edits", "chars"))

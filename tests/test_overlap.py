@@ -176,6 +176,23 @@ def test_only_close_pairs_are_gathered(spark):
     assert plan.count("collect_list(") == 1 and plan.index("collect_list(") < plan.index("Join")
 
 
+def test_edits_of_near_and_far_texts(spark):
+    rng, rows = random.Random(4), [("", ""), ("a", ""), (None, "a"), ("same", "same")]
+    for errors in (0, 1, 5, 12, 30, 60, 200):
+        for letters in ("ab", "abcdefgh", "aé漢😀"):
+            truth = "".join(rng.choices(letters, k=rng.randint(1, 120)))
+            text = list(truth)
+            for _ in range(errors):
+                at = rng.randint(0, len(text))
+                text[at:at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+            rows.append(("".join(text), truth))
+    got = E.with_edits(spark.createDataFrame(rows, "predicted string, truth string")).withColumn(
+        "all", F.levenshtein("predicted", "truth")
+    ).collect()
+    assert len(got) == len(rows) and all(r.edits == r["all"] for r in got)
+    assert {0, 1} < {r.edits for r in got} and max(r.edits or 0 for r in got) > 40
+
+
 def test_error_rate(spark):
     frame = spark.createDataFrame([("e", "kitten", "sitting"), ("e", "abc", "abc")], "engine string, predicted string, truth string")
     row = E.character_error_rate(frame, ["engine"]).first()
