@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -73,22 +73,49 @@ def latest_per_batch(frames: DataFrame, count: int) -> DataFrame:
     return frames.mapInPandas(keep, frames.schema)
 
 
+def _rows(frames: pd.DataFrame) -> list[tuple]:
+    """Rows of ``_ROW`` as plain values that state can hold; the frames of one stream are too few for pandas."""
+    return list(zip(*([_plain(v) for v in frames[c].tolist()] for c in _ROW)))
+
+
+def _plain(value):
+    if value is None or value != value:
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime(warn=False)
+    return int(value) if isinstance(value, float) else value
+
+
+def _frame_order(row: tuple) -> tuple:
+    """Time and number of a frame, nulls last."""
+    return tuple((v is None, v) for v in row[:2])
+
+
+def _last_rows(rows: list[tuple], count: int) -> list[tuple]:
+    """``last_frames`` of the rows of one stream."""
+    first = sorted({_frame_order(r) for r in rows})[-count:][0]
+    return sorted((r for r in rows if _frame_order(r) >= first), key=_frame_order)
+
+
 def most_stable(
-    frames: pd.DataFrame, box: list[int], at_least: int, min_iou: float
+    rows: list[tuple], box: list[int], at_least: int, min_iou: float
 ) -> tuple[str | None, int]:
-    """The most common text of regions that overlap ``box``, and how often; (None, 0) when none is stable."""
-    x1, y1, x2, y2 = (frames[c] for c in G.BOX)
+    """The most common text of regions that overlap ``box``, and how often; (None, 0) when none is stable.
+
+    ``rows`` are (ts, frame_id, box, text) in the order of frames.
+    """
     bx1, by1, bx2, by2 = box
-    wide, high = x2.clip(upper=bx2) - x1.clip(lower=bx1), y2.clip(upper=by2) - y1.clip(lower=by1)
-    shared = wide * high
-    union = (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - shared
-    value = (shared / union.where(union > 0)).where((wide >= 0) & (high >= 0), 0.0).fillna(0.0)
-    near = frames[value > min_iou]
     counts: dict[str, int] = {}
     first: dict[str, tuple] = {}
-    for text, when, frame in zip(near["text"], near["ts"], near["frame_id"]):
-        counts[text] = counts.get(text, 0) + 1
-        first.setdefault(text, (when, frame))
+    for when, frame, x1, y1, x2, y2, text in rows:
+        if None in (x1, y1, x2, y2):
+            continue
+        wide, high = min(x2, bx2) - max(x1, bx1), min(y2, by2) - max(y1, by1)
+        shared = wide * high
+        union = (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) - shared
+        if (shared / union if wide >= 0 and high >= 0 and union > 0 else 0.0) > min_iou:
+            counts[text] = counts.get(text, 0) + 1
+            first.setdefault(text, (when, frame))
     # As in the batch form: the text seen first, then the least one, wins among equals.
     best = min(counts, key=lambda t: (-counts[t], first[t], t)) if counts else None
     if best is None or counts[best] < at_least:
@@ -119,18 +146,14 @@ def stable_text_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        held = None
-        if state.exists:
-            held = pd.DataFrame(dict(zip(_ROW, state.get)))
+        held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            rows = batch[_ROW]
-            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            held = last_frames(held, buffer)
-        state.update(tuple(held[c].tolist() for c in _ROW))
-        last = held["ts"].iloc[-1]
+            held = _last_rows(held + _rows(batch), buffer)
+        state.update(tuple(list(column) for column in zip(*held)))
+        last = pd.Timestamp(held[-1][0])
         end = int(last.timestamp() * 1000) + idle_ms
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        text, n = most_stable(last_frames(held, count), box, at_least, min_iou)
+        text, n = most_stable(_last_rows(held, count), box, at_least, min_iou)
         yield pd.DataFrame({"stream_id": [key[0]], "text": [text], "n": [n], "last_ts": [last]})
 
     return wanted.groupBy("stream_id").applyInPandasWithState(
@@ -144,8 +167,8 @@ _OUTPUT = "stream_id long, text string, n long, last_ts timestamp"
 class StableText(StatefulProcessor):
     """Keeps the regions of a stream's last frames as a list that batches append to.
 
-    The list is cut back to the last ``buffer`` frames once it holds twice as many regions as it had then, so a region
-    is rewritten a bounded number of times however small the batches are. A timer forgets silent streams.
+    The list is cut back to the last ``buffer`` frames once it holds more than twice as many, so a region is rewritten
+    a bounded number of times however small the batches are. A timer forgets silent streams.
     """
 
     def __init__(self, box: list[int], count: int, at_least: int, min_iou: float, buffer: int, idle_ms: int):
@@ -155,46 +178,39 @@ class StableText(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         kinds = ", ".join(f"{n} int" for n in G.BOX)
         self.handle = handle
-        self.frames = handle.getListState("frames", f"ts timestamp, frame_id long, {kinds}, text string")
-        self.limit = handle.getValueState("limit", "regions long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[_ROW] for r in rows], ignore_index=True)
-        held = [tuple(r) for r in self.frames.get()] if self.frames.exists() else []
-        own = [tuple(_plain(v) for v in r) for r in last_frames(new, self.buffer).itertuples(index=False)]
-        every = pd.DataFrame(held + own, columns=_ROW)
-        limit = self.limit.get()[0] if self.limit.exists() else 0
-        if held and len(every) <= limit:
-            self.frames.appendList(own)
+        self.frames = handle.getListState("frames", f"ts long, frame_id long, {kinds}, text string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Times are held as microseconds, which no zone touches.
+        instant = T.TimestampType()
+        own = _last_rows([(instant.toInternal(r.ts), *(r[c] for c in _ROW[1:])) for r in rows], self.buffer)
+        # Each call to the state or the timers waits for the JVM, so a new stream makes three.
+        held = [tuple(r) for r in self.frames.get()]
+        every = _last_rows(held + own, self.buffer)
+        frames = {r[:2] for r in held + own}
+        if held and len(frames) <= 2 * self.buffer:
+            fresh = [r for r in own if _frame_order(r) >= _frame_order(every[0])]
+            if fresh:
+                self.frames.appendList(fresh)
         else:
-            every = last_frames(every, self.buffer)
-            self.frames.put([tuple(_plain(v) for v in r) for r in every.itertuples(index=False)])
-            self.limit.update((2 * len(every) + self.buffer,))
-        seen = last_frames(every, self.count)
-        last = seen["ts"].iloc[-1]
-        for timer in list(self.handle.listTimers()):
+            self.frames.put(every)
+        seen = _last_rows(every, self.count)
+        last = seen[-1][0]
+        for timer in list(self.handle.listTimers()) if held else []:
             self.handle.deleteTimer(timer)
-        end = int(last.timestamp() * 1000) + self.idle_ms
+        end = last // 1000 + self.idle_ms
         self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
         text, n = most_stable(seen, self.box, self.at_least, self.min_iou)
-        yield pd.DataFrame({"stream_id": [key[0]], "text": [text], "n": [n], "last_ts": [last]})
+        yield Row(stream_id=key[0], text=text, n=n, last_ts=instant.fromInternal(last))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.frames.clear()
-        self.limit.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    """Values that list state can hold."""
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
-
-
 def stable_text_states(
     frames: DataFrame, box: list[int], count: int = RECENT, at_least: int = OCCURRENCES,
     min_iou: float = MATCH_IOU, delay: str = "10 minutes", idle_ms: int = 3_600_000,
@@ -206,7 +222,7 @@ def stable_text_states(
     """
     buffer = max(buffer, count)
     wanted = latest_per_batch(frames.select("stream_id", *_ROW), buffer).withWatermark("ts", delay)
-    return wanted.groupBy("stream_id").transformWithStateInPandas(
+    return wanted.groupBy("stream_id").transformWithState(
         StableText(box, count, at_least, min_iou, buffer, idle_ms), _OUTPUT, "Update", "EventTime"
     )
 

@@ -62,6 +62,27 @@ def test_list_state_survives_a_restart(spark, folder, tmp_path):
     assert _rows(last, columns) == _rows(S.stable_text(X.frames_of(events), BOX), columns)
 
 
+def test_a_new_stream_makes_three_state_calls():
+    from datetime import datetime
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    handle, timers = MagicMock(), MagicMock()
+    handle.getListState.return_value.get.return_value = iter([])
+    timers.getCurrentWatermarkInMs.return_value = 0
+    states = S.StableText(BOX, 10, 3, 0.8, 30, 1000)
+    states.init(handle)
+    handle.reset_mock()
+    rows = [
+        Row(stream_id=1, ts=datetime(2024, 1, 1), frame_id=i, text="same", **dict(zip(("x1", "y1", "x2", "y2"), BOX)))
+        for i in range(40)
+    ]
+    (out,) = states.handleInputRows((1,), iter(rows), timers)
+    assert (out.text, out.n) == ("same", 10)
+    assert sorted(c[0].split(".")[-1] for c in handle.mock_calls) == ["get", "put", "registerTimer"]
+
+
 def test_silent_streams_are_forgotten(spark, tmp_path):
     path = str(tmp_path / "silent")
     schema = "stream_id long, frame_id long, ts timestamp, x1 int, y1 int, x2 int, y2 int, text string"
