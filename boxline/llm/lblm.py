@@ -8,8 +8,12 @@ word has (count + 1) / (class tokens + class words + 1), which leaves a share fo
 
 Word counts cover all training texts. Training runs on every partition: minibatches of positions against
 shared noise units drawn from the unigram distribution. Each of ``ROUNDS`` rounds takes every ``ROUNDS``-th
-position of each text, another phase each round, so that every token is learned from once; after a round the partitions' parameters are averaged, weighted by their positions. Scoring
-works out the normaliser once for each distinct context of a batch, as products of matrices.
+position of each text, another phase each round, so that every token is learned from once; after a round the partitions' parameters are averaged, weighted by their positions.
+
+A context's part of every logit is a sum of one term per context unit, so the exponentials are products and the
+normalisers of all pairs of units are one product of two matrices, of near and of far units. Each process
+works it out once, for as many near units as ``TABLE`` pairs hold, the most frequent first; contexts beyond, and
+those whose product is too small to trust, get the plain sum.
 
 Counts of the ``LOOKUP`` most frequent words go to every task (a bounded table); tokens of all other words
 meet their counts in one shuffled join.
@@ -20,7 +24,8 @@ learned from as often as they stand. Without training text all counts are zero.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxline.llm import words as W
-from boxline.llm.worker import ship
+from boxline.llm.worker import kept, ship
 from boxline.session import pin
 
 # Words with a unit of their own: this many at least, and so many times the cube root of the vocabulary's size.
@@ -41,6 +46,11 @@ RATE = 0.15
 # Bytes of text whose contexts are looked at together, and contexts per product.
 SCORE_BYTES = 4 << 20
 CONTEXTS = 4096
+# Pairs of units whose normalisers a process keeps (four bytes each), and units per product.
+TABLE = 1 << 25
+STEP = 512
+# Least sum of products whose logarithm is taken from single precision.
+LEAST = 1e-30
 END_HASH = W.U64(0xE0D)
 
 
@@ -49,14 +59,15 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(text), F.lit(folds))
 
 
-def endings(block: W.Block, found: W.Words) -> np.ndarray:
-    """The class of every word, from its last three bytes, A-Z folded."""
-    data = W._LOWER[block.data]
-    code = np.zeros(len(found.ends), np.uint64)
+def endings(block: W.Block, found: W.Words, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+    """The class of every word (of ``which`` words), from its last three bytes, A-Z folded."""
+    starts, ends = found.starts[which], found.ends[which]
+    code = np.zeros(len(ends), np.uint64)
     for back in (1, 2, 3):
-        at = found.ends - back
-        inside = at >= found.starts
-        code = code * W.U64(257) + np.where(inside, data[np.maximum(at, 0)] + W.U64(1), W.U64(0))
+        at = ends - back
+        inside = at >= starts
+        byte = W._LOWER[block.data[np.maximum(at, 0)]]
+        code = code * W.U64(257) + np.where(inside, byte + W.U64(1), W.U64(0))
     return (W.mix(code) % W.U64(CLASSES)).astype(np.int32)
 
 
@@ -100,11 +111,30 @@ class Vocabulary:
 
     #: Frequent words with a unit; the end and the classes follow.
     frequent: int = UNITS
+    #: Where a word stands in ``words`` by the first bits of its hash: the most frequent of those with the same.
+    slots: np.ndarray | None = field(default=None, repr=False)
 
     @property
     def size(self) -> int:
         return self.frequent + 1 + CLASSES
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash in ``words``, and whether it stands there."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        bits = (4 * len(self.words) - 1).bit_length()
+        shift = W.U64(64 - bits)
+        if self.slots is None:
+            self.slots = np.zeros(1 << bits, np.int32)
+            order = np.argsort(self.counts, kind="stable")
+            self.slots[self.words[order] >> shift] = order
+        at = self.slots[hashes >> shift]
+        hit = self.words[at] == hashes
+        rest = np.flatnonzero(~hit)
+        at[rest] = np.minimum(np.searchsorted(self.words, hashes[rest]), len(self.words) - 1)
+        hit[rest] = self.words[at[rest]] == hashes[rest]
+        return at, hit
+
 
 def frequent_words(types: int) -> int:
     """Words that get a unit of their own in a vocabulary of ``types`` words."""
@@ -162,12 +192,13 @@ class Tokens:
 
 def tokens(block: W.Block, known: Vocabulary) -> Tokens:
     found = W.words(block)
-    at = np.minimum(np.searchsorted(known.words, found.hashes), max(0, len(known.words) - 1))
-    hit = known.words[at] == found.hashes if len(known.words) else np.zeros(len(at), bool)
-    units = known.frequent + 1 + endings(block, found)
-    counts = np.full(len(at), -1, np.int64)
-    if hit.any():
-        units[hit], counts[hit] = known.units[at[hit]], known.counts[at[hit]]
+    at, hit = known.find(found.hashes)
+    if len(known.words):
+        units, counts = known.units[at], known.counts[at]
+    else:
+        units, counts = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
+    miss = np.flatnonzero(~hit)
+    units[miss], counts[miss] = known.frequent + 1 + endings(block, found, miss), -1
     ends = found.offsets[1:]
     return Tokens(
         np.insert(units, ends, known.frequent), np.insert(counts, ends, known.end_count),
@@ -207,49 +238,80 @@ class Model:
 def learn(
     model: Model, batches, unigram: np.ndarray, seed: int, rate: float = RATE
 ) -> tuple[Model, int]:
-    """Noise-contrastive steps over (units, near context, far context) arrays."""
-    model = model.filled(model.flat().copy())
-    sums = [np.full(p.shape, 1e-3) for p in model.parts()]
-    r, log_noise, seen = np.random.default_rng(seed), np.log(NOISE * unigram), 0
-    cumulative = np.cumsum(unigram)
-
-    def move(k, rows, gradient):
-        part, total = model.parts()[k], sums[k]
-        if rows is None:
-            total += gradient**2
-            part -= rate * gradient / np.sqrt(total)
-            return
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        touched, gathered = ordered[first], np.add.reduceat(gradient[order], first, axis=0)
-        total[touched] += gathered ** 2
-        part[touched] -= rate * gathered / np.sqrt(total[touched])
+    """Noise-contrastive steps over (units, near context, far context) arrays, in single precision.
+
+    A unit's bias, less the logarithm of its noise, is the last column of its vector, against a column of ones.
+    """
+    log_noise = np.log(NOISE * unigram)
+    out = np.column_stack([model.out, model.bias - log_noise]).astype(np.float32)
+    context = model.context.astype(np.float32)
+    turn = np.concatenate([model.near, model.far]).astype(np.float32)
+    steps, turn_sums = (Steps(out, rate), Steps(context, rate)), np.full(turn.shape, 1e-3, np.float32)
+    r, cumulative, seen = np.random.default_rng(seed), np.cumsum(unigram), 0
+    ones, back = np.ones((BATCH, SIZE + 1), np.float32), np.ones((BATCH + NOISE, SIZE + 1), np.float32)
 
     for units, near, far in batches:
-        for low in range(0, len(units), BATCH):
-            w, a, b = units[low:low + BATCH], near[low:low + BATCH], far[low:low + BATCH]
+        pairs = np.column_stack([near, far])
+        drawn = np.searchsorted(
+            cumulative, r.random((-(-len(units) // BATCH), NOISE)) * cumulative[-1]
+        )
+        for number, noise in enumerate(drawn):
+            part = slice(number * BATCH, (number + 1) * BATCH)
+            w, both = units[part], pairs[part].ravel()
             size = len(w)
-            noise = np.searchsorted(cumulative, r.random(NOISE) * cumulative[-1])
-            va, vb = model.context[a], model.context[b]
-            q = va @ model.near + vb @ model.far
-            true = (q * model.out[w]).sum(axis=1) + model.bias[w] - log_noise[w]
-            false = q @ model.out[noise].T + model.bias[noise] - log_noise[noise]
-            # Slopes of -log sigmoid(true) - sum of log sigmoid(-false).
-            up = -1 / (1 + np.exp(np.clip(true, -40, 40))) / size
-            down = 1 / (1 + np.exp(-np.clip(false, -40, 40))) / size
-            slope = up[:, None] * model.out[w] + down @ model.out[noise]
-            rows = np.concatenate([w, noise])
-            out = np.concatenate([up[:, None] * q, down.T @ q])
-            bias = np.concatenate([up, down.sum(axis=0)])
-            context = np.concatenate([slope @ model.near.T, slope @ model.far.T])
-            move(2, None, va.T @ slope)
-            move(3, None, vb.T @ slope)
-            move(0, rows, out)
-            move(4, rows, bias)
-            move(1, np.concatenate([a, b]), context)
+            v = context.take(both, axis=0).reshape(size, 2 * SIZE)
+            q, gradient = ones[:size], back[:size + NOISE]
+            np.matmul(v, turn, out=q[:, :SIZE])
+            right, wrong = out.take(w, axis=0), out.take(noise, axis=0)
+            # Slopes of -log sigmoid(true) - sum of log sigmoid(-false); an overflow stands for zero.
+            with np.errstate(over="ignore"):
+                up = np.exp(np.einsum("ij,ij->i", q, right))
+                down = -q @ wrong.T
+                np.exp(down, out=down)
+            up += 1
+            np.divide(np.float32(-1 / size), up, out=up)
+            down += 1
+            np.divide(np.float32(1 / size), down, out=down)
+            slope = down @ wrong[:, :SIZE]
+            slope += up[:, None] * right[:, :SIZE]
+            np.multiply(up[:, None], q, out=gradient[:size])
+            np.matmul(down.T, q, out=gradient[size:])
+            behind = (slope @ turn.T).reshape(-1, SIZE)
+            change = v.T @ slope
+            turn_sums += change * change
+            turn -= np.float32(rate) * change / np.sqrt(turn_sums)
+            steps[0].move(np.concatenate([w, noise]), gradient)
+            steps[1].move(both, behind)
             seen += size
-    return model, seen
+    out, context, turn = (x.astype(np.float64) for x in (out, context, turn))
+    return Model(out[:, :SIZE], context, turn[:SIZE], turn[SIZE:], out[:, SIZE] + log_noise), seen
+
+
+class Steps:
+    """Steps of a matrix along gradients of some of its rows, each divided by the root of its squares so far."""
+
+    def __init__(self, part: np.ndarray, rate: float):
+        self.part, self.rate = part, np.float32(rate)
+        self.sums, self.gathered = np.full(part.shape, 1e-3, np.float32), np.zeros(part.shape, np.float32)
+        self.cells = np.arange(part.size).reshape(part.shape)
+        self.touched = np.zeros(len(part), bool)
+
+    def move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Gradients of the same row are added before the step."""
+        np.add.at(self.gathered.reshape(-1), self.cells.take(rows, axis=0).reshape(-1), gradient.reshape(-1))
+        self.touched[rows] = True
+        touched = np.flatnonzero(self.touched)
+        self.touched[touched] = False
+        total = self.gathered.take(touched, axis=0)
+        self.gathered[touched] = 0
+        sums = self.sums.take(touched, axis=0)
+        sums += total * total
+        self.sums[touched] = sums
+        np.sqrt(sums, out=sums)
+        total /= sums
+        total *= self.rate
+        np.subtract(self.part.take(touched, axis=0), total, out=total)
+        self.part[touched] = total
 
 
 def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> Model:
@@ -295,24 +357,97 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int =
     return model
 
 
-def log_probabilities(model: Model, t: Tokens, start: int) -> np.ndarray:
+class Normalisers:
+    """Logarithms of the sums over all units of exp(logit), for pairs of context units, and the vectors behind."""
+
+    def __init__(self, model: Model, unigram: np.ndarray | None = None, pairs: int = 0):
+        self.out, self.bias = model.out.astype(np.float32), model.bias.astype(np.float32)
+        self.first = (model.context @ model.near).astype(np.float32)
+        self.second = (model.context @ model.far).astype(np.float32)
+        units = len(self.first)
+        # The start stands before every text; it comes first, then units by frequency.
+        near = np.zeros(0, np.int64) if not pairs else np.append(
+            units - 1, np.argsort(-unigram, kind="stable")
+        )[:pairs // units]
+        self.row = np.full(units, -1, np.int64)
+        self.row[near] = np.arange(len(near))
+        self.table = self._products(near)
+
+    def _products(self, near: np.ndarray) -> np.ndarray:
+        first, second = self.first[near], self.second
+        table = np.zeros((len(near), len(second)), np.float32)
+        if not len(near):
+            return table
+        slices = [slice(low, low + STEP) for low in range(0, len(self.out), STEP)]
+        top, far_top = np.full(len(near), -np.inf, np.float32), np.full(len(second), -np.inf, np.float32)
+        for part in slices:
+            np.maximum(top, (first @ self.out[part].T).max(axis=1), out=top)
+            far = self.out[part] @ second.T + self.bias[part, None]
+            np.maximum(far_top, far.max(axis=0), out=far_top)
+        for part in slices:
+            far = self.out[part] @ second.T
+            far += self.bias[part, None]
+            far -= far_top
+            np.exp(far, out=far)
+            for low in range(0, len(near), STEP):
+                rows = slice(low, low + STEP)
+                close = first[rows] @ self.out[part].T
+                close -= top[rows, None]
+                table[rows] += np.exp(close, out=close) @ far
+        for low in range(0, len(near), STEP):
+            rows = table[low:low + STEP]
+            rows[rows < LEAST] = np.nan
+            np.log(rows, out=rows)
+            rows += top[low:low + STEP, None]
+            rows += far_top
+        return table
+
+    def plain(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """By the sum over all units."""
+        norm = np.empty(len(near), np.float64)
+        for low in range(0, len(near), CONTEXTS):
+            part = slice(low, low + CONTEXTS)
+            z = (self.first[near[part]] + self.second[far[part]]) @ self.out.T
+            z += self.bias
+            top = z.max(axis=1)
+            z -= top[:, None]
+            norm[part] = top + np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+        return norm
+
+    def of(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Of every context; what the table lacks is worked out once for each distinct context."""
+        row = self.row[near]
+        norm = np.full(len(near), np.nan)
+        if len(self.table):
+            norm = np.where(row >= 0, self.table[np.maximum(row, 0), far], norm)
+        rest = np.flatnonzero(np.isnan(norm))
+        if len(rest):
+            units = len(self.first)
+            codes, place = np.unique(near[rest].astype(np.int64) * units + far[rest], return_inverse=True)
+            norm[rest] = self.plain(codes // units, codes % units)[place]
+        return norm
+
+
+def log_probabilities(
+    model: Model, t: Tokens, start: int, norms: Normalisers | None = None
+) -> np.ndarray:
     """Natural-log probability of every token's unit given the two units before."""
     near, far = t.contexts(start)
-    codes, place = np.unique(near.astype(np.int64) * (start + 1) + far, return_inverse=True)
-    out, bias = model.out.astype(np.float32), model.bias.astype(np.float32)
-    first = (model.context @ model.near).astype(np.float32)
-    second = (model.context @ model.far).astype(np.float32)
-    q = first[codes // (start + 1)] + second[codes % (start + 1)]
-    norm = np.empty(len(codes), np.float64)
-    for low in range(0, len(codes), CONTEXTS):
-        z = q[low:low + CONTEXTS] @ out.T + bias
-        top = z.max(axis=1, keepdims=True)
-        norm[low:low + CONTEXTS] = top[:, 0] + np.log(np.exp(z - top).sum(axis=1, dtype=np.float64))
+    norms = norms or Normalisers(model)
     match = np.empty(len(t.units), np.float64)
-    for low in range(0, len(t.units), 1 << 17):
-        part = slice(low, low + (1 << 17))
-        match[part] = (q[place[part]] * out[t.units[part]]).sum(axis=1)
-    return match + bias[t.units] - norm[place]
+    for low in range(0, len(t.units), 1 << 14):
+        part = slice(low, low + (1 << 14))
+        q = norms.first.take(near[part], axis=0)
+        q += norms.second.take(far[part], axis=0)
+        match[part] = np.einsum("ij,ij->i", q, norms.out.take(t.units[part], axis=0))
+    return match + norms.bias[t.units] - norms.of(near, far)
+
+
+def process_normalisers(name: str, model: Model, unigram: np.ndarray) -> Normalisers:
+    """The table of the scoring ``name``, worked out by the first task of a process; one is kept."""
+    if kept().get("lblm", ("",))[0] != name:
+        kept()["lblm"] = name, Normalisers(model, unigram, TABLE)
+    return kept()["lblm"][1]
 
 
 def score(
@@ -321,10 +456,11 @@ def score(
 ) -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row, in log10."""
     kind = docs.schema[key].dataType.simpleString()
-    share = ship(docs.sparkSession, (model, known))
+    share, name = ship(docs.sparkSession, (model, known)), uuid.uuid4().hex
 
     def apply(batches):
         own, words = share()
+        norms = process_normalisers(name, own, words.unigram)
         class_total = np.log10(words.class_tokens + words.class_words + 1.0)
         for batch in batches:
             ids = batch.column(1).to_numpy()
@@ -332,7 +468,7 @@ def score(
                 t = tokens(block, words)
                 n = np.diff(t.offsets)
                 owner = np.repeat(np.arange(len(block)), n)
-                logs = log_probabilities(own, t, words.size) / np.log(10)
+                logs = log_probabilities(own, t, words.size, norms) / np.log(10)
                 rare = t.units > words.frequent
                 logs[rare] -= class_total[t.units[rare] - words.frequent - 1]
                 # log10(count + 1) of words in the lookup; the others get theirs by the join.

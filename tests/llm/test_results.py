@@ -112,6 +112,102 @@ def test_units_grow_with_the_vocabulary(spark, monkeypatch):
     assert known.size == len(known.unigram) and known.class_words.sum() == 90_000 - known.frequent
 
 
+def test_scoring_works_out_no_context_again(spark, monkeypatch):
+    from boxline.llm import lblm
+
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * 7 + k * k) % 500}" for k in range(60))) for i in range(400)], "doc_id long, text string"
+    ).coalesce(1)
+    counts = pin(lblm.word_counts(docs))
+    known = lblm.vocabulary(counts)
+    times = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, *args, **named):
+            times.add(int(np.size(x)))
+            return np.exp(x, *args, **named)
+
+    monkeypatch.setattr(lblm, "SCORE_BYTES", 200)
+    monkeypatch.setattr(lblm, "np", Counted())
+    scored = lblm.score(docs, counts, known, lblm.Model.fresh(known.unigram)).collect()
+    assert len(scored) == 400
+    # 400 blocks of some 60 contexts, each with a sum over all units, would be 18 million.
+    assert times.value < 4 * known.size ** 2
+
+
+@pytest.mark.parametrize(("scale", "pairs", "step"), [(1, 1 << 25, 512), (1, 3 * 61, 7), (60, 1 << 25, 16), (1, 0, 16)])
+def test_normalisers_are_sums_over_all_units(monkeypatch, scale, pairs, step):
+    from boxline.llm import lblm
+
+    monkeypatch.setattr(lblm, "STEP", step)
+    r, size = np.random.default_rng(3), 60
+    model = lblm.Model.fresh(np.full(size, 1 / size))
+    model.out, model.context, model.bias = (scale * x for x in (
+        r.normal(0, 1, (size, lblm.SIZE)), r.normal(0, 1, (size + 1, lblm.SIZE)), r.normal(0, 1, size)
+    ))
+    norms = lblm.Normalisers(model, r.random(size), pairs)
+    assert norms.table.shape == (min(size + 1, pairs // (size + 1)), size + 1)
+    near, far = (x.ravel() for x in np.meshgrid(np.arange(size + 1), np.arange(size + 1)))
+    z = (model.context[near] @ model.near + model.context[far] @ model.far) @ model.out.T + model.bias
+    top = z.max(axis=1)
+    assert norms.of(near, far) == pytest.approx(top + np.log(np.exp(z - top[:, None]).sum(axis=1)), rel=1e-5, abs=1e-4)
+    if scale > 1:
+        assert np.isnan(norms.table).any()
+
+
+def test_training_steps_are_those_of_a_plain_loop():
+    from boxline.llm import lblm
+
+    r, size = np.random.default_rng(5), 40
+    unigram = r.random(size) ** 3 + 1e-3
+    unigram /= unigram.sum()
+    model = lblm.Model.fresh(unigram)
+    units, near, far = r.choice(size, 700, p=unigram), r.integers(0, size + 1, 700), r.integers(0, size + 1, 700)
+    got, seen = lblm.learn(model, [(units[:300], near[:300], far[:300]), (units[300:], near[300:], far[300:])], unigram, 9)
+    assert seen == 700
+
+    parts, noise_of = [p.copy() for p in model.parts()], np.random.default_rng(9)
+    sums = [np.full(p.shape, 1e-3) for p in parts]
+    for low, high in ((0, 256), (256, 300), (300, 556), (556, 700)):
+        out, context, first, second, bias = parts
+        noise = np.searchsorted(np.cumsum(unigram), noise_of.random(lblm.NOISE) * np.cumsum(unigram)[-1])
+        change = [np.zeros(p.shape) for p in parts]
+        for i in range(low, high):
+            q = context[near[i]] @ first + context[far[i]] @ second
+            slope = np.zeros(lblm.SIZE)
+            for k, w in enumerate([units[i], *noise]):
+                odds = np.exp(q @ out[w] + bias[w] - np.log(lblm.NOISE * unigram[w]))
+                g = (odds / (1 + odds) - (k == 0)) / (high - low)
+                change[0][w] += g * q
+                change[4][w] += g
+                slope += g * out[w]
+            change[1][near[i]] += first @ slope
+            change[1][far[i]] += second @ slope
+            change[2] += np.outer(context[near[i]], slope)
+            change[3] += np.outer(context[far[i]], slope)
+        for p, s, g in zip(parts, sums, change):
+            s += g ** 2
+            p -= lblm.RATE * g / np.sqrt(s)
+    for mine, plain in zip(got.parts(), parts):
+        assert mine == pytest.approx(plain, abs=1e-4)
+
+
+def test_words_are_found_by_their_hash(spark):
+    from boxline.llm import lblm
+
+    docs = spark.createDataFrame([(f"often often w{i}",) for i in range(3000)] + [("w0 " * 5,)], "text string")
+    known = lblm.vocabulary(lblm.word_counts(docs))
+    absent = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
+    hashes = np.concatenate([known.words[::-1], absent])
+    place = {w: i for i, w in enumerate(known.words.tolist())}
+    at, hit = known.find(hashes)
+    assert hit.tolist() == [w in place for w in hashes.tolist()]
+    assert at[hit].tolist() == [place[w] for w in hashes.tolist() if w in place]
+
+
 def test_rules(spark, folder, texts, labels):
     got = by_id(queries.op3_weak_supervision(spark, folder))
     right = 0
