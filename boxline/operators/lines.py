@@ -218,19 +218,34 @@ def _ranked_height(rank: Column) -> Column:
     )
 
 
-def _weighted(value) -> Column:
-    """Sum of ``value(h) * n`` over the (h, n) array."""
+def _summed(value) -> Column:
+    """Sum of ``value(h) * n`` over the (h, n) array, in whole numbers."""
     return F.aggregate(
-        "_heights", F.lit(0.0), lambda a, x: a + value(x["h"].cast("double")) * x["n"]
+        "_heights", F.lit(0).cast("long"), lambda a, x: a + value(x["h"].cast("long")) * x["n"]
     )
 
 
+def _whole_deviation(scatter: Column, n: Column) -> Column:
+    """Whole part of sqrt(scatter) / n: the estimate in doubles may miss it by one."""
+    near = F.floor(F.sqrt(scatter.cast("double")) / n)
+
+    def reached(k: Column) -> Column:
+        wide = k.cast("decimal(19,0)") * n
+        return wide * wide <= scatter
+
+    return F.when(reached(near + 1), near + 1).when(reached(near), near).otherwise(near - 1)
+
+
 def text_structure(components: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Character height, line height, spacing and a ten-bin height histogram per image.
 
     Images without a usable component get the defaults 20, 30 and 10. Heights are pixel counts of
-    one image, so once counted they are a short array per image, whatever its components.
+    one image, so once counted they are a short array per image, whatever its components. The
+    deviation is cut to its whole part exactly: rounding never takes 7 for a little less than 7.
     """
+    def whole(name: str) -> Column:
+        return F.col(name).cast("decimal(19,0)")
+
     keys = ["image_id"]
     heights = components.where(is_text_component()).groupBy(*keys, "h").agg(
         F.count(F.lit(1)).alias("n")
@@ -246,10 +261,13 @@ def text_structure(components: DataFrame, images: DataFrame | None = None) -> Da
         "_char": (
             (_ranked_height(F.floor(middle)) + _ranked_height(F.ceil(middle))) / 2
         ).cast("int"),
-        "_mean": _weighted(lambda h: h) / F.col("num_chars"),
-    }).withColumn(
-        "_std",
-        F.sqrt(_weighted(lambda h: (h - F.col("_mean")) * (h - F.col("_mean"))) / F.col("num_chars")),
+        # Heights above the lowest one scatter as much, in smaller numbers.
+        "_above": _summed(lambda h: h - F.col("_low")),
+        "_squares": _summed(lambda h: (h - F.col("_low")) * (h - F.col("_low"))),
+    })
+    scatter = whole("num_chars") * whole("_squares") - whole("_above") * whole("_above")
+    shapes = shapes.withColumn("_scatter", scatter).withColumn(
+        "_std", _whole_deviation(F.col("_scatter"), F.col("num_chars"))
     )
     even = F.col("_low") == F.col("_high")
     low = F.when(even, F.col("_low") - 0.5).otherwise(F.col("_low"))

@@ -140,6 +140,22 @@ def test_text_structure_matches_numpy(spark):
     assert (got[3].char_height, got[3].line_height, got[3].line_spacing) == (20, 30, 10)
 
 
+def test_text_structure_keeps_whole_deviations(spark):
+    """The deviation is 7 exactly; the sum of squares in doubles came out below it and gave 6."""
+    counts = {159: 3, 160: 2, 161: 2, 162: 2, 163: 1, 164: 2, 167: 1, 170: 1, 171: 1, 173: 1,
+              175: 1, 186: 1}
+    high = [h for h, n in counts.items() for _ in range(n)]
+    assert len(high) * sum(h * h for h in high) - sum(high) ** 2 == (7 * len(high)) ** 2
+    # Beside it: one pixel less in the tallest component, many of two heights, all of one height.
+    below = high[:-1] + [185]
+    rows = [(image, i, 0, 0, 100, h, 1000, 0.0)
+            for image, heights in enumerate((high, below, [20] * 3000 + [60] * 3000, [12] * 5))
+            for i, h in enumerate(heights)]
+    schema = "image_id long, comp_id int, x int, y int, w int, h int, area int, cy double"
+    got = L.text_structure(spark.createDataFrame(rows, schema)).collect()
+    assert {r.image_id: r.char_height_std for r in got} == {0: 7, 1: 6, 2: 20, 3: 0}
+
+
 def test_profile_widths(spark):
     ink = [0, 0, 1, 1, 0, 0, 0, 0, 0, 2, 0, 0]
     rows = [(1, x, v) for x, v in enumerate(ink)] + [(2, x, 0) for x in range(5)]
