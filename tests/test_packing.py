@@ -5,6 +5,7 @@ import random
 import pytest
 
 from boxline.operators import packing as K
+from boxline.plans.catalog import load
 
 
 def _limit(widths, heights, strategy):
@@ -81,6 +82,38 @@ def test_narrow_lines_fill_packs_of_twenty(spark):
     assert (got.lines, got.calls) == (45, 3)
 
 
+def test_strategy_sweep_has_mean_times(spark, tmp_path):
+    """Each strategy over whole documents, with the mean of 10 ms a call plus 1 ms a line."""
+    rng = random.Random(3)
+    lengths = [[rng.randint(0, 190) for _ in range(n)] for n in (1, 2, 7, 25, 60)]
+    spark.createDataFrame(
+        [(i, "\n".join("x" * n for n in doc)) for i, doc in enumerate(lengths)],
+        "doc_id long, text string",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.strategy: r for r in load()[0]["strategy_sweep"](spark, str(tmp_path)).collect()}
+    best = max(r.avg_efficiency for r in got.values())
+    for strategy in ("conservative", "balanced", "aggressive", "adaptive"):
+        calls = []
+        for doc in lengths:
+            wide, high = [n * 2 + 20 for n in doc], [14 + n % 60 for n in doc]
+            scaled = [(int(w * (48.0 / h)), h) for w, h in zip(wide, high)]
+            calls.append(_packs(scaled, _limit(wide, high, strategy))[-1] + 1)
+        r, lines = got[strategy], [len(doc) for doc in lengths]
+        assert (r.total_lines, r.total_calls) == (sum(lines), sum(calls))
+        assert r.avg_time_ms == pytest.approx((10 * sum(calls) + sum(lines)) / 5, abs=1e-6)
+        mean = sum(n / c for n, c in zip(lines, calls)) / 5
+        assert r.avg_efficiency == pytest.approx(mean, abs=1e-6)
+        assert r.is_best == (r.avg_efficiency == best)
+
+
+def test_strategies_share_the_best_efficiency(spark):
+    runs = spark.createDataFrame(
+        [("a", 4, 2), ("b", 6, 3), ("c", 4, 4)], "strategy string, lines int, calls int"
+    )
+    got = {r.strategy: r.is_best for r in K.best_strategy(runs).collect()}
+    assert got == {"a": True, "b": True, "c": False}
+
+
 def test_batch_layout(spark):
     frame = spark.createDataFrame([(1, i, 10 + i) for i in range(5)], "image_id long, id int, width int")
     batched = K.micro_batches(frame, ["image_id"], ["id"], size=3)
